@@ -47,6 +47,18 @@ def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatc
     return df.mapInArrow(run, ddl)
 
 
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """Arrow-batched filter that keeps every column; ``make()`` gives the function from a batch to a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The text column as Python strings; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
