@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pelagia.plans import acoustic_queries, biology_queries, cleaning_queries, geo_queries, registry, report_queries, uncertainty_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)
