@@ -11,13 +11,14 @@ The plan, for N documents:
 3. band buckets of more than one set; in each, every set meets the smallest id;
 4. those pairs are verified on full shingle sets, streaming, hot centres salted;
 5. links become components; buckets that still hold several components have
-   their remaining pairs compared, in bounded blocks, on the 8-bit slots, and the
-   promising ones verified too, so that no link hides behind a bucket's centre;
+   their remaining pairs compared too, in bounded blocks with full sets, so that
+   no link hides behind a bucket's centre;
 6. components again, and back to all documents.
 
 Nothing but counts of changed labels reaches the driver.
 
-Cases: a null text or one without words has the empty set and no links. Ties take
+Cases: a null text or one without words has the empty set and no links. A doc_id
+names one text: rows that repeat it repeat the text. Ties take
 the smallest doc_id. Rows that repeat a doc_id are each returned. Rows with a
 null doc_id take part in nothing and come back as their own class (component_id
 null, kept true). An empty table gives no rows; extra columns are not read.
@@ -37,7 +38,7 @@ from pelagia.llm.words import shingle_sets
 
 SLOTS, ROWS = 128, 4
 #: Members of a pair block when a bucket's remaining pairs are compared.
-BLOCK = 2048
+BLOCK = 1024
 #: Members of one centre that one verifying group holds, about.
 PER_GROUP = 512
 #: Standard deviations by which an 8-bit slot estimate may fall short of the threshold.
@@ -203,18 +204,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def remaining_pairs(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that the 8-bit slots don't rule out.
+def remaining_links(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (centre, id) between members of one bucket that are in different components so far.
 
-    Buckets are cut into blocks of ``BLOCK`` members and compared block by block.
+    Buckets are cut into blocks of ``BLOCK`` members and compared block by block,
+    each member with its full shingle set. Of the pairs that the 8-bit slots don't
+    rule out, the likeliest are verified first; once a pair links two components,
+    no other pair of the two needs a look, so a cell gives fewer links than members.
     """
     marked = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     w = Window.partitionBy("band")
     open_ = marked.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi")
     open_ = open_.withColumn("n", F.count("*").over(w)).where("n > 2").withColumn("block", ((F.row_number().over(w.orderBy("id")) - 1) / BLOCK).cast("int"))
+    open_ = settle(open_.select("band", "n", "block", "id", "component"))
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct().join(slots8, "id").hint("shuffle_hash"), "id")
+
+    def with_set(batches):
+        for b in batches:
+            packed = [s.tobytes() for s in shingle_sets([(t or "").encode() for t in b.column(1).to_pylist()], width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["id", "slots8", "shingles"])
+
+    sets = sets.select("id", "text", "slots8").mapInArrow(with_set, "id long, slots8 binary, shingles binary")
     last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
     cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    cells = cells.join(slots8, "id").select("band", "i", "j", "block", "id", "component", "slots8")
+    cells = cells.join(sets, "id").select("band", "i", "j", "block", "id", "component", "slots8", "shingles")
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "id")
 
@@ -222,31 +235,46 @@ def remaining_pairs(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, te
         key, rows = None, []
 
         def flush():
-            if len(rows) < 2:
-                return
-            ids, comp, block = (np.array([r[k] for r in rows]) for k in (1, 2, 0))
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-            m = sig.shape[1]
-            p = percent / 100 + (1 - percent / 100) / 256
-            least = m * p - SLACK * (m * p * (1 - p)) ** 0.5
-            for r in range(len(rows)):
-                rest = slice(r + 1, None)
-                same = (sig[rest] == sig[r]).sum(1)
-                ok = (same >= least) & (comp[rest] != comp[r]) & ((block[rest] != block[r]) | (key[1] == key[2]))
-                other = ids[rest][ok]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[r])), pa.array(np.maximum(other, ids[r]))], ["centre", "id"])
+            links = compare_cell(key, rows, percent) if len(rows) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["centre", "id"])
 
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            for band, i, j, block, id_, comp, s in zip(*cols):
+            for band, i, j, *row in zip(*(b.column(k).to_pylist() for k in range(8))):
                 if key != (band, i, j):
                     yield from flush()
                     key, rows = (band, i, j), []
-                rows.append((block, id_, comp, s))
+                rows.append(row)
         yield from flush()
 
-    return cells.mapInArrow(run, "centre long, id long").distinct().join(tested, ["centre", "id"], "left_anti")
+    return cells.mapInArrow(run, "centre long, id long").distinct()
+
+
+def compare_cell(key: tuple, rows: list, percent: int) -> list[tuple[int, int]]:
+    """Verified links between components of a cell's (block, id, component, slots8, shingles) rows."""
+    block, ids, comp = (np.array([r[k] for r in rows]) for k in range(3))
+    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    size = np.array([len(s) for s in sets])
+    m = sig.shape[1]
+    p = percent / 100 + (1 - percent / 100) / 256
+    least = m * p - SLACK * (m * p * (1 - p)) ** 0.5
+    root = np.unique(comp, return_inverse=True)[1]
+    links = []
+    for r in range(len(rows) - 1):
+        rest = np.arange(r + 1, len(rows))
+        rest = rest[(root[rest] != root[r]) & ((block[rest] != block[r]) | (key[1] == key[2]))]
+        rest = rest[100 * np.minimum(size[rest], size[r]) >= percent * np.maximum(size[rest], size[r])]
+        same = (sig[rest] == sig[r]).sum(1)
+        for k in rest[np.argsort(-same, kind="stable")][: int((same >= least).sum())].tolist():
+            if root[k] == root[r]:
+                continue
+            place = np.searchsorted(sets[r], sets[k])
+            both = int((sets[r][np.minimum(place, size[r] - 1)] == sets[k]).sum())
+            if 100 * both >= percent * (size[r] + size[k] - both):
+                links.append((int(min(ids[r], ids[k])), int(max(ids[r], ids[k]))))
+                root[root == root[k]] = root[r]
+    return links
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 75, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
@@ -259,9 +287,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 75, slots: int
     first = settle(buckets.where("id <> centre").select("centre", "id").distinct())
     links = settle(verified(first, df, width, percent))
     labels = components(links.select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    rest = settle(remaining_pairs(buckets, labels, classes.select("id", "slots8"), first, percent))
-    if rest.limit(1).count():
-        links = settle(links.unionByName(verified(rest, df, width, percent)))
+    more = settle(remaining_links(buckets, labels, classes.select("id", "slots8"), df, width, percent))
+    if more.limit(1).count():
+        links = settle(links.unionByName(more).distinct())
         labels = components(links.select(F.col("centre").alias("a"), F.col("id").alias("b")))
     of_set = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("of_set"))
     full = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(of_set, "set_key", "left")

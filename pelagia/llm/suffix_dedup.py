@@ -35,19 +35,36 @@ from pyspark.sql import functions as F
 from pelagia.llm.common import bounded, mix64
 from pelagia.llm.suffix_sort import deep_shallow, words_at
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text that one block settles by itself.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 PLACE_BITS = 24
+#: Hash bits of a gram that are kept besides its bucket number.
+GRAM_BITS = 40
+#: Buckets at least; more only if the session has more shuffle partitions.
+BUCKETS = 256
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
     """64-bit hash of the GRAM bytes from each position on."""
     w = words_at(buf)
-    far = np.zeros_like(w)
-    far[: max(0, len(w) - 8)] = w[8:]
-    return mix64(w * np.uint64(0x9E3779B97F4A7C15) ^ mix64(far + np.uint64(0x632BE59BD9B4E019)))
+    h = w * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(8, GRAM, 8):
+        h = mix64(h)
+        h[: max(0, len(w) - k)] += w[k:] * np.uint64(0x632BE59BD9B4E019)
+    return mix64(h)
+
+
+def bucket_bits(partitions: int) -> int:
+    """Bits of a bucket number."""
+    return max(BUCKETS, partitions).bit_length() - 1
+
+
+def kept_bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands for a gram: the kept bits of its hash, its bucket, and its number in the bucket."""
+    g = h >> np.uint64(64 - bits - GRAM_BITS)
+    return g, g >> np.uint64(GRAM_BITS), g & np.uint64((1 << GRAM_BITS) - 1)
 
 
 def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,18 +124,6 @@ def blocks(batches, columns: int, text_at: int):
         yield rows
 
 
-def pack_gram(h: np.ndarray) -> bytes:
-    """The upper six bytes of each hash."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def unpack_gram(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, 2:] = part
-    return out.view("<u8").reshape(-1)
-
-
 def planes(x: np.ndarray, width: int) -> bytes:
     """Numbers byte by byte of their value, which compresses well."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -143,7 +148,7 @@ GRAMS = "bucket long, kind int, ids binary, keys binary, gram binary, doc binary
 BACK = "doc_id long, _key long, places binary"
 
 
-def gram_records(buckets: int):
+def gram_records(bits: int):
     """Mapper of step 1: rows per block and bucket (kind 0), and anchors settled in the block (kind 1)."""
 
     def run(batches):
@@ -154,30 +159,29 @@ def gram_records(buckets: int):
             buf, ends, begins = laid([r[2].encode("utf-8", "surrogatepass") for r in rows])
             ids, keys = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
             text, a, _, _, h = anchors(buf, ends)
-            h &= ~np.uint64(0xFFFF)
+            h, bucket, gram = kept_bits(h, bits)
             place = a - begins[text]
             order = np.lexsort((ids[text], h))
-            text, place, h = text[order], place[order], h[order]
-            starts, stops = runs_of(h)
+            text, place, bucket, gram = text[order], place[order], bucket[order], gram[order]
+            starts, stops = runs_of(h[order])
             several = ids[text[starts]] != ids[text[stops - 1]]
             shared = np.repeat(several, stops - starts)
             # of a gram that several texts of the block have, one record stands for all
             send = np.where(np.repeat(several, stops - starts), False, True)
             send[starts] = True
-            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
             for kind, chosen in ((0, send), (1, shared)):
                 at = np.flatnonzero(chosen)
                 at = at[np.lexsort((place[at], text[at], bucket[at]))] if kind == 0 else at[np.lexsort((place[at], text[at]))]
                 if kind == 1:
                     used, doc = np.unique(text[at], return_inverse=True)
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1 - (int(keys[0]) & 0x7FFFFFFF) % (4 * buckets), 1, ids[used].tobytes(), keys[used].tobytes(), b"", planes(doc, 2), planes(place[at], 4)), RECORD)], RECORD_NAMES)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1 - (int(keys[0]) & 0x7FFFFFFF) % (1 << bits), 1, ids[used].tobytes(), keys[used].tobytes(), b"", planes(doc, 2), planes(place[at], 4)), RECORD)], RECORD_NAMES)
                     continue
                 out: list[list] = [[] for _ in RECORD]
                 for lo, hi in zip(*runs_of(bucket[at])):
                     part = at[lo:hi]
                     used, doc = np.unique(text[part], return_inverse=True)
-                    for col, v in zip(out, (int(bucket[part[0]]), 0, ids[used].tobytes(), keys[used].tobytes(), pack_gram(h[part]), planes(doc, 2), planes(place[part], 4))):
+                    for col, v in zip(out, (int(bucket[part[0]]), 0, ids[used].tobytes(), keys[used].tobytes(), planes(gram[part], 5), planes(doc, 2), planes(place[part], 4))):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, RECORD)], RECORD_NAMES)
 
@@ -194,7 +198,7 @@ def shared_anchors(batches):
     at = None
 
     def settle_bucket():
-        grams = np.concatenate([unpack_gram(r[2]) for r in held])
+        grams = np.concatenate([unplanes(r[2], 5) for r in held])
         ids = np.concatenate([np.frombuffer(r[0], np.int64)[unplanes(r[3], 2)] for r in held])
         keys = np.concatenate([np.frombuffer(r[1], np.int64)[unplanes(r[3], 2)] for r in held])
         place = np.concatenate([unplanes(r[4], 4) for r in held])
@@ -238,7 +242,7 @@ STRETCH_NAMES = [c.split()[0] for c in STRETCHES.split(", ")]
 COVERED = "doc_id long, _key long, first binary, last binary"
 
 
-def stretch_records(buckets: int):
+def stretch_records(bits: int):
     """Mapper of step 3: of texts with shared anchors, the stretches of bytes around them.
 
     A stretch that a smaller doc_id of the block has is covered at once (bucket -1 and below).
@@ -251,7 +255,8 @@ def stretch_records(buckets: int):
             text, a, first, last, h = anchors(buf, ends)
             wanted = np.concatenate([np.frombuffer(p, "<u4").astype(np.int64) + begins[k] for k, r in enumerate(rows) for p in r[3]])
             mine = np.isin(a, wanted)
-            text, a, first, last, h = text[mine], a[mine], first[mine], last[mine], h[mine] & ~np.uint64(0xFFFF)
+            text, a, first, last = text[mine], a[mine], first[mine], last[mine]
+            h, bucket, gram = kept_bits(h[mine], bits)
             if not len(text):
                 continue
             size = last - first + LENGTH
@@ -264,18 +269,18 @@ def stretch_records(buckets: int):
             if len(covered):
                 t = text[covered]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], k) for v, k in zip((-1 - (int(keys[0]) & 0x7FFFFFFF) % (4 * buckets), ids[t].tobytes(), keys[t].tobytes(), b"", planes(first[covered] - begins[t], 4), b"", planes(size[covered], 1), b""), STRETCH)],
+                    [pa.array([v], k) for v, k in zip((-1 - (int(keys[0]) & 0x7FFFFFFF) % (1 << bits), ids[t].tobytes(), keys[t].tobytes(), b"", planes(first[covered] - begins[t], 4), b"", planes(size[covered], 1), b""), STRETCH)],
                     STRETCH_NAMES,
                 )
-            bucket = (h[sent] >> np.uint64(20)) % np.uint64(buckets)
-            sent = sent[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
+            sent = sent[np.argsort(bucket[sent], kind="stable")]
+            bucket = bucket[sent]
             raw, out = buf.tobytes(), [[] for _ in STRETCH]
             for lo, hi in zip(*runs_of(bucket)):
                 part = sent[lo:hi]
                 t = text[part]
-                strings = b"".join(raw[s : s + m] for s, m in zip(first[part].tolist(), size[part].tolist()))
-                for col, v in zip(out, (int(bucket[lo]), ids[t].tobytes(), keys[t].tobytes(), pack_gram(h[part]), planes(first[part] - begins[t], 4), planes(a[part] - first[part], 1), planes(size[part], 1), strings)):
+                # all strings of a stretch hold the gram, so its bytes needn't travel
+                strings = b"".join(raw[s:g] + raw[g + GRAM : s + m] for s, g, m in zip(first[part].tolist(), a[part].tolist(), size[part].tolist()))
+                for col, v in zip(out, (int(bucket[lo]), ids[t].tobytes(), keys[t].tobytes(), planes(gram[part], 5), planes(first[part] - begins[t], 4), planes(a[part] - first[part], 1), planes(size[part], 1), strings)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, STRETCH)], STRETCH_NAMES)
 
@@ -294,9 +299,10 @@ def covered_stretches(batches):
 
     def settle_bucket():
         ids, keys = (np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in (0, 1))
-        gram = np.concatenate([unpack_gram(r[2]) for r in held])
-        begin, anchor, size = (np.concatenate([unplanes(r[k], w) for r in held]) for k, w in ((3, 4), (4, 1), (5, 1)))
+        gram = np.concatenate([unplanes(r[2], 5) for r in held]).astype(np.uint64)
+        begin, anchor, whole = (np.concatenate([unplanes(r[k], w) for r in held]) for k, w in ((3, 4), (4, 1), (5, 1)))
         buf = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
+        size = whole - GRAM  # as sent, without the gram
         start = np.cumsum(size) - size
         word = words_at(buf)
         order, equal = deep_shallow(buf, start, size, word, first=mix_keys(gram, anchor))
@@ -305,17 +311,17 @@ def covered_stretches(batches):
         heads = order[~equal]  # one stretch of each kind
         least = np.minimum.reduceat(ids[order], np.flatnonzero(~equal))
         later = ids > least[group]
-        yield from by_document(ids[later], keys[later], begin[later], (begin + size)[later])
+        yield from by_document(ids[later], keys[later], begin[later], (begin + whole)[later])
         # kinds whose gram has other kinds too: their single strings may agree
         by_gram = np.argsort(gram[heads], kind="stable")
         lo, hi = runs_of(gram[heads][by_gram])
         mixed = by_gram[np.repeat(hi - lo > 1, hi - lo)]
         if len(mixed):
-            n = size[heads[mixed]] - LENGTH + 1
+            n = whole[heads[mixed]] - LENGTH + 1
             kind = np.repeat(mixed, n)
             step = np.arange(len(kind)) - np.repeat(np.cumsum(n) - n, n)
             string = start[heads[kind]] + step
-            order, equal = deep_shallow(buf, string, np.full(len(string), LENGTH), word, first=mix_keys(gram[heads[kind]], anchor[heads[kind]] - step + 64))
+            order, equal = deep_shallow(buf, string, np.full(len(string), LENGTH - GRAM), word, first=mix_keys(gram[heads[kind]], anchor[heads[kind]] - step + 64))
             where = np.flatnonzero(~equal)
             low = np.minimum.reduceat(least[kind[order]], where)
             hit = np.zeros(len(kind), bool)
@@ -372,10 +378,11 @@ def with_spans(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     slim = keyed.select("doc_id", "_key", "text")
-    records = slim.mapInArrow(gram_records(n), GRAMS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    bits = bucket_bits(n)
+    records = slim.mapInArrow(gram_records(bits), GRAMS).repartition(n, "bucket").sortWithinPartitions("bucket")
     back = records.mapInArrow(shared_anchors, BACK).groupBy("doc_id", "_key").agg(F.collect_list("places").alias("places"))
     again = slim.join(back.hint("shuffle_hash"), ["doc_id", "_key"]).select("doc_id", "_key", "text", "places")
-    stretches = again.mapInArrow(stretch_records(n), STRETCHES).repartition(n, "bucket").sortWithinPartitions("bucket")
+    stretches = again.mapInArrow(stretch_records(bits), STRETCHES).repartition(n, "bucket").sortWithinPartitions("bucket")
     covered = stretches.mapInArrow(covered_stretches, COVERED).groupBy("doc_id", "_key").agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts"))
     return keyed.join(covered.hint("shuffle_hash"), ["doc_id", "_key"], "left")
 

@@ -1 +1,135 @@
-"""Queries."""
+"""Queries of transect statistics, the bootstrap and confidence intervals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pelagia.functions.special import normal_cdf, normal_ppf, t_ppf
+from pelagia.operators import uncertainty
+from pelagia.plans import roles as R
+from pelagia.plans.registry import query
+
+TS = f"""WITH {R.INTERVALS}, ts AS (SELECT stratum, transect_num, sum(nasc) AS nasc, max(distance_e) - min(distance_s) AS distance, sum(distance_e - distance_s) AS area FROM intervals GROUP BY ALL),
+st AS (SELECT stratum, count(*) AS n_transects, sum(nasc) AS nasc, sum(distance) AS distance, sum(area) AS area, greatest(CAST(floor(count(*) * 0.75 + 0.5) AS BIGINT), 1) AS n_sampled FROM ts GROUP BY stratum)"""
+JH = """{n} AS (SELECT {k} stratum, n, mean, area, total, sum(coalesce((distance * n / d * (nasc / nullif(distance, 0) - mean)) ** 2, 0)) / CASE WHEN n > 1 THEN n * (n - 1) ELSE 1 END AS variance
+ FROM {t} JOIN (SELECT {k} stratum, count(*) AS n, sum(distance) AS d, sum(nasc) / sum(distance) AS mean, sum(area) AS area, sum(nasc) AS total FROM {t} GROUP BY ALL) g USING ({k} stratum) GROUP BY ALL)"""
+BS = f"""bs AS (SELECT * EXCLUDE (k, n_sampled) FROM (SELECT ts.*, replicate, n_sampled, row_number() OVER (PARTITION BY stratum, replicate ORDER BY md5(concat_ws('-', '7', CAST(replicate AS VARCHAR), stratum, CAST(transect_num AS VARCHAR))), transect_num) AS k
+ FROM ts, range(1, 61) r(replicate), (SELECT stratum AS s2, n_sampled FROM st) WHERE s2 = stratum) WHERE k <= n_sampled), {JH.format(n='rj', k='replicate,', t='bs')},
+cv AS (SELECT replicate, sqrt(sum(variance * area ** 2)) / sum(mean * area) AS cv FROM rj GROUP BY replicate), b AS (SELECT 'cv' AS name, cv AS x FROM cv UNION ALL SELECT 'mean', sum(mean) FROM rj GROUP BY replicate)"""
+#: Population values that the samples are held against.
+POP = {"cv": 0.3, "mean": 60.0}
+
+
+def transects(spark, d):
+    rows = R.intervals(spark, d).withColumn("area", F.col("distance_e") - F.col("distance_s"))
+    return uncertainty.transect_statistics(rows, "stratum", "nasc", F.max("distance_e") - F.min("distance_s"), "area")
+
+
+def strata(spark, d):
+    return uncertainty.strata_statistics(transects(spark, d), "stratum", "nasc", 0.75)
+
+
+def r(df, *names, n=6):
+    return df.withColumns({c: F.round(c, n) for c in names})
+
+
+@query(f"{TS} SELECT stratum, transect_num, round(nasc, 5) AS nasc, distance, area, round(nasc / distance, 6) AS per_distance FROM ts")
+def transect_stats(spark, d):
+    return r(r(transects(spark, d), "nasc", n=5), "per_distance")
+
+
+@query(f"{TS} SELECT stratum, n_transects, round(nasc, 4) AS nasc, distance, area, n_sampled, round(nasc / area, 6) AS density FROM st")
+def strata_stats(spark, d):
+    return r(r(strata(spark, d), "nasc", n=4), "density")
+
+
+@query(f"{TS}, {JH.format(n='j', k='', t='ts')} SELECT round(sqrt(sum(variance * area ** 2)) / sum(mean * area), 7) AS cv FROM j")
+def survey_cv(spark, d):
+    return r(uncertainty.survey_cv(uncertainty.jolly_hampton(transects(spark, d), [], "stratum", "nasc")), "cv", n=7)
+
+
+def replicates(spark, d):
+    t = transects(spark, d).drop("per_distance")
+    return uncertainty.bootstrap(t, strata(spark, d), "stratum", 60, 7)
+
+
+@query(f"{TS}, {BS} SELECT replicate, stratum, n, round(mean, 6) AS mean, round(log10(variance), 6) AS log_variance FROM rj")
+def bootstrap_replicates(spark, d):
+    out = uncertainty.jolly_hampton(replicates(spark, d), ["replicate"], "stratum", "nasc")
+    return out.select(F.col("replicate").cast("long").alias("replicate"), "stratum", "n", F.round("mean", 6).alias("mean"), F.round(F.log10("variance"), 6).alias("log_variance"))
+
+
+def samples(spark, d):
+    j = uncertainty.jolly_hampton(replicates(spark, d), ["replicate"], "stratum", "nasc")
+    cv = uncertainty.survey_cv(j, ["replicate"]).select(F.lit("cv").alias("name"), F.col("cv").alias("x"))
+    return cv.unionByName(j.groupBy("replicate").agg(F.sum("mean").alias("x")).select(F.lit("mean").alias("name"), "x"))
+
+
+def interval(spark, d, method):
+    s = samples(spark, d)
+    centre = {row["name"]: row["m"] for row in s.groupBy("name").agg(F.percentile("x", F.lit(0.6)).alias("m")).collect()}
+    out = uncertainty.confidence_interval(s, "name", "x", centre, method)
+    return r(out, "low", "mean", "high", "bias")
+
+
+P = "pp AS (SELECT name, quantile_cont(x, 0.6) AS p FROM b GROUP BY name), s AS (SELECT name, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd, sum(x) AS s1, sum(x * x) AS s2, any_value(p) AS p FROM b JOIN pp USING (name) GROUP BY name)"
+OUT = "SELECT name, round({low}, 6) AS low, round(m, 6) AS mean, round({high}, 6) AS high, round(m - p, 6) AS bias FROM s"
+Z = normal_ppf(0.975)
+
+
+@query(f"{TS}, {BS}, {P}, q AS (SELECT name, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM b GROUP BY name) {OUT.format(low='lo', high='hi')} JOIN q USING (name)")
+def ci_percentile(spark, d):
+    return interval(spark, d, "percentile")
+
+
+@query(f"{TS}, {BS}, {P} {OUT.format(low=f'm - {Z} * sd', high=f'm + {Z} * sd')}")
+def ci_normal(spark, d):
+    return interval(spark, d, "normal")
+
+
+@query(f"{TS}, {BS}, {P}, q AS (SELECT name, quantile_cont(x - p, 0.025) AS lo, quantile_cont(x - p, 0.975) AS hi FROM b JOIN pp USING (name) GROUP BY name) {OUT.format(low='m + lo', high='m + hi')} JOIN q USING (name)")
+def ci_empirical(spark, d):
+    return interval(spark, d, "empirical")
+
+
+T59 = t_ppf(0.975, 59)
+
+
+@query(f"{TS}, {BS}, {P} {OUT.format(low=f'm - {T59} * sd', high=f'm + {T59} * sd')}")
+def ci_t(spark, d):
+    return interval(spark, d, "t")
+
+
+LOO = "l AS (SELECT name, x, n, m, sd, (s1 - x) / (n - 1) AS lm, (s2 - x * x - (n - 1) * ((s1 - x) / (n - 1)) ** 2) / (n - 2) AS lv FROM b JOIN s USING (name))"
+
+
+@query(f"{TS}, {BS}, {P}, {LOO}, q AS (SELECT name, quantile_cont((x - lm) / sqrt(greatest(lv, 1e-12)), 0.025) AS lo, quantile_cont((x - lm) / sqrt(greatest(lv, 1e-12)), 0.975) AS hi FROM l GROUP BY name) {OUT.format(low='m + lo * sd', high='m + hi * sd')} JOIN q USING (name)")
+def ci_jackknife(spark, d):
+    return interval(spark, d, "t-jackknife")
+
+
+#: 36 of 60 samples lie below their 0.6 quantile, so the normal scores are constants.
+Z0 = normal_ppf(36 / 60)
+
+
+@query(f"{TS}, {BS}, {P}, q AS (SELECT name, quantile_cont(x, {normal_cdf(2 * Z0 - Z)}) AS lo, quantile_cont(x, {normal_cdf(2 * Z0 + Z)}) AS hi FROM b GROUP BY name) {OUT.format(low='lo', high='hi')} JOIN q USING (name)")
+def ci_bc(spark, d):
+    return interval(spark, d, "bc")
+
+
+@query()
+def ci_bca(spark, d):
+    return interval(spark, d, "bca")
+
+
+@query(f"""WITH {R.INTERVALS}, g AS (SELECT CASE WHEN latitude * 2 + 0.5 >= 0 THEN floor(latitude * 2 + 1.0) ELSE ceil(latitude * 2) END / 2 AS l, avg(latitude) AS latitude, sum(nasc) AS nasc FROM intervals GROUP BY 1)
+SELECT CAST(dense_rank() OVER (ORDER BY l) AS INTEGER) AS transect_num, round(latitude, 6) AS latitude, round(nasc, 4) AS nasc FROM g""")
+def virtual_transects(spark, d):
+    out = uncertainty.virtual_transects(R.intervals(spark, d), 2, "nasc")
+    return out.select("transect_num", F.round("latitude", 6).alias("latitude"), F.round("nasc", 4).alias("nasc"))
+
+
+@query()
+def virtual_transect_areas(spark, d):
+    """Lengths on the ellipsoid and band areas; tests hold them against known distances."""
+    return uncertainty.virtual_transects(R.intervals(spark, d), 2, "nasc")
