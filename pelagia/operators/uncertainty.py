@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,32 +13,58 @@ from pelagia.operators.cleaning import round_half_up
 EARTH = (6378137.0, 1 / 298.257223563)
 
 
-def geodesic_nmi(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 5) -> Column:
-    """Distance on the WGS-84 ellipsoid in nautical miles (Vincenty's inverse series), as a column."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def geodesic_nmi(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 8) -> Column:
+    """Distance on the WGS-84 ellipsoid in nautical miles (Vincenty's inverse series), as a column.
+
+    Every round binds its values by name, so the expression grows with the rounds
+    and not with their power. Equal points are 0 apart; a null position gives null.
+    """
     a, f = EARTH
     b = a * (1 - f)
-    u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
-    gap = F.radians(lon2 - lon1)
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    lam = gap
-    for _ in range(rounds):
+
+    def sphere(lam: Column, g: Column) -> Column:
+        """sin and cos of the arc, the arc, cos squared of its azimuth, cos of twice the midpoint."""
         sl, cl = F.sin(lam), F.cos(lam)
-        sin_s = F.sqrt((c2 * sl) ** 2 + (c1 * s2 - s1 * c2 * cl) ** 2)
-        cos_s = s1 * s2 + c1 * c2 * cl
-        sig = F.atan2(sin_s, cos_s)
-        sin_a = F.coalesce(F.try_divide(c1 * c2 * sl, sin_s), F.lit(0.0))
-        cos2a = 1 - sin_a * sin_a
-        mid = cos_s - F.coalesce(F.try_divide(2 * s1 * s2, cos2a), F.lit(0.0))
-        c = f / 16 * cos2a * (4 + f * (4 - 3 * cos2a))
-        last = lam
-        lam = gap + (1 - c) * f * sin_a * (sig + c * sin_s * (mid + c * cos_s * (2 * mid * mid - 1)))
-        if _ == rounds - 1:
-            lam = last
-    u = cos2a * (a * a - b * b) / (b * b)
-    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    d = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid * mid - 1) - small / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3)))
-    return F.when(sin_s == 0, 0.0).otherwise(b * big * (sig - d) / 1852.0)
+        sin_s = F.sqrt((g["c2"] * sl) ** 2 + (g["c1"] * g["s2"] - g["s1"] * g["c2"] * cl) ** 2)
+        arc = F.struct(sin_s.alias("sin"), (g["s1"] * g["s2"] + g["c1"] * g["c2"] * cl).alias("cos"))
+
+        def azimuth(v: Column) -> Column:
+            sin_a = F.coalesce(F.try_divide(g["c1"] * g["c2"] * sl, v["sin"]), F.lit(0.0))
+            return F.struct(v["sin"].alias("sin"), v["cos"].alias("cos"), F.atan2(v["sin"], v["cos"]).alias("arc"), sin_a.alias("sin_a"), (1 - sin_a * sin_a).alias("cos2a"))
+
+        def middle(v: Column) -> Column:
+            mid = v["cos"] - F.coalesce(F.try_divide(2 * g["s1"] * g["s2"], v["cos2a"]), F.lit(0.0))
+            return F.struct(*[v[k].alias(k) for k in ("sin", "cos", "arc", "sin_a", "cos2a")], mid.alias("mid"))
+
+        return bound(bound(arc, azimuth), middle)
+
+    def step(lam: Column, g: Column) -> Column:
+        def moved(v: Column) -> Column:
+            c = f / 16 * v["cos2a"] * (4 + f * (4 - 3 * v["cos2a"]))
+            return g["gap"] + (1 - c) * f * v["sin_a"] * (v["arc"] + c * v["sin"] * (v["mid"] + c * v["cos"] * (2 * v["mid"] * v["mid"] - 1)))
+
+        return bound(sphere(lam, g), moved)
+
+    def length(v: Column) -> Column:
+        u = v["cos2a"] * ((a * a - b * b) / (b * b))
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m, s = v["mid"], v["sin"]
+        d = small * s * (m + small / 4 * (v["cos"] * (2 * m * m - 1) - small / 6 * m * (4 * s * s - 3) * (4 * m * m - 3)))
+        return F.when(s == 0, 0.0).otherwise(b * big * (v["arc"] - d) / 1852.0)
+
+    def solve(g: Column) -> Column:
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), g["gap"], lambda lam, _: step(lam, g))
+        return bound(sphere(lam, g), length)
+
+    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    given = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("gap"))
+    return bound(given, solve)
 
 
 def virtual_transects(mesh: DataFrame, per_degree: int, variable: str, strata: Column | None = None) -> DataFrame:
@@ -75,7 +101,7 @@ def jolly_hampton(transects: DataFrame, keys: Sequence[str], stratum: str, varia
     """Distance-weighted mean and its variance for every stratum (and replicate)."""
     by = [*keys, stratum]
     m = transects.groupBy(*by).agg(F.count("*").alias("n"), F.sum("distance").alias("d"), F.try_divide(F.sum(variable), F.sum("distance")).alias("mean"), F.sum("area").alias("area"), F.sum(variable).alias("total"))
-    rows = transects.join(m, by)
+    rows = transects.drop("area").join(m, by)
     weight = F.try_divide(F.col("distance") * F.col("n"), F.col("d"))
     part = F.coalesce((weight * (F.try_divide(F.col(variable), F.col("distance")) - F.col("mean"))) ** 2, F.lit(0.0))
     dof = F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1)).otherwise(1)

@@ -12,7 +12,7 @@ from pelagia.plans.registry import query
 TS = f"""WITH {R.INTERVALS}, ts AS (SELECT stratum, transect_num, sum(nasc) AS nasc, max(distance_e) - min(distance_s) AS distance, sum(distance_e - distance_s) AS area FROM intervals GROUP BY ALL),
 st AS (SELECT stratum, count(*) AS n_transects, sum(nasc) AS nasc, sum(distance) AS distance, sum(area) AS area, greatest(CAST(floor(count(*) * 0.75 + 0.5) AS BIGINT), 1) AS n_sampled FROM ts GROUP BY stratum)"""
 JH = """{n} AS (SELECT {k} stratum, n, mean, area, total, sum(coalesce((distance * n / d * (nasc / nullif(distance, 0) - mean)) ** 2, 0)) / CASE WHEN n > 1 THEN n * (n - 1) ELSE 1 END AS variance
- FROM {t} JOIN (SELECT {k} stratum, count(*) AS n, sum(distance) AS d, sum(nasc) / sum(distance) AS mean, sum(area) AS area, sum(nasc) AS total FROM {t} GROUP BY ALL) g USING ({k} stratum) GROUP BY ALL)"""
+ FROM (SELECT * EXCLUDE (area) FROM {t}) JOIN (SELECT {k} stratum, count(*) AS n, sum(distance) AS d, sum(nasc) / sum(distance) AS mean, sum(area) AS area, sum(nasc) AS total FROM {t} GROUP BY ALL) g USING ({k} stratum) GROUP BY {k} stratum, n, mean, area, total)"""
 BS = f"""bs AS (SELECT * EXCLUDE (k, n_sampled) FROM (SELECT ts.*, replicate, n_sampled, row_number() OVER (PARTITION BY stratum, replicate ORDER BY md5(concat_ws('-', '7', CAST(replicate AS VARCHAR), stratum, CAST(transect_num AS VARCHAR))), transect_num) AS k
  FROM ts, range(1, 61) r(replicate), (SELECT stratum AS s2, n_sampled FROM st) WHERE s2 = stratum) WHERE k <= n_sampled), {JH.format(n='rj', k='replicate,', t='bs')},
 cv AS (SELECT replicate, sqrt(sum(variance * area ** 2)) / sum(mean * area) AS cv FROM rj GROUP BY replicate), b AS (SELECT 'cv' AS name, cv AS x FROM cv UNION ALL SELECT 'mean', sum(mean) FROM rj GROUP BY replicate)"""
