@@ -376,15 +376,15 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """Add _firsts and _lasts, lists of packed starts and ends of removed stretches (null: none), to all columns."""
     spark = bounded(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    slim = keyed.select("doc_id", "_key", "text")
+    # keys that are never null, so that both joins below deal the texts out alike and share one exchange
+    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", F.xxhash64("text", F.col("doc_id").isNull()))
     bits = bucket_bits(n)
-    records = slim.mapInArrow(gram_records(bits), GRAMS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    back = records.mapInArrow(shared_anchors, BACK).groupBy("doc_id", "_key").agg(F.collect_list("places").alias("places"))
-    again = slim.join(back.hint("shuffle_hash"), ["doc_id", "_key"]).select("doc_id", "_key", "text", "places")
+    records = keyed.select("doc_id", "_key", "text").mapInArrow(gram_records(bits), GRAMS).repartition(n, "bucket").sortWithinPartitions("bucket")
+    back = records.mapInArrow(shared_anchors, BACK).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.coalesce("_key", F.lit(0)).alias("_key")).agg(F.collect_list("places").alias("places"))
+    again = keyed.join(back.hint("shuffle_hash"), ["_id", "_key"]).select("doc_id", "_key", "text", "places")
     stretches = again.mapInArrow(stretch_records(bits), STRETCHES).repartition(n, "bucket").sortWithinPartitions("bucket")
-    covered = stretches.mapInArrow(covered_stretches, COVERED).groupBy("doc_id", "_key").agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts"))
-    return keyed.join(covered.hint("shuffle_hash"), ["doc_id", "_key"], "left")
+    covered = stretches.mapInArrow(covered_stretches, COVERED).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.coalesce("_key", F.lit(0)).alias("_key")).agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts"))
+    return keyed.join(covered.hint("shuffle_hash"), ["_id", "_key"], "left").drop("_id", "_key")
 
 
 def removed_digest(docs: DataFrame) -> DataFrame:
