@@ -42,8 +42,10 @@ BLOCK = 4 << 20
 PLACE_BITS = 24
 #: Hash bits of a gram that are kept besides its bucket number.
 GRAM_BITS = 40
-#: Buckets at least; more only if the session has more shuffle partitions.
+#: Buckets at least; more if the session has more shuffle partitions or the texts more bytes.
 BUCKETS = 256
+#: Bytes of text to one bucket, about: a reducer holds one bucket, so its memory doesn't grow with the input.
+BUCKET_BYTES = 2 << 20
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -56,9 +58,9 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def bucket_bits(partitions: int) -> int:
-    """Bits of a bucket number."""
-    return max(BUCKETS, partitions).bit_length() - 1
+def bucket_bits(partitions: int, size: int) -> int:
+    """Bits of a bucket number for texts of ``size`` bytes in all."""
+    return (max(BUCKETS, partitions, size // BUCKET_BYTES) - 1).bit_length()
 
 
 def kept_bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,6 +204,7 @@ def shared_anchors(batches):
         ids = np.concatenate([np.frombuffer(r[0], np.int64)[unplanes(r[3], 2)] for r in held])
         keys = np.concatenate([np.frombuffer(r[1], np.int64)[unplanes(r[3], 2)] for r in held])
         place = np.concatenate([unplanes(r[4], 4) for r in held])
+        held.clear()  # the arrays are copies
         order = np.lexsort((ids, grams))
         grams, ids, keys, place = grams[order], ids[order], keys[order], place[order]
         starts, stops = runs_of(grams)
@@ -302,6 +305,7 @@ def covered_stretches(batches):
         gram = np.concatenate([unplanes(r[2], 5) for r in held]).astype(np.uint64)
         begin, anchor, whole = (np.concatenate([unplanes(r[k], w) for r in held]) for k, w in ((3, 4), (4, 1), (5, 1)))
         buf = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
+        held.clear()  # the arrays are copies
         size = whole - GRAM  # as sent, without the gram
         start = np.cumsum(size) - size
         word = words_at(buf)
@@ -378,7 +382,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # keys that are never null, so that both joins below deal the texts out alike and share one exchange
     keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", F.xxhash64("text", F.col("doc_id").isNull()))
-    bits = bucket_bits(n)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bucket_bits(n, size)
     records = keyed.select("doc_id", "_key", "text").mapInArrow(gram_records(bits), GRAMS).repartition(n, "bucket").sortWithinPartitions("bucket")
     back = records.mapInArrow(shared_anchors, BACK).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.coalesce("_key", F.lit(0)).alias("_key")).agg(F.collect_list("places").alias("places"))
     again = keyed.join(back.hint("shuffle_hash"), ["_id", "_key"]).select("doc_id", "_key", "text", "places")
