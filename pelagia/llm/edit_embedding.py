@@ -33,6 +33,8 @@ PERIOD = 1 << 13
 END = 255
 #: Code points that walk in one lockstep, about.
 TOGETHER = 6_000_000
+#: Members of a block, about, when the texts of one slice are compared.
+BLOCK = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(52))
 BITS = _RNG.integers(0, 2, (PERIOD, 256)).astype(np.int64)
@@ -199,21 +201,33 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, texts: DataFrame, share: float = 0.1, bands: int = 8) -> DataFrame:
-    """Bit-sampled banding and verification: (first, doc_id, edits) of near texts.
-
-    ``prints`` has doc_id and fingerprint, ``texts`` doc_id and text. Fingerprints
-    that agree on one of ``bands`` slices of one of their two longest octaves meet
-    the smallest doc_id of that slice; a pair stays if its edit distance is at most
-    ``share`` of the longer text. Empty texts meet nothing.
+    """Bit-sampled banding and verification: (first, doc_id, edits) of near texts, first < doc_id.
+
+    ``prints`` has doc_id and fingerprint, ``texts`` doc_id and text; a doc_id names
+    one text. Equal texts are tied to their smallest doc_id, which stands for them
+    all. Those whose fingerprints agree on a slice of any octave, a ``bands``th of
+    it at every half slice, meet, every one with every other; a pair stays if its edit distance is at most
+    ``share`` of the longer text. Slices of many members are compared in cells of
+    two blocks of about ``BLOCK`` members. Empty texts meet nothing.
     """
     block = SAMPLES // 2 * 2
     width = SAMPLES // bands
-    keyed = prints.where(F.length("fingerprint") > 0).withColumn("_blocks", (F.length("fingerprint") / block).cast("int"))
-    keys = F.expr(f"flatten(transform(sequence(greatest(0, _blocks - 2), _blocks - 1), b -> transform(sequence(0, {bands - 1}), k -> concat_ws(':', b, k, substring(fingerprint, b * {block} + k * {width} + 1, {width})))))")
-    slices = keyed.select("doc_id", F.explode(keys).alias("slice")).where(f"NOT endswith(slice, '{'f' * width}')")
-    stars = slices.groupBy("slice").agg(F.min("doc_id").alias("first")).join(slices, "slice").where("first <> doc_id").select("first", "doc_id").distinct()
-    a = texts.select(F.col("doc_id").alias("first"), F.col("text").alias("_a"))
-    b = texts.select("doc_id", F.col("text").alias("_b"))
-    most = (F.greatest(F.length("_a"), F.length("_b")) * share).cast("int")
-    pairs = stars.join(a, "first").join(b, "doc_id").withColumn("edits", F.levenshtein("_a", "_b"))
-    return pairs.where(F.col("edits") <= most).select("first", "doc_id", "edits")
+    named = texts.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text").withColumn("_same", F.sha2(F.col("text"), 256))
+    heads = named.groupBy("_same").agg(F.min("doc_id").alias("first"), F.min(F.length("text")).alias("_n"))
+    copies = named.select("doc_id", "_same").distinct().join(heads, "_same").where("first <> doc_id").select("first", "doc_id", F.lit(0).alias("edits"))
+    keyed = prints.where(F.length("fingerprint") > 0).join(heads.select(F.col("first").alias("doc_id"), "_n"), "doc_id").withColumn("_blocks", (F.length("fingerprint") / block).cast("int"))
+    keys = F.expr(f"flatten(transform(sequence(0, _blocks - 1), b -> transform(sequence(0, {2 * bands - 2}), k -> concat_ws(':', b, k, substring(fingerprint, b * {block} + k * {width // 2} + 1, {width})))))")
+    slices = keyed.select("doc_id", "_n", F.explode(keys).alias("slice")).where(f"NOT endswith(slice, '{'f' * width}')").distinct()
+    blocks = slices.groupBy("slice").agg(F.count("*").alias("_m")).where("_m > 1").select("slice", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_of"))
+    members = slices.join(blocks, "slice").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_of")).cast("int"))
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    cells = members.select("slice", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "doc_id", "_n")
+    left = cells.where("_own = _i").select("slice", "_i", "_j", F.col("doc_id").alias("_p"), F.col("_n").alias("_np"))
+    right = cells.where("_own = _j").select("slice", "_i", "_j", F.col("doc_id").alias("_q"), F.col("_n").alias("_nq"))
+    # of two lengths the difference is a lower bound of the edit distance
+    met = left.join(right, ["slice", "_i", "_j"]).where("_i < _j OR _p < _q").where(F.abs(F.col("_np") - F.col("_nq")) <= (F.greatest("_np", "_nq") * share).cast("int"))
+    met = met.select(F.least("_p", "_q").alias("first"), F.greatest("_p", "_q").alias("doc_id")).distinct()
+    bodies = named.select("doc_id", "text").dropDuplicates(["doc_id"])
+    pairs = met.join(bodies.select(F.col("doc_id").alias("first"), F.col("text").alias("_a")), "first").join(bodies.select("doc_id", F.col("text").alias("_b")), "doc_id")
+    pairs = pairs.withColumn("_most", (F.greatest(F.length("_a"), F.length("_b")) * share).cast("int")).withColumn("edits", F.expr("levenshtein(_a, _b, _most)"))
+    return pairs.where("edits >= 0").select("first", "doc_id", "edits").unionByName(copies)

@@ -155,6 +155,49 @@ def test_fingerprints(docs, rows):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_near_pairs_beside_the_smallest_id(spark, monkeypatch):
+    """One slice agrees in all; the smallest id is near none of the others."""
+    body = "the quick brown fox jumps over the lazy dog " * 3
+    texts = {1: "0123456789" * 13, 2: body, 3: body + "x", 4: "yz" + body, 5: body, 6: "9876543210" * 13, 7: ""}
+    prints = spark.createDataFrame([(k, "0" * 8 + f"{k:x}" * 56) for k in texts], "doc_id long, fingerprint string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {(2, 3, 1), (2, 4, 2), (2, 5, 0), (3, 4, 3)}
+    for block in (1024, 2):
+        monkeypatch.setattr(edit_embedding, "BLOCK", block, raising=False)
+        got = [tuple(r) for r in edit_embedding.near_pairs(prints, docs).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, block
+
+
+def test_near_pairs_recall(spark):
+    """Of all pairs within 10 % edits, by brute force, at least 0.9 are found at every length and none else."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(400)]
+
+    def edited(t, share):
+        t = list(t)
+        for _ in range(int(len(t) * share)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice(([], [rng.choice("etaoin ")], [t[k], rng.choice("etaoin ")]))
+        return "".join(t)
+
+    rows = []
+    for size in (100, 300, 800):
+        for _ in range(40):
+            t = " ".join(rng.choices(words, k=size))[:size]
+            rows += [(size, x) for x in (t, edited(t, 0.05), edited(t, 0.1))]
+    docs = spark.createDataFrame([(k, size, t) for k, (size, t) in enumerate(rows)], "doc_id long, size int, text string").repartition(4).cache()
+    a, b = docs.selectExpr("doc_id first", "size", "text x"), docs.selectExpr("doc_id", "size other", "text y")
+    near = a.join(b, a["first"] < b["doc_id"]).where("size = other").selectExpr("size", "first", "doc_id", "levenshtein(x, y) edits", "cast(greatest(length(x), length(y)) * 0.1D as int) most").where("edits <= most")
+    want = defaultdict(set)
+    for r in near.collect():
+        want[r["size"]].add((r["first"], r["doc_id"], r["edits"]))
+    prints = edit_embedding.fingerprint_documents(docs).select("doc_id", "fingerprint").cache()
+    got = {tuple(r) for r in edit_embedding.near_pairs(prints, docs).collect()}
+    assert len(want) == 3 and got <= set().union(*want.values())
+    share = {size: len(got & pairs) / len(pairs) for size, pairs in want.items()}
+    assert min(share.values()) >= 0.9, share
+
+
 def test_language_and_quality_cases(docs, rows):
     path = bpe.public_path(langid.MODEL)
     got = {r["doc_id"]: r for r in langid.predict(docs, *langid.fit(docs, path), path).collect()}
