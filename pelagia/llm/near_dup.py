@@ -41,8 +41,8 @@ SLOTS, ROWS = 128, 4
 BLOCK = 1024
 #: Members of one centre that one verifying group holds, about.
 PER_GROUP = 512
-#: Standard deviations by which an 8-bit slot estimate may fall short of the threshold.
-SLACK = 4.5
+#: Marks that bound how many shingles a set shares with the others of a cell.
+MARKS = 1 << 16
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,9 +208,10 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, do
     """Links (centre, id) between members of one bucket that are in different components so far.
 
     Buckets are cut into blocks of ``BLOCK`` members and compared block by block,
-    each member with its full shingle set. Of the pairs that the 8-bit slots don't
-    rule out, the likeliest are verified first; once a pair links two components,
-    no other pair of the two needs a look, so a cell gives fewer links than members.
+    each member with its full shingle set. Of the pairs that an upper bound of their
+    intersection doesn't rule out, those likeliest by the 8-bit slots are verified
+    first; once a pair links two components, no other pair of the two needs a look,
+    so a cell gives fewer links than members.
     """
     marked = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     w = Window.partitionBy("band")
@@ -256,17 +257,26 @@ def compare_cell(key: tuple, rows: list, percent: int) -> list[tuple[int, int]]:
     sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
     sets = [np.frombuffer(r[4], np.uint64) for r in rows]
     size = np.array([len(s) for s in sets])
-    m = sig.shape[1]
-    p = percent / 100 + (1 - percent / 100) / 256
-    least = m * p - SLACK * (m * p * (1 - p)) ** 0.5
+    low = np.concatenate([s.astype(np.uint16) for s in sets])  # modulo MARKS
+    begin = np.cumsum(size) - size
+    marks = np.zeros(MARKS, bool)
     root = np.unique(comp, return_inverse=True)[1]
     links = []
     for r in range(len(rows) - 1):
         rest = np.arange(r + 1, len(rows))
         rest = rest[(root[rest] != root[r]) & ((block[rest] != block[r]) | (key[1] == key[2]))]
         rest = rest[100 * np.minimum(size[rest], size[r]) >= percent * np.maximum(size[rest], size[r])]
+        if not len(rest):
+            continue
+        own = low[begin[r] : begin[r] + size[r]]
+        marks[own] = True
+        most = np.add.reduceat(marks[low[begin[r + 1] :]], begin[r + 1 :] - begin[r + 1], dtype=np.int64)[rest - r - 1]
+        marks[own] = False
+        # shingles that share a mark count as equal, so no pair at the threshold is ruled out
+        most = np.minimum(most, np.minimum(size[rest], size[r]))
+        rest = rest[100 * most >= percent * (size[rest] + size[r] - most)]
         same = (sig[rest] == sig[r]).sum(1)
-        for k in rest[np.argsort(-same, kind="stable")][: int((same >= least).sum())].tolist():
+        for k in rest[np.argsort(-same, kind="stable")].tolist():
             if root[k] == root[r]:
                 continue
             place = np.searchsorted(sets[r], sets[k])

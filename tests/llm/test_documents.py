@@ -68,6 +68,33 @@ def test_near_duplicates_brute_force(docs, rows):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_cell_links_are_exact():
+    """A pair at the threshold is a link whatever its 8-bit slots say; one just below it is none."""
+    rng = random.Random(2)
+    whole = sorted(rng.sample(range(1 << 62), 700))
+
+    def row(block, i, shingles):
+        return (block, i, i, bytes([i] * near_dup.SLOTS), b"".join(x.to_bytes(8, "little") for x in shingles))
+
+    assert near_dup.compare_cell((0, 0, 0), [row(0, 4, whole[:400]), row(0, 9, whole[:300])], 75) == [(4, 9)]
+    assert near_dup.compare_cell((0, 0, 0), [row(0, 4, whole[:400]), row(0, 9, whole[:299])], 75) == []
+    sets = {i: set(rng.sample(whole, 350)) if i % 3 else set(whole[: 300 + 12 * i]) for i in range(12)}
+    for key, block in (((0, 0, 0), lambda i: 0), ((0, 0, 1), lambda i: i // 6)):
+        got = near_dup.compare_cell(key, [row(block(i), i, sorted(s)) for i, s in sets.items()], 75)
+        near = {(a, b) for a in sets for b in sets if a < b and (key[1] == key[2] or block(a) != block(b)) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+        assert near and set(got) <= near
+
+        def groups(links):
+            up = {i: {i} for i in sets}
+            for a, b in links:
+                both = up[a] | up[b]
+                for i in both:
+                    up[i] = both
+            return {frozenset(g) for g in up.values()}
+
+        assert groups(got) == groups(near)
+
+
 def test_repeats_brute_force(docs, rows):
     seen, want = {}, {}
     raw = {r[0]: (r[1] or "").encode() for r in rows}
