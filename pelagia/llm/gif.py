@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -252,10 +253,9 @@ def decode_files(files: list[bytes]) -> list[tuple[int, int, int, list[Frame]]]:
     return out
 
 
-def compose(width: int, height: int, frames: list[Frame]) -> list[np.ndarray]:
+def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
     """RGB screens after each frame, by transparency and disposal; black where nothing is drawn."""
     screen = np.zeros((height, width, 3), np.uint8)
-    shown = []
     for f in frames:
         before = screen.copy() if f.disposal == 3 else None
         area = screen[f.top : f.top + f.height, f.left : f.left + f.width]
@@ -266,12 +266,11 @@ def compose(width: int, height: int, frames: list[Frame]) -> list[np.ndarray]:
         else:
             see = drawn != f.transparent
             area[see] = colours[see]
-        shown.append(screen.copy())
+        yield screen.copy()
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
             screen = before
-    return shown
 
 
 def histogram(colours: np.ndarray) -> np.ndarray:
@@ -280,8 +279,12 @@ def histogram(colours: np.ndarray) -> np.ndarray:
     return np.bincount((c[:, 0] * BINS + c[:, 1]) * BINS + c[:, 2], minlength=BINS**3)
 
 
-#: Which box each colour of the encoder's palette falls into.
-BOX = np.array([int(histogram(PALETTE[k]).argmax()) for k in range(256)])
+def timed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, delay, RGB screen, its histogram) of each frame of a file."""
+    start = 0
+    for f, rgb in zip(frames, compose(width, height, frames)):
+        yield start, f.delay, rgb, histogram(rgb)
+        start += f.delay
 
 
 def with_media(df: DataFrame) -> DataFrame:
@@ -306,11 +309,9 @@ def frames_of(media: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, (w, h, _, frames) in zip(b.column("doc_id").to_pylist(), decode_files([f or HEAD + b"\x3b" for f in b.column("media").to_pylist()])):
-                start = 0
-                for k, (f, rgb) in enumerate(zip(frames, compose(w, h, frames))):
-                    for col, v in zip(rows, (doc, k, start, f.delay, rgb.tobytes(), histogram(rgb).tolist())):
+                for k, (start, delay, rgb, boxes) in enumerate(timed(w, h, frames)):
+                    for col, v in zip(rows, (doc, k, start, delay, rgb.tobytes(), boxes.tolist())):
                         col.append(v)
-                    start += f.delay
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "frame", "start_cs", "delay_cs", "rgb", "histogram"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, frame int, start_cs long, delay_cs int, rgb binary, histogram array<long>")
@@ -318,17 +319,21 @@ def frames_of(media: DataFrame) -> DataFrame:
 
 def digest_media(df: DataFrame) -> DataFrame:
     """Store every whole text as GIF and describe what is read back from the stored bytes."""
-    stored = with_media(df)
+    return describe(with_media(df))
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """Digests of each file in (doc_id, n_bytes, media), and the share of each histogram box in its composed frames."""
 
     def make():
         def step(batch):
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             files = batch.column("media").to_pylist()
-            for file, (_, _, _, frames) in zip(files, decode_files(files)):
+            for file, (w, h, _, frames) in zip(files, decode_files(files)):
                 payload = np.concatenate([f.samples for f in frames])
                 raw = payload.tobytes()
-                boxes = np.bincount(BOX[payload], minlength=BINS**3)
-                for k, v in zip(out, (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(file), hashlib.sha256(file).hexdigest(), (boxes * 65535 // len(raw)).astype(">u2").tobytes().hex())):
+                boxes = sum(counts for _, _, _, counts in timed(w, h, frames))
+                for k, v in zip(out, (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(file), hashlib.sha256(file).hexdigest(), (boxes * 65535 // boxes.sum()).astype(">u2").tobytes().hex())):
                     out[k].append(v)
             return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | out
 

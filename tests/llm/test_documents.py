@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -168,6 +169,38 @@ def test_lzw_round_trip():
         assert bytes(gif.lzw_decode(gif.lzw_encode(data), 8, len(data)).astype("uint8")) == data
 
 
+def gif_file(frames, palette, size=2):
+    """A GIF of (left, top, width, height, delay, disposal, transparent, own palette, samples), LZW from the dictionary coder."""
+    colours = lambda p: bytes(x for c in p + [(0, 0, 0)] * (256 - len(p)) for x in c)
+    out = b"GIF89a" + struct.pack("<HHBBB", size, size, 0xF7, 0, 0) + colours(palette)
+    for left, top, w, h, delay, disposal, key, own, samples in frames:
+        out += b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (key is not None), delay, key or 0, 0)
+        out += b"\x2c" + struct.pack("<HHHHB", left, top, w, h, 0x87 if own else 0) + (colours(own) if own else b"") + b"\x08"
+        data = gif.lzw_encode(bytes(samples))
+        out += bytes([len(data)]) + data + b"\x00"
+    return out + b"\x3b"
+
+
+R, G, B, O = (255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0)  # noqa: E741
+
+
+def test_frames_by_transparency_and_disposal(spark):
+    file = gif_file([(0, 0, 2, 2, 5, 0, None, None, [0] * 4), (1, 0, 1, 2, 7, 3, 2, None, [1, 2]), (0, 1, 2, 1, 9, 2, None, [B], [0, 0]), (0, 0, 1, 1, 1, 1, None, None, [1])], [R, G, B])
+    want = [(0, 5, [R, R, R, R]), (5, 7, [R, G, R, R]), (12, 9, [R, R, B, B]), (21, 1, [G, R, O, O])]
+    box = lambda c: (c[0] * 4 // 256 * 4 + c[1] * 4 // 256) * 4 + c[2] * 4 // 256
+    stored = spark.createDataFrame([(1, 11, bytearray(file))], "doc_id long, n_bytes long, media binary")
+    got = sorted(gif.frames_of(stored).collect(), key=lambda r: r["frame"])
+    counts = [0] * 64
+    assert len(got) == len(want)
+    for r, (start, delay, screen) in zip(got, want):
+        assert (r["start_cs"], r["delay_cs"], r["rgb"]) == (start, delay, bytes(x for c in screen for x in c))
+        assert r["histogram"] == [sum(box(c) == k for c in screen) for k in range(64)]
+        counts = [a + b for a, b in zip(counts, r["histogram"])]
+    one = gif.describe(stored).collect()[0]
+    assert (one["n_bytes"], one["payload_bytes"]) == (11, 9)
+    assert one["feature"] == b"".join((c * 65535 // 16).to_bytes(2, "big") for c in counts).hex()
+
+
 def test_fingerprints(docs, rows):
     got = {r["doc_id"]: r for r in edit_embedding.fingerprint_documents(docs).collect()}
     prints = defaultdict(set)
