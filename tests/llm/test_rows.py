@@ -1,6 +1,7 @@
 """Chat formatting, the URL filter and the pipeline on small inputs."""
 
 import hashlib
+import math
 from collections import defaultdict
 
 from pelagia.llm import chat, urls
@@ -45,6 +46,34 @@ def test_url_rules(spark):
         assert r["verdict"] == fit[2] if fit else r["verdict"] in ("allow", "block")
 
 
+def test_url_differences_are_those_of_the_smoothed_models(spark):
+    seen = [("abcab", True)] * 9 + [("abd", False), ("bcd", False), ("abxab", True), ("ca", False)]
+    asked = ["abcab", "abz", "zabq", "q", "bcdx", "cabdab", "zz"]
+
+    def grams(t):
+        t = urls.START * (urls.ORDER - 1) + t + urls.END
+        return [t[k : k + urls.ORDER] for k in range(len(t) - urls.ORDER + 1)]
+
+    counts = [defaultdict(int), defaultdict(int)]  # of every n-gram, by class
+    for t, yes in seen:
+        for g in grams(t):
+            for n in range(1, urls.ORDER + 1):
+                counts[yes][g[-n:]] += 1
+
+    def p(yes, gram):
+        """The interpolated probability of a gram's last character."""
+        if not gram:
+            return 1 / urls.ALPHABET
+        total = sum(n for g, n in counts[yes].items() if len(g) == len(gram) and g[:-1] == gram[:-1])
+        return (counts[yes][gram] + urls.LEAN * p(yes, gram[1:])) / (total + urls.LEAN)
+
+    model = urls.fit(spark.createDataFrame(seen, "text string, accepted boolean"))
+    got = {r["t"]: r["difference"] for r in urls.scored(spark.createDataFrame([(t,) for t in asked], "t string"), model, "t", "t").collect()}
+    for t in asked:
+        want = sum(math.log(p(True, g) / p(False, g)) for g in grams(t)) / (len(t) + 1)
+        assert abs(got[t] - want) < 1e-9, (t, got[t], want)
+
+
 def test_pipeline_keeps_only_input_documents(spark):
     import corpus_pipeline
 
