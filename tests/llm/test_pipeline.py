@@ -1,0 +1,149 @@
+"""Each stage of the pipeline against a brute-force result on a small table."""
+
+import math
+import zlib
+from collections import defaultdict
+
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from pelagia.llm import bpe, langid, quality
+from tests.llm.test_documents import shingles
+
+SF = "/root/testdata/sf0.001"
+STAGE = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The documents of sf0.001 and some awkward ones."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    long = max((r["text"] for r in d.where("text IS NOT NULL").collect()), key=len)
+    added = [None, "", "12 345 !?", long, long[:400] + " éü日本 " + long[500:900], "ab", "x" * 130 + " " + long[300:700]]
+    extra = spark.createDataFrame([(10_000 + k, t, None, "added", None if t is None else len(t)) for k, t in enumerate(added)], d.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    return d.select(extra.columns).unionByName(extra).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r["doc_id"]: r for r in docs.collect()}
+
+
+def kept(spark, docs, rows, name):
+    """Ids that a stage keeps; what it keeps must be the rows as they were."""
+    got = STAGE[name](spark, docs, SF).collect()
+    assert all(r == rows[r["doc_id"]] for r in got) and len(got) == len({r["doc_id"] for r in got})
+    return {r["doc_id"] for r in got}
+
+
+def test_quality_stage(spark, docs, rows):
+    w = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    bits = (len(w) - 1).bit_length() - 1
+
+    def score(text):
+        places, _ = quality.features([(text or "").encode()], bits)
+        mean = math.fsum(w[k] for k in places.tolist()) / max(1, len(places))
+        return 1 / (1 + math.exp(-(quality.SCALE * mean + w[-1])))
+
+    want = {i for i, r in rows.items() if score(r["text"]) >= quality.THRESHOLD}
+    got = kept(spark, docs, rows, "quality classifier")
+    assert got == want and 0 < len(got) < len(rows)
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()} & set(rows)
+    assert len(good & got) >= 0.9 * len(good)
+
+
+def test_language_stage(spark, docs, rows):
+    path = bpe.public_path(langid.MODEL)
+    langs, logp = langid.fit(docs, path)
+    ids = {p: i for i, p in enumerate(p for p in langid.vocabulary(path) if len(p) <= langid.MAX_PIECE)}
+    known = {}
+
+    def word(w):
+        """Log probabilities of a word, one for each language, over all its segmentations."""
+        if w not in known:
+            sums = [[0.0] * len(langs)]
+            for e in range(1, len(w) + 1):
+                terms = [(s, ids.get(w[s:e], len(ids) if e - s == 1 else None)) for s in range(max(0, e - langid.MAX_PIECE), e)]
+                here = []
+                for k in range(len(langs)):
+                    x = [sums[s][k] + logp[p, k] for s, p in terms if p is not None]
+                    here.append(max(x) + math.log(math.fsum(math.exp(v - max(x)) for v in x)))
+                sums.append(here)
+            known[w] = sums[-1]
+        return known[w]
+
+    def sure(text):
+        total = [math.fsum(word(langid.MARK + w)[k] for w in text.lower().split()) for k in range(len(langs))]
+        return 1 / sum(math.exp(min(700, x - max(total))) for x in total)
+
+    want = {i for i, r in rows.items() if any(map(str.isalpha, r["text"] or "")) and sure(r["text"]) >= 0.5}
+    got = kept(spark, docs, rows, "language ID")
+    assert got == want and {10_000, 10_001, 10_002}.isdisjoint(got)
+    assert {i for i, r in rows.items() if r["lang"]} <= got
+
+
+def test_near_dedup_stage(spark, docs, rows):
+    sets = {i: shingles(r["text"]) for i, r in rows.items()}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    got = kept(spark, docs, rows, "MinHash near-dedup")
+    assert got == {i for i in sets if find(i) == i} and len(got) < len(rows)
+
+
+def test_repeats_stage(spark, docs, rows):
+    raw = {i: (rows[i]["text"] or "").encode() for i in sorted(rows)}
+    seen, cut = {}, 0
+    for i, b in raw.items():
+        for k in range(len(b) - 49):
+            seen.setdefault(b[k : k + 50], i)
+    got = {r["doc_id"]: r for r in STAGE["suffix-array dedup"](spark, docs, SF).collect()}
+    assert set(got) == set(rows)
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\x01" * 50
+        cut += any(gone)
+        want = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore") if any(gone) else rows[i]["text"]
+        assert got[i]["text"] == want and got[i]["n_chars"] == (None if want is None else len(want)), i
+        assert (got[i]["lang"], got[i]["source"]) == (rows[i]["lang"], rows[i]["source"])
+    assert cut
+
+
+def test_packing_stage(spark, docs, rows):
+    tok = Tokenizer.from_file(bpe.public_path(corpus_pipeline.WORD_BPE))
+    tok.no_truncation(), tok.no_padding()
+    want = set()
+    for i, r in rows.items():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want.add((i, k // 4096, k, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))))
+    got = STAGE["best-fit packing"](spark, docs, SF).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    bins, open_ = defaultdict(list), []
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 4096
+    for n in sorted((p[3] for p in want), reverse=True):
+        fit = min((c for c in open_ if c >= n), default=None)
+        if fit is not None:
+            open_.remove(fit)
+        open_.append((4096 if fit is None else fit) - n)
+    assert len(bins) == len(open_)
