@@ -25,9 +25,12 @@ from pelagia.llm.common import bounded, filter_rows, fold_hash, held_out, map_ro
 SAMPLE = 1500
 ROUNDS = 2
 MARK = "▁"
-#: Longest piece and longest word part considered; a longer word is cut into such parts.
+#: Longest piece considered, and longest word whose expectations need no logarithms.
 MAX_PIECE, MAX_WORD = 16, 48
-CACHE = 300_000
+#: Positions of a word whose edges are held at once.
+STRETCH = 256
+#: Words, and characters in them, that a scorer remembers; characters that advance together, about.
+CACHE, CACHE_CHARS, TOGETHER = 300_000, 8_000_000, 1 << 17
 SMOOTH = 0.5
 UNKNOWN_SHARE = 1e-7
 
@@ -50,62 +53,62 @@ class Pieces:
         self.size = len(self.ids) + 1  # the last id: any other single character
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, start, piece) of all pieces in the marked word, ordered by end."""
+    def edges(self, word: str, after: int = 0, until: int | None = None) -> list[tuple[int, int, int]]:
+        """(end, start, piece) of all pieces in the marked word that end in (after, until], ordered by end."""
         ids, prefixes, out = self.ids, self.prefixes, []
-        n = len(word)
-        for i in range(n):
-            single = ids.get(word[i], self.size - 1)
-            out.append((i + 1, i, single))
+        n = len(word) if until is None else min(len(word), until)
+        for i in range(max(0, after - MAX_PIECE + 1), n):
+            if i >= after:
+                single = ids.get(word[i], self.size - 1)
+                out.append((i + 1, i, single))
             for j in range(i + 2, min(n, i + MAX_PIECE) + 1):
                 part = word[i:j]
                 if part not in prefixes:
                     break
-                if part in ids:
+                if part in ids and j > after:
                     out.append((j, i, ids[part]))
         out.sort()
         return out
 
 
-def marked(word: str) -> list[str]:
-    """A word with its start marked, cut into parts of bounded length."""
-    w = MARK + word
-    return [w[k : k + MAX_WORD] for k in range(0, len(w), MAX_WORD)]
-
-
 def forward(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """Log probability of each marked word in each language, summed over segmentations.
 
     All words advance by end position together: position ``e`` of every word
-    gathers the edges that end there.
+    gathers the edges that end there. Only the last positions that a piece can
+    reach back to are kept, and edges of ``STRETCH`` positions, for words of any length.
     """
-    start, end, piece, row = [], [], [], []
-    for r, w in enumerate(words):
-        for e, s, p in pieces.edges(w):
-            end.append(e)
-            start.append(s)
-            piece.append(p)
-            row.append(r)
     out = np.zeros((len(words), logp.shape[1]))
     if not words:
         return out
-    end, start, piece, row = map(np.array, (end, start, piece, row))
-    width = int(end.max()) + 1
-    alpha = np.full((len(words), width, logp.shape[1]), -np.inf)
+    lengths, kept = np.array([len(w) for w in words]), MAX_PIECE + 1
+    alpha = np.full((len(words), kept, logp.shape[1]), -np.inf)
     alpha[:, 0] = 0
-    order = np.lexsort((row, end))
-    end, start, piece, row = end[order], start[order], piece[order], row[order]
-    cuts = np.searchsorted(end, np.arange(1, width + 1))
-    for e in range(1, width):
-        a, b = cuts[e - 1], cuts[e]
-        r, terms = row[a:b], alpha[row[a:b], start[a:b]] + logp[piece[a:b]]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        top = np.maximum.reduceat(terms, first)
-        size = np.diff(np.concatenate([first, [len(r)]]))
-        total = np.add.reduceat(np.exp(terms - np.repeat(top, size, 0)), first)
-        alpha[r[first], e] = top + np.log(total)
-    lengths = np.array([len(w) for w in words])
-    return alpha[np.arange(len(words)), lengths]
+    for base in range(0, int(lengths.max()), STRETCH):
+        start, end, piece, row = [], [], [], []
+        for r in np.flatnonzero(lengths > base).tolist():
+            for e, s, p in pieces.edges(words[r], base, base + STRETCH):
+                end.append(e)
+                start.append(s)
+                piece.append(p)
+                row.append(r)
+        end, start, piece, row = map(np.array, (end, start, piece, row))
+        order = np.lexsort((row, end))
+        end, start, piece, row = end[order], start[order] % kept, piece[order], row[order]
+        last = int(end[-1])
+        cuts = np.searchsorted(end, np.arange(base + 1, last + 2))
+        for e in range(base + 1, last + 1):
+            a, b = cuts[e - base - 1], cuts[e - base]
+            r, terms = row[a:b], alpha[row[a:b], start[a:b]] + logp[piece[a:b]]
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            top = np.maximum.reduceat(terms, first)
+            size = np.diff(np.concatenate([first, [len(r)]]))
+            total = np.add.reduceat(np.exp(terms - np.repeat(top, size, 0)), first)
+            here, sums = r[first], top + np.log(total)
+            alpha[here, e % kept] = sums
+            ended = lengths[here] == e
+            out[here[ended]] = sums[ended]
+    return out
 
 
 class Scorer:
@@ -114,22 +117,26 @@ class Scorer:
     def __init__(self, pieces: Pieces, logp: np.ndarray):
         self.pieces, self.logp = pieces, logp
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, logp.shape[1]), np.float32)
+        self.rows = np.zeros((1024, logp.shape[1]))
+        self.chars = 0
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) > CACHE:
+        if len(self.at) > CACHE or self.chars > CACHE_CHARS:
             self.at.clear()
-        new = [w for w in words if w not in self.at]
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            parts = [marked(w) for w in part]
-            got = forward([p for ps in parts for p in ps], self.pieces, self.logp)
-            n = np.array([len(ps) for ps in parts])
-            got = np.add.reduceat(got, np.cumsum(n) - n)
+            self.chars = 0
+        new = sorted((w for w in words if w not in self.at), key=len)
+        k = 0
+        while k < len(new):
+            part, size = [], 0
+            while k < len(new) and len(part) < 8192 and size < TOGETHER:
+                part.append(new[k])
+                size += min(len(new[k]) + 1, STRETCH)
+                self.chars += len(new[k])
+                k += 1
             base = len(self.at)
             while base + len(part) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[base : base + len(part)] = got
+            self.rows[base : base + len(part)] = forward([MARK + w for w in part], self.pieces, self.logp)
             self.at.update(zip(part, range(base, base + len(part))))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +192,7 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
                 for n, w, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                     if n not in got:
                         got[n] = np.zeros(model.size)
-                    expect_into(got[n], marked(w), t, model, now[:, place[n]])
+                    expect_into(got[n], MARK + w, t, model, now[:, place[n]])
             for n, v in got.items():
                 at = np.flatnonzero(v)
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(at)), pa.array(at), pa.array(v[at])], ["lang", "piece", "n"])
@@ -198,20 +205,31 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
     return langs, logp
 
 
-def expect_into(out: np.ndarray, parts: list[str], times: int, model: Pieces, logp: np.ndarray) -> None:
-    """Add the expected piece counts of a word's parts under one language (forward-backward)."""
-    for w in parts:
-        edges, m = model.edges(w), len(w)
-        f, b = [0.0] * (m + 1), [0.0] * (m + 1)
-        f[0] = b[m] = 1.0
-        p = np.exp(logp[[x[2] for x in edges]]).tolist()
-        for (e, s, _), q in zip(edges, p):
-            f[e] += f[s] * q
-        for (e, s, _), q in zip(reversed(edges), reversed(p)):
-            b[s] += b[e] * q
-        if f[m] > 0:
-            for (e, s, i), q in zip(edges, p):
-                out[i] += times * f[s] * q * b[e] / f[m]
+def expect_into(out: np.ndarray, w: str, times: int, model: Pieces, logp: np.ndarray) -> None:
+    """Add the expected piece counts of a marked word under one language (forward-backward)."""
+    m = len(w)
+    if m > MAX_WORD:  # products of so many probabilities can vanish
+        f, b = np.full(m + 1, -np.inf), np.full(m + 1, -np.inf)
+        f[0] = b[m] = 0.0
+        for base in range(0, m, STRETCH):
+            for e, s, i in model.edges(w, base, base + STRETCH):
+                f[e] = np.logaddexp(f[e], f[s] + logp[i])
+        for base in reversed(range(0, m, STRETCH)):
+            for e, s, i in reversed(model.edges(w, base, base + STRETCH)):
+                out[i] += times * np.exp(f[s] + logp[i] + b[e] - f[m])
+                b[s] = np.logaddexp(b[s], b[e] + logp[i])
+        return
+    edges = model.edges(w)
+    f, b = [0.0] * (m + 1), [0.0] * (m + 1)
+    f[0] = b[m] = 1.0
+    p = np.exp(logp[[x[2] for x in edges]]).tolist()
+    for (e, s, _), q in zip(edges, p):
+        f[e] += f[s] * q
+    for (e, s, _), q in zip(reversed(edges), reversed(p)):
+        b[s] += b[e] * q
+    if f[m] > 0:
+        for (e, s, i), q in zip(edges, p):
+            out[i] += times * f[s] * q * b[e] / f[m]
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str) -> DataFrame:

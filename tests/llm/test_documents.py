@@ -1,12 +1,14 @@
 """Document operators against brute force on a small, awkward table."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -267,6 +269,38 @@ def test_language_and_quality_cases(docs, rows):
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
 
 
+@pytest.mark.parametrize("size", [30, 48, 49, 90, 255, 256, 257, 700])
+def test_long_words_are_summed_over_all_segmentations(size):
+    rng = random.Random(size)
+    names = [*"abcde", "ab", "abc", "ea", "bcdea", "abcdeabcdeabcdea", langid.MARK + "a", "deabc"]
+    pieces = langid.Pieces(names)
+    logp = np.log(np.array([[rng.uniform(0.001, 0.05) for _ in range(3)] for _ in range(pieces.size)]))
+    words = [langid.MARK + "".join(rng.choices(["abcde", "a", "b", "ea", "x"], k=size))[: n - 1] for n in (size, size // 2, 3)]
+
+    def total(w, k, change=None):
+        """Log sum over all segmentations, position by position, one piece's log probability changed."""
+        f = [0.0]
+        for e in range(1, len(w) + 1):
+            x = []
+            for s in range(max(0, e - 16), e):
+                i = pieces.ids.get(w[s:e], pieces.size - 1 if e - s == 1 else None)
+                if i is not None:
+                    x.append(f[s] + logp[i, k] + (change[1] if change and change[0] == i else 0.0))
+            f.append(max(x) + math.log(math.fsum(math.exp(v - max(x)) for v in x)))
+        return f[-1]
+
+    got = langid.forward(words, pieces, logp)
+    assert np.allclose(got, [[total(w, k) for k in range(3)] for w in words], rtol=1e-12, atol=0)
+    scorer = langid.Scorer(pieces, logp)
+    scorer.learn({w[1:] for w in words})
+    assert all(np.allclose(scorer.rows[scorer.at[w[1:]]], got[k], rtol=1e-12, atol=0) for k, w in enumerate(words))
+    counts = np.zeros(pieces.size)
+    langid.expect_into(counts, words[0], 2, pieces, logp[:, 1])
+    for i in range(pieces.size):  # an expected count is the slope of the log sum
+        slope = (total(words[0], 1, (i, 1e-5)) - total(words[0], 1, (i, -1e-5))) / 2e-5
+        assert abs(counts[i] - 2 * slope) < 1e-4 * max(1, counts[i]), i
+
+
 def test_quality_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
