@@ -25,8 +25,10 @@ from pelagia.llm.common import bounded, filter_rows, fold_hash, held_out, map_ro
 SAMPLE = 1500
 ROUNDS = 2
 MARK = "▁"
-#: Longest piece considered, and longest word whose expectations need no logarithms.
-MAX_PIECE, MAX_WORD = 16, 48
+#: Longest piece in MODEL's vocabulary; another vocabulary brings its own.
+MAX_PIECE = 16
+#: Bits of a code point in a trie key.
+CHARACTER_BITS = 21
 #: Positions of a word whose edges are held at once.
 STRETCH = 256
 #: Words, and characters in them, that a scorer remembers; characters that advance together, about.
@@ -46,29 +48,77 @@ def vocabulary(path: str) -> list[str]:
 
 
 class Pieces:
-    """Cuts words into lattice edges over the vocabulary."""
+    """Cuts words into lattice edges over the vocabulary, held as a trie in sorted arrays."""
 
     def __init__(self, pieces: list[str]):
-        self.ids = {p: i for i, p in enumerate(p for p in pieces if len(p) <= MAX_PIECE)}
-        self.size = len(self.ids) + 1  # the last id: any other single character
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.ids = {p: i for i, p in enumerate(pieces)}
+        self.size = len(pieces) + 1  # the last id: any other single character
+        self.longest = max(map(len, pieces), default=1)
+        nodes, piece_of = {}, [-1]  # (node, character) to node; node to the piece that ends there
+        for i, p in enumerate(pieces):
+            node = 0
+            for c in p:
+                after = nodes.setdefault(node << CHARACTER_BITS | ord(c), len(piece_of))
+                if after == len(piece_of):
+                    piece_of.append(-1)
+                node = after
+            piece_of[node] = i
+        keys = np.array([*nodes, np.iinfo(np.int64).max], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array([*nodes.values(), 0], np.int64)[order]
+        self.piece = np.array(piece_of, np.int64)
+
+    def lattice(self, words: list[str], after: int = 0, until: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(end, row, start, piece) of all pieces in the marked words that end in (after, until], ordered by end and row.
+
+        All positions that are still on a path go down the trie together, a character a round.
+        """
+        low = max(0, after - self.longest + 1)
+        parts = [w[low:until] for w in words]
+        size = np.array([len(x) for x in parts], np.int64)
+        char = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        stops = np.cumsum(size)
+        row = np.repeat(np.arange(len(parts)), size)
+        stop, shift = stops[row], low - (stops - size)[row]  # the word's end; its places less those in ``char``
+        start, node, found = np.arange(len(char)), np.zeros(len(char), np.int64), []
+        for k in range(1, self.longest + 1):
+            key = node << CHARACTER_BITS | char[start + k - 1]
+            place = np.searchsorted(self.keys, key)
+            known = self.keys[place] == key
+            node = self.child[place]
+            piece = np.where(known, self.piece[node], -1)
+            if k == 1:  # every character is an edge, whether the vocabulary has it or not
+                found.append((start, k, np.where(piece < 0, self.size - 1, piece)))
+            elif (piece >= 0).any():
+                found.append((start[piece >= 0], k, piece[piece >= 0]))
+            on = known & (start + k < stop[start])
+            start, node = start[on], node[on]
+            if not len(start):
+                break
+        at = np.concatenate([f[0] for f in found])
+        piece = np.concatenate([f[2] for f in found])
+        begin = at + shift[at]
+        end = begin + np.repeat([f[1] for f in found], [len(f[0]) for f in found])
+        order = np.flatnonzero(end > after)
+        order = order[np.argsort(end[order] * len(words) + row[at[order]], kind="stable")]
+        return end[order], row[at[order]], begin[order], piece[order]
 
     def edges(self, word: str, after: int = 0, until: int | None = None) -> list[tuple[int, int, int]]:
-        """(end, start, piece) of all pieces in the marked word that end in (after, until], ordered by end."""
-        ids, prefixes, out = self.ids, self.prefixes, []
-        n = len(word) if until is None else min(len(word), until)
-        for i in range(max(0, after - MAX_PIECE + 1), n):
-            if i >= after:
-                single = ids.get(word[i], self.size - 1)
-                out.append((i + 1, i, single))
-            for j in range(i + 2, min(n, i + MAX_PIECE) + 1):
-                part = word[i:j]
-                if part not in prefixes:
-                    break
-                if part in ids and j > after:
-                    out.append((j, i, ids[part]))
-        out.sort()
-        return out
+        """(end, start, piece) of all pieces in one marked word that end in (after, until], ordered by end."""
+        end, _, start, piece = self.lattice([word], after, until)
+        return list(zip(end.tolist(), start.tolist(), piece.tolist()))
+
+
+def summed(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log of the sums of exp(terms) over runs that begin at ``first``."""
+    top = np.maximum.reduceat(terms, first)
+    size = np.diff(np.append(first, len(terms)))
+    return top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, size, 0)), first))
+
+
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
 def forward(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
@@ -81,30 +131,19 @@ def forward(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), logp.shape[1]))
     if not words:
         return out
-    lengths, kept = np.array([len(w) for w in words]), MAX_PIECE + 1
+    lengths, kept = np.array([len(w) for w in words]), pieces.longest + 1
     alpha = np.full((len(words), kept, logp.shape[1]), -np.inf)
     alpha[:, 0] = 0
     for base in range(0, int(lengths.max()), STRETCH):
-        start, end, piece, row = [], [], [], []
-        for r in np.flatnonzero(lengths > base).tolist():
-            for e, s, p in pieces.edges(words[r], base, base + STRETCH):
-                end.append(e)
-                start.append(s)
-                piece.append(p)
-                row.append(r)
-        end, start, piece, row = map(np.array, (end, start, piece, row))
-        order = np.lexsort((row, end))
-        end, start, piece, row = end[order], start[order] % kept, piece[order], row[order]
-        last = int(end[-1])
+        live = np.flatnonzero(lengths > base)
+        end, row, start, piece = pieces.lattice([words[r] for r in live.tolist()], base, base + STRETCH)
+        row, start, last = live[row], start % kept, int(end[-1])
         cuts = np.searchsorted(end, np.arange(base + 1, last + 2))
         for e in range(base + 1, last + 1):
             a, b = cuts[e - base - 1], cuts[e - base]
-            r, terms = row[a:b], alpha[row[a:b], start[a:b]] + logp[piece[a:b]]
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            top = np.maximum.reduceat(terms, first)
-            size = np.diff(np.concatenate([first, [len(r)]]))
-            total = np.add.reduceat(np.exp(terms - np.repeat(top, size, 0)), first)
-            here, sums = r[first], top + np.log(total)
+            r = row[a:b]
+            first = run_starts(r)
+            here, sums = r[first], summed(alpha[r, start[a:b]] + logp[piece[a:b]], first)
             alpha[here, e % kept] = sums
             ended = lengths[here] == e
             out[here[ended]] = sums[ended]
@@ -189,10 +228,11 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
             model, place = Pieces(names), {n: k for k, n in enumerate(order)}
             got: dict[str, np.ndarray] = {}
             for b in batches:
-                for n, w, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    if n not in got:
-                        got[n] = np.zeros(model.size)
-                    expect_into(got[n], MARK + w, t, model, now[:, place[n]])
+                lang, word = (np.array(b.column(k).to_pylist(), object) for k in range(2))
+                times = b.column(2).to_numpy().astype(float)
+                for n in sorted(set(lang)):
+                    at = np.flatnonzero(lang == n)
+                    expect_words(got.setdefault(n, np.zeros(model.size)), [MARK + w for w in word[at]], times[at], model, now[:, place[n]])
             for n, v in got.items():
                 at = np.flatnonzero(v)
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(at)), pa.array(at), pa.array(v[at])], ["lang", "piece", "n"])
@@ -205,31 +245,65 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
     return langs, logp
 
 
-def expect_into(out: np.ndarray, w: str, times: int, model: Pieces, logp: np.ndarray) -> None:
-    """Add the expected piece counts of a marked word under one language (forward-backward)."""
+def expect_into(out: np.ndarray, w: str, times: float, model: Pieces, logp: np.ndarray) -> None:
+    """Add the expected piece counts of one marked word under one language."""
+    expect_words(out, [w], np.array([times], float), model, logp)
+
+
+def expect_words(out: np.ndarray, words: list[str], times: np.ndarray, model: Pieces, logp: np.ndarray) -> None:
+    """Add the expected piece counts of marked words under one language (forward-backward in logs)."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    k = 0
+    while k < len(order):
+        part, size = [], 0
+        while k < len(order) and (not part or len(part) < 8192 and size < TOGETHER and len(words[order[k]]) <= STRETCH):
+            part.append(order[k])
+            size += len(words[order[k]])
+            k += 1
+        if len(words[part[-1]]) > STRETCH:
+            expect_long(out, words[part[-1]], float(times[part[-1]]), model, logp)
+            part.pop()
+        if part:
+            expect_batch(out, [words[r] for r in part], times[part], model, logp)
+
+
+def expect_batch(out: np.ndarray, words: list[str], times: np.ndarray, model: Pieces, logp: np.ndarray) -> None:
+    """Expected counts of words of bounded length, which advance together."""
+    lengths = np.array([len(w) for w in words])
+    end, row, start, piece = model.lattice(words)
+    most = int(lengths.max())
+    f = np.full((len(words), most + 1), -np.inf)
+    f[:, 0] = 0.0
+    p = logp[piece]
+    cuts = np.searchsorted(end, np.arange(1, most + 2))
+    for e in range(most):
+        a, b = cuts[e], cuts[e + 1]
+        first = run_starts(row[a:b])
+        f[row[a:b][first], e + 1] = summed(f[row[a:b], start[a:b]] + p[a:b], first)
+    back = np.full_like(f, -np.inf)
+    back[np.arange(len(words)), lengths] = 0.0
+    order = np.argsort(start * len(words) + row, kind="stable")
+    cuts = np.searchsorted(start[order], np.arange(most + 1))
+    for s in reversed(range(most)):
+        o = order[cuts[s] : cuts[s + 1]]
+        first = run_starts(row[o])
+        back[row[o][first], s] = summed(back[row[o], end[o]] + p[o], first)
+    share = np.exp(f[row, start] + p + back[row, end] - f[row, lengths[row]])
+    out += np.bincount(piece, share * times[row], len(out))
+
+
+def expect_long(out: np.ndarray, w: str, times: float, model: Pieces, logp: np.ndarray) -> None:
+    """Expected counts of one long word, the edges of ``STRETCH`` positions at a time."""
     m = len(w)
-    if m > MAX_WORD:  # products of so many probabilities can vanish
-        f, b = np.full(m + 1, -np.inf), np.full(m + 1, -np.inf)
-        f[0] = b[m] = 0.0
-        for base in range(0, m, STRETCH):
-            for e, s, i in model.edges(w, base, base + STRETCH):
-                f[e] = np.logaddexp(f[e], f[s] + logp[i])
-        for base in reversed(range(0, m, STRETCH)):
-            for e, s, i in reversed(model.edges(w, base, base + STRETCH)):
-                out[i] += times * np.exp(f[s] + logp[i] + b[e] - f[m])
-                b[s] = np.logaddexp(b[s], b[e] + logp[i])
-        return
-    edges = model.edges(w)
-    f, b = [0.0] * (m + 1), [0.0] * (m + 1)
-    f[0] = b[m] = 1.0
-    p = np.exp(logp[[x[2] for x in edges]]).tolist()
-    for (e, s, _), q in zip(edges, p):
-        f[e] += f[s] * q
-    for (e, s, _), q in zip(reversed(edges), reversed(p)):
-        b[s] += b[e] * q
-    if f[m] > 0:
-        for (e, s, i), q in zip(edges, p):
-            out[i] += times * f[s] * q * b[e] / f[m]
+    f, b = np.full(m + 1, -np.inf), np.full(m + 1, -np.inf)
+    f[0] = b[m] = 0.0
+    for base in range(0, m, STRETCH):
+        for e, s, i in model.edges(w, base, base + STRETCH):
+            f[e] = np.logaddexp(f[e], f[s] + logp[i])
+    for base in reversed(range(0, m, STRETCH)):
+        for e, s, i in reversed(model.edges(w, base, base + STRETCH)):
+            out[i] += times * np.exp(f[s] + logp[i] + b[e] - f[m])
+            b[s] = np.logaddexp(b[s], b[e] + logp[i])
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str) -> DataFrame:
