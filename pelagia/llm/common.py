@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,3 +90,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut lineage: a reliable checkpoint in the shared folder."""
     return df.checkpoint(eager=True)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system, before the worker waits or is used again."""
+    pa.default_memory_pool().release_unused()
+    if trim := _libc():
+        trim(0)
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that no column has, whatever the case."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out

@@ -16,11 +16,8 @@ SHALLOW = 24
 
 
 def words_at(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from every position on, as big-endian numbers (zeros past the end)."""
-    x = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
-    x = x[:-1] << np.uint64(8) | x[1:]
-    x = x[:-2] << np.uint64(16) | x[2:]
-    return (x[:-4] << np.uint64(32) | x[4:])[: len(buf)]
+    """The eight bytes from every position on, as big-endian numbers (zeros past the end): a view, no copy for each."""
+    return np.ndarray(len(buf), ">u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
 
 
 class BlindTrie:
@@ -98,7 +95,7 @@ def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: n
         group, who = np.cumsum(new)[tied], order[tied]
         left = np.clip(length[who] - depth, 0, 8)
         at = np.minimum(start[who] + depth, max(len(word) - 1, 0))
-        key = word[at] >> ((8 - left) * 8).astype(np.uint64) % np.uint64(64)
+        key = word[at].astype(np.uint64) >> ((8 - left) * 8).astype(np.uint64) % np.uint64(64)
         key = np.where(left > 0, key << ((8 - left) * 8).astype(np.uint64) % np.uint64(64), np.uint64(0))
         sub = np.lexsort((left, key, group))
         order[tied] = who[sub]
@@ -107,16 +104,30 @@ def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: n
     equal = np.zeros(n, bool)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], n)
-    raw = None
-    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    if len(tied):  # groups whose members are all equal need no trie
+        head = starts[np.cumsum(new)[tied] - 1]
+        alike = length[order[tied]] == length[order[head]]
+        group = np.cumsum(new)[tied] - 1
+        odd = np.zeros(len(starts), bool)
+        odd[group[~alike]] = True
+        for depth in range(SHALLOW, int(length[order[tied]].max()), 8):
+            at = np.flatnonzero(~odd[group] & (length[order[tied]] > depth) & (tied != head))
+            if not len(at):
+                break
+            who, first_ = order[tied[at]], order[head[at]]
+            back = np.maximum(0, depth + 8 - length[who])  # the last eight bytes may overlap the ones before
+            differ = word[start[who] + depth - back] != word[start[first_] + depth - back]
+            odd[group[at[differ]]] = True
+        same = tied[~odd[group] & (tied != head)]
+        equal[same] = True
+    else:
+        odd = np.zeros(len(starts), bool)
+    raw = buf.tobytes() if odd.any() else b""
+    for a, b in zip(starts[odd].tolist(), ends[odd].tolist()):
         who = order[a:b].copy()
-        raw = buf.tobytes() if raw is None else raw
-        strings = [raw[s + SHALLOW : s + m] for s, m in zip(start[who].tolist(), length[who].tolist())]
-        if strings.count(strings[0]) == len(strings):
-            equal[a + 1 : b] = True
-            continue
         at = a
-        for members in BlindTrie(strings).ordered():
+        for members in BlindTrie([raw[s + SHALLOW : s + m] for s, m in zip(start[who].tolist(), length[who].tolist())]).ordered():
             order[at : at + len(members)] = who[members]
             equal[at + 1 : at + len(members)] = True
             at += len(members)

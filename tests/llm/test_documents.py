@@ -115,6 +115,43 @@ def test_repeats_brute_force(docs, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("many", [2, 3, 1 << 30])
+def test_repeats_of_many_blocks(spark, monkeypatch, many):
+    """Small blocks and common grams, whose strings are dealt one by one; repeated rows and ids; columns with any name."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    rng = random.Random(many)
+    word = lambda: "".join(rng.choices("etaoinshrd", k=rng.randint(1, 8)))
+    phrase = " ".join(word() for _ in range(12))
+    parts = [" ".join(word() for _ in range(30)) for _ in range(6)]
+    rows = []
+    for k in range(150):
+        t = [rng.choice([phrase, phrase[5:60], rng.choice(parts), " ".join(word() for _ in range(9)), "é" * 40, "ab" * 30]) for _ in range(rng.randint(0, 8))]
+        rows.append((rng.randint(-5, 120), " ".join(t)))
+    rows += rows[:9] + [(None, phrase * 3), (7, None)]
+    docs = spark.createDataFrame([(i, t, "k", 1, t) for i, t in rows], "doc_id long, text string, key string, block int, _key string").repartition(4)
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    seen = {}
+    for i, b in raw:
+        for k in range(len(b) - 49):
+            if i is not None:
+                seen[b[k : k + 50]] = min(i, seen.get(b[k : k + 50], i))
+    want, left = [], []
+    for i, b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if i is not None and seen[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\x01" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), sha(kept)))
+        left.append((i, kept.decode("utf-8", "ignore")))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, suffix_dedup.removed_digest(docs).collect()), key=key) == sorted(want, key=key)
+    got = suffix_dedup.remove_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=key) == sorted(left, key=key)
+
+
 @pytest.mark.parametrize("text", [b"", b"a", b"banana", b"ab" * 300, b"a" * 500, bytes(range(256)) * 2])
 def test_suffix_array(text):
     assert list(suffix_sort.suffix_array(text)) == sorted(range(len(text)), key=lambda k: text[k:])
