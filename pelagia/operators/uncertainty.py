@@ -67,52 +67,100 @@ def geodesic_nmi(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds:
     return bound(given, solve)
 
 
-def virtual_transects(mesh: DataFrame, per_degree: int, variable: str, strata: Column | None = None) -> DataFrame:
-    """Transects of a mesh by rounded latitude: mean latitude, length across, area of the band, sum of the variable.
+def virtual_transects(mesh: DataFrame, per_degree: int, variable: str, strata: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Transects of a mesh by rounded latitude: latitude, length across, area, sum of the variable.
 
-    Outer bands count half their width. ``strata`` maps the mean latitude to a stratum.
+    A transect lies on its rounded latitude. Its area is its length times the mean
+    spacing of the latitudes, half of that for the first and the last; with a single
+    transect there is no spacing and the area is null. ``strata`` maps the latitude
+    to a stratum.
     """
     lat = round_half_up(F.col("latitude") * per_degree + 0.5) / per_degree
-    g = mesh.withColumn("_lat", lat).groupBy("_lat").agg(
-        F.avg("latitude").alias("latitude"), F.min("longitude").alias("x0"), F.max("longitude").alias("x1"), F.min("latitude").alias("y0"), F.max("latitude").alias("y1"), F.sum(variable).alias(variable)
-    )
-    w = Window.orderBy("_lat")  # one row per transect
-    out = g.withColumn("transect_num", F.dense_rank().over(w)).withColumn("distance", geodesic_nmi(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
-    before, after = F.col("latitude") - F.lag("latitude").over(w), F.lead("latitude").over(w) - F.col("latitude")
-    width = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after / 2).when(after.isNull(), before / 2).otherwise((before + after) / 2)
-    out = out.withColumn("area", F.col("distance") * 60.0 * width)
-    out = out.select("transect_num", "latitude", "distance", "area", variable)
-    return out if strata is None else out.withColumn("stratum", strata)
+    g = mesh.where(F.col("latitude").isNotNull()).groupBy(lat.alias("latitude")).agg(F.min("longitude").alias("x0"), F.max("longitude").alias("x1"), F.sum(variable).alias(variable))
+    spans = g.agg(F.min("latitude").alias("y0"), F.max("latitude").alias("y1"), F.count("*").alias("n"))
+    out = g.crossJoin(F.broadcast(spans))  # one row
+    spacing = F.try_divide(F.col("y1") - F.col("y0"), F.col("n") - 1) * 60.0
+    edge = (F.col("latitude") == F.col("y0")) | (F.col("latitude") == F.col("y1"))
+    out = out.withColumn("distance", geodesic_nmi(F.col("x0"), F.col("latitude"), F.col("x1"), F.col("latitude")))
+    out = out.withColumn("area", F.col("distance") * spacing * F.when(edge, 0.5).otherwise(1.0))
+    # the number of latitudes is bounded by the rounding, whatever the mesh
+    out = out.withColumn("transect_num", F.row_number().over(Window.orderBy("latitude"))).select("transect_num", "latitude", "distance", "area", variable)
+    return out if strata is None else out.withColumn("stratum", strata(F.col("latitude")))
 
 
 def transect_statistics(df: DataFrame, stratum: str, variable: str, distance: Column, area: str) -> DataFrame:
-    """Per stratum and transect: the variable's sum, distance, area and value per distance."""
+    """Per stratum and transect: the variable's sum, distance, area, and value per distance and per area."""
     out = df.groupBy(stratum, "transect_num").agg(F.sum(variable).alias(variable), distance.alias("distance"), F.sum(area).alias("area"))
-    return out.withColumn("per_distance", F.try_divide(variable, "distance"))
+    return out.withColumn("per_distance", F.try_divide(variable, "distance")).withColumn("per_area", F.try_divide(variable, "area"))
 
 
 def strata_statistics(transects: DataFrame, stratum: str, variable: str, share: float) -> DataFrame:
-    """Per stratum: transects, those to sample, sums and density."""
-    out = transects.groupBy(stratum).agg(F.count("*").alias("n_transects"), F.sum(variable).alias(variable), F.sum("distance").alias("distance"), F.sum("area").alias("area"))
-    return out.withColumn("n_sampled", F.greatest(round_half_up(F.col("n_transects") * share).cast("long"), F.lit(1))).withColumn("density", F.try_divide(variable, "area"))
+    """Per stratum: transects, those to sample, sums, and value per area and per distance."""
+    out = transects.groupBy(stratum).agg(F.count(variable).alias("n_transects"), F.sum(variable).alias(variable), F.sum("distance").alias("distance"), F.sum("area").alias("area"))
+    out = out.withColumn("n_sampled", F.greatest(round_half_up(F.col("n_transects") * share).cast("long"), F.lit(1)))
+    return out.withColumn("density", F.try_divide(variable, "area")).withColumn("distance_density", F.try_divide(variable, "distance"))
 
 
 def jolly_hampton(transects: DataFrame, keys: Sequence[str], stratum: str, variable: str) -> DataFrame:
-    """Distance-weighted mean and its variance for every stratum (and replicate)."""
+    """Per stratum (and replicate): transects, distance, area, total, and the distance-weighted mean and its variance.
+
+    The mean weighs each transect's sum by its distance; the variance is that of the
+    values per distance about it. Transects without distance have no weight.
+    """
     by = [*keys, stratum]
-    m = transects.groupBy(*by).agg(F.count("*").alias("n"), F.sum("distance").alias("d"), F.try_divide(F.sum(variable), F.sum("distance")).alias("mean"), F.sum("area").alias("area"), F.sum(variable).alias("total"))
+    m = transects.groupBy(*by).agg(F.count("*").alias("n"), F.sum("distance").alias("d"), F.coalesce(F.try_divide(F.sum(F.col(variable) * F.col("distance")), F.sum("distance")), F.lit(0.0)).alias("mean"), F.sum("area").alias("area"), F.sum(variable).alias("total"))
     rows = transects.drop("area").join(m, by)
     weight = F.try_divide(F.col("distance") * F.col("n"), F.col("d"))
     part = F.coalesce((weight * (F.try_divide(F.col(variable), F.col("distance")) - F.col("mean"))) ** 2, F.lit(0.0))
     dof = F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1)).otherwise(1)
-    return rows.groupBy(*by, "n", "mean", "area", "total").agg(F.sum(part).alias("_s")).withColumn("variance", F.col("_s") / dof).drop("_s")
+    return rows.groupBy(*by, "n", "d", "mean", "area", "total").agg(F.sum(part).alias("_s")).withColumn("variance", F.col("_s") / dof).drop("_s").withColumnRenamed("d", "distance")
 
 
 def survey_cv(strata: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Coefficient of variation over strata weighted by area."""
+    """Coefficient of variation over strata weighted by their whole area."""
     return strata.groupBy(*keys).agg(F.try_divide(F.sqrt(F.sum(F.col("variance") * F.col("area") ** 2)), F.sum(F.col("mean") * F.col("area"))).alias("cv"))
 
 
+def replicate_estimates(replicates: DataFrame, strata: DataFrame, stratum: str, variable: str) -> DataFrame:
+    """Per replicate and stratum: estimates scaled from the sampled transects to the stratum.
+
+    total is divided by the sampled share; density is that total per area of the
+    whole stratum; distance and sampled_area are sums over the sample; area is the
+    stratum's. mean and variance are distance-weighted (see ``jolly_hampton``).
+    """
+    j = jolly_hampton(replicates, ["replicate"], stratum, variable).withColumnRenamed("area", "sampled_area")
+    whole = strata.select(stratum, F.col("area"), (F.col("n_sampled") / F.col("n_transects")).alias("_share"))
+    out = j.join(whole, stratum).withColumn("total", F.try_divide("total", "_share")).drop("_share")
+    return out.withColumn("density", F.try_divide("total", "area"))
+
+
+def survey_estimates(replicates: DataFrame, keys: Sequence[str] = ("replicate",)) -> DataFrame:
+    """Over all strata: total, density weighted by area, and CV."""
+    area = F.sum("area")
+    cv = F.try_divide(F.sqrt(F.sum(F.col("variance") * F.col("area") ** 2)), F.sum(F.col("mean") * F.col("area")))
+    return replicates.groupBy(*keys).agg(F.sum("total").alias("total"), F.try_divide(F.sum(F.col("density") * F.col("area")), area).alias("density"), cv.alias("cv"))
+
+
+def summarize(transects: DataFrame, stratum: str, variable: str, share: float = 0.75, replicates: int = 1000, seed: int = 0, method: str = "t-jackknife", level: float = 0.95, statistics: Sequence[str] = ("total", "density", "cv")) -> DataFrame:
+    """(scope, statistic, low, mean, high, bias): intervals of totals and densities by stratum, and of the survey with its CV.
+
+    scope is the stratum, or ``survey``. The population values that bias is held
+    against are the statistics of all transects.
+    """
+    strata = strata_statistics(transects, stratum, variable, share)
+    drawn = bootstrap(transects.select(stratum, "transect_num", variable, "distance", "area"), strata, stratum, replicates, seed)
+    each = replicate_estimates(drawn, strata, stratum, variable)
+    unpivot = lambda df, scope, names: df.select(scope.alias("scope"), F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("x")) for n in names])).alias("v")).select(F.to_json(F.struct("scope", "v.statistic")).alias("name"), "v.x")
+    all_, two = survey_estimates(each), [n for n in statistics if n != "cv"]
+    samples = unpivot(each, F.col(stratum).cast("string"), two).unionByName(unpivot(all_, F.lit("survey"), statistics))
+    own = jolly_hampton(transects.select(stratum, "transect_num", variable, "distance", "area"), [], stratum, variable).withColumn("density", F.try_divide("total", "area"))
+    known = unpivot(own, F.col(stratum).cast("string"), two).unionByName(unpivot(survey_estimates(own, []), F.lit("survey"), statistics))
+    population = {r["name"]: r["x"] for r in known.collect()}  # two rows per stratum and three
+    out = confidence_interval(samples, "name", "x", population, method, level)
+    of = lambda k: F.get_json_object("name", f"$.{k}").alias(k)
+    return out.select(of("scope"), of("statistic"), "low", "mean", "high", "bias")
+
+
 def bootstrap(transects: DataFrame, strata: DataFrame, stratum: str, replicates: int, seed: int = 0) -> DataFrame:
     """Replicates that sample transects of each stratum without replacement.
 
@@ -176,13 +224,15 @@ def confidence_interval(samples: DataFrame, name: str, value: str, population: d
             stats = stats.join(acc, "name")
         else:
             stats = stats.withColumn("a", F.lit(0.0))
-        got = None
+        limits = []
         for r in stats.collect():  # one row per statistic
             if r["share"] in (0.0, 1.0):
                 raise ValueError(f"'{r['name']}' is too skewed for ci_method '{method}'")
             z = normal_ppf(r["share"])
-            at = [normal_cdf(z + (z + normal_ppf(q)) / (1 - r["a"] * (z + normal_ppf(q)))) for q in qs]
-            part = rows.where(F.col("name") == r["name"]).withColumnRenamed("x", "v").groupBy("name").agg(pct(at[0]).alias("low"), pct(at[1]).alias("high"))
-            got = part if got is None else got.unionByName(part)
-        out = base.join(got, "name")
+            limits.append((r["name"], *[normal_cdf(z + (z + normal_ppf(q)) / (1 - r["a"] * (z + normal_ppf(q)))) for q in qs]))
+        limits = rows.sparkSession.createDataFrame(limits, "name string, q0 double, q1 double")
+        # each statistic has its own quantile: interpolate between the ranks beside it, for all at once
+        ranked = rows.where("x IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("x")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("name")) - 1)
+        near = lambda q: F.sum(F.col("x") * F.greatest(F.lit(0.0), 1 - F.abs(F.col("r") - F.col(q) * F.col("m"))))
+        out = base.join(ranked.join(F.broadcast(limits), "name").groupBy("name").agg(near("q0").alias("low"), near("q1").alias("high")), "name")
     return out.select(F.col("name").alias(name), "low", "mean", "high", (F.col("mean") - F.col("p")).alias("bias"))
