@@ -94,7 +94,8 @@ class Numbers:
         self.many = MANY
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        return h >> np.uint64(64 - self.total)
+        """Numbers of hashes; mixed anew, for the hashes of anchors are small, being the smallest of their strings."""
+        return mix64(h + np.uint64(1)) >> np.uint64(64 - self.total)
 
     def bucket(self, g: np.ndarray, bits: int) -> np.ndarray:
         return (g >> np.uint64(self.total - bits)).astype(np.int64)
