@@ -26,3 +26,13 @@ def global_rank(df: DataFrame, key: str, name: str, *ties: str, buckets: int | N
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties)) - 1
     shift = F.create_map(*before)[F.col("_bucket")] if before else F.lit(0)
     return rows.withColumn(name, (inside + shift).cast("long")).drop("_bucket")
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column by its rows' places, so no task holds all values; null without any."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n = rows.count()
+    if not n:
+        return None
+    ranked = global_rank(rows, "x", "r")
+    return ranked.where(F.col("r").isin((n - 1) // 2, n // 2)).agg(F.avg("x")).first()[0]

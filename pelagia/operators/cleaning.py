@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelagia.functions.ranking import exact_median
+
 
 def round_half_up(x: Column) -> Column:
     """Nearest whole number, halves away from zero."""
@@ -189,7 +191,7 @@ def interval_distance(df: DataFrame, threshold: float = 0.05, group: str = "tran
     out = df.withColumn("_next", F.lead("distance_s").over(w)).join(heads, group)
     out = out.withColumn("_d", F.abs(F.col("distance_s") - F.coalesce("_next", "_next_head")))
     out = out.withColumn("_d", F.coalesce("_d", F.col("distance_e") - F.col("distance_s")))
-    middle = out.agg(F.percentile("_d", F.lit(0.5)).alias("m")).first()["m"]
+    middle = exact_median(out, "_d")
     far = F.abs(F.col("_d") - F.lit(middle)) > threshold
     return out.withColumn("distance_interval", F.when(far, F.col("distance_e") - F.col("distance_s")).otherwise(F.col("_d"))).drop("_d", "_next", "_next_head")
 
@@ -202,10 +204,12 @@ def impute_coordinates(df: DataFrame, column: str, group: str, order: str, bad:
     """
     w = Window.partitionBy(group).orderBy(order)
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in the opposite order: one pass, where an open-ended frame takes one per row
+    back = Window.partitionBy(group).orderBy(F.col(order).desc())
+    before, after = (v.rowsBetween(Window.unboundedPreceding, -1) for v in (w, back))
     out = df.withColumn("_i", F.row_number().over(w)).withColumn("_x", F.when(F.coalesce(F.col(column) == bad, F.lit(True)), None).otherwise(F.col(column)))
     at = F.when(F.col("_x").isNotNull(), F.col("_i"))
-    out = out.withColumns({"_pi": F.last(at, True).over(before), "_px": F.last("_x", True).over(before), "_ni": F.first(at, True).over(after), "_nx": F.first("_x", True).over(after), "_f": F.min(at).over(all_), "_l": F.max(at).over(all_)})
+    out = out.withColumns({"_pi": F.last(at, True).over(before), "_px": F.last("_x", True).over(before), "_ni": F.last(at, True).over(after), "_nx": F.last("_x", True).over(after), "_f": F.min(at).over(all_), "_l": F.max(at).over(all_)})
     at_row = lambda i: F.max(F.when(F.col("_i") == i, F.col("_x"))).over(all_)
     out = out.withColumns({"_xf1": at_row(F.col("_f") + 1), "_xl1": at_row(F.col("_l") - 1)})
     head = F.col("_nx") - (F.col("_f") - F.col("_i")) * (F.col("_xf1") - F.col("_nx"))
