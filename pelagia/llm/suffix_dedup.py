@@ -56,6 +56,8 @@ SPARE_BITS = 18
 BUCKETS = 256
 #: Bytes of text to one bucket of gram numbers and of stretches, about: a reducer holds one bucket.
 GRAM_BUCKET, STRETCH_BUCKET = 16 << 20, 2 << 20
+#: Bytes that are sorted before the tries: strings that were brought together share a gram's bytes anyway.
+SHALLOW = 48
 #: Blocks from which on a gram's strings are dealt one by one: below, all its stretches fit into a reducer.
 MANY = 4096
 
@@ -308,7 +310,7 @@ def stretch_records(numbers: Numbers, names: tuple, place: str):
         start = np.concatenate([first[~one], single])
         size = np.concatenate([(last - first + LENGTH)[~one], np.full(len(single), LENGTH, np.int64)])
         g = np.concatenate([g[~one], numbers.of(string_hashes(word, single))])
-        order, equal = deep_shallow(buf, start, size, word, first=mix_keys(g, a - start))
+        order, equal = deep_shallow(buf, start, size, word, first=mix_keys(g, a - start), shallow=SHALLOW)
         doc, kind = block.ids[text], np.empty(len(order), np.int64)
         kind[order] = np.cumsum(~equal) - 1
         heads = order[~equal]
@@ -360,7 +362,7 @@ def covered_stretches(batches):
         del parts
         start, places = np.cumsum(size) - size, np.cumsum(times) - times
         word = words_at(buf)
-        order, equal = deep_shallow(buf, start, size, word, first=mix_keys(gram, anchor))
+        order, equal = deep_shallow(buf, start, size, word, first=mix_keys(gram, anchor), shallow=SHALLOW)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(~equal) - 1
         heads = order[~equal]  # one stretch of each kind
@@ -377,7 +379,7 @@ def covered_stretches(batches):
             step, owner = spread(np.zeros(len(mixed), np.int64), size[heads[mixed]] - LENGTH + 1)
             kind = mixed[owner]
             string = start[heads[kind]] + step
-            order, equal = deep_shallow(buf, string, np.full(len(string), LENGTH), word, first=mix_keys(gram[heads[kind]], anchor[heads[kind]] - step))
+            order, equal = deep_shallow(buf, string, np.full(len(string), LENGTH), word, first=mix_keys(gram[heads[kind]], anchor[heads[kind]] - step), shallow=SHALLOW)
             low = np.minimum.reduceat(lowest[kind[order]], np.flatnonzero(~equal))
             hit = np.zeros(len(kind), bool)
             hit[order] = lowest[kind[order]] > low[np.cumsum(~equal) - 1]

@@ -75,10 +75,11 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: np.ndarray | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: np.ndarray | None = None, first: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of the strings buf[start : start + length], and a flag where a string equals the one before it.
 
-    ``first`` is an optional number by which the strings are set apart before any byte.
+    ``first`` is an optional number by which the strings are set apart before any byte;
+    ``shallow`` the bytes (in eights) that are sorted before the tries.
     """
     n = len(start)
     if not n:
@@ -87,7 +88,7 @@ def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: n
     order = np.arange(n) if first is None else np.argsort(first, kind="stable")
     new = np.ones(n, bool)  # a place in the order where a group starts
     new[1:] = False if first is None else first[order[1:]] != first[order[:-1]]
-    for depth in range(0, SHALLOW, 8):
+    for depth in range(0, shallow, 8):
         alone = new & np.append(new[1:], True)
         tied = np.flatnonzero(~alone)
         if not len(tied):
@@ -111,7 +112,7 @@ def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: n
         group = np.cumsum(new)[tied] - 1
         odd = np.zeros(len(starts), bool)
         odd[group[~alike]] = True
-        for depth in range(SHALLOW, int(length[order[tied]].max()), 8):
+        for depth in range(shallow, int(length[order[tied]].max()), 8):
             at = np.flatnonzero(~odd[group] & (length[order[tied]] > depth) & (tied != head))
             if not len(at):
                 break
@@ -127,7 +128,7 @@ def deep_shallow(buf: np.ndarray, start: np.ndarray, length: np.ndarray, word: n
     for a, b in zip(starts[odd].tolist(), ends[odd].tolist()):
         who = order[a:b].copy()
         at = a
-        for members in BlindTrie([raw[s + SHALLOW : s + m] for s, m in zip(start[who].tolist(), length[who].tolist())]).ordered():
+        for members in BlindTrie([raw[s + shallow : s + m] for s, m in zip(start[who].tolist(), length[who].tolist())]).ordered():
             order[at : at + len(members)] = who[members]
             equal[at + 1 : at + len(members)] = True
             at += len(members)
