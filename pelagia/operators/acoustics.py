@@ -12,11 +12,6 @@ from pelagia.operators.biology import sigma
 
 FOUR_PI = 4 * math.pi
 NMI = 1852.0
-#: Column renames of echo-integration exports: fixed values of the vendor's format.
-EXPORT_COLUMNS = {
-    "Transect_Num": "transect_num", "Lat_S": "latitude", "Lon_S": "longitude", "VL_start": "distance_s", "VL_end": "distance_e", "Layer_depth_min": "layer_depth_min",
-    "Layer_depth_max": "layer_depth_max", "PRC_NASC": "nasc", "Sv_mean": "sv_mean", "Thickness_mean": "thickness_mean", "Frequency": "frequency",
-}
 
 
 def ts_length(length: Column, slope: float = 20.0, intercept: float = -68.0) -> Column:

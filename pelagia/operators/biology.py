@@ -7,7 +7,6 @@ have is combined before it is shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -130,7 +129,7 @@ def adjusted_proportions(proportions: DataFrame, group: str, stratum: str, first
     ``proportions`` has source, stratum, key, aggregate (the source's share of the
     stratum) and share (the key's share of the stratum in that source). Other
     sources: aggregate / (aggregate + first share); the first: its share / (share
-    + the others' adjusted total).
+    + the others' adjusted total). A single source keeps its shares as they are.
     """
     rows = proportions.select(stratum, key, group, "aggregate", "share")
     head = rows.where(F.col(group) == first).select(stratum, key, F.col("share").alias("_first"))
@@ -138,6 +137,8 @@ def adjusted_proportions(proportions: DataFrame, group: str, stratum: str, first
     others = others.withColumn("adjusted", F.try_divide(F.col("aggregate"), F.col("aggregate") + F.coalesce("_first", F.lit(0.0))))
     total = others.groupBy(stratum, key).agg(F.sum("adjusted").alias("_others"))
     firsts = head.join(total, [stratum, key], "left").withColumn("adjusted", F.try_divide(F.col("_first"), F.col("_first") + F.coalesce("_others", F.lit(0.0))))
+    alone = rows.agg((F.count_if(F.col(group) != first) == 0).alias("_alone"))  # one row
+    firsts = firsts.crossJoin(F.broadcast(alone)).withColumn("adjusted", F.when(F.col("_alone"), F.col("_first")).otherwise(F.col("adjusted")))
     return others.select(stratum, key, group, "adjusted").unionByName(firsts.select(stratum, key, F.lit(first).alias(group), "adjusted"))
 
 
@@ -232,7 +233,9 @@ def abundance(df: DataFrame, shares: DataFrame | None, stratum: str, category: s
         return out
     p = shares.where(~F.col(category).isin(list(exclude))) if exclude else shares
     p = p.groupBy(stratum, category).agg(F.sum("proportion").alias("_p"))
-    each = whole.join(p, stratum, "inner").withColumn("abundance", F.col("abundance") * F.col("_p")).withColumn("number_density", F.col("number_density") * F.col("_p")).drop("_p")
+    # every category of the shares, in each stratum: a few values
+    each = whole.crossJoin(F.broadcast(p.select(category).distinct())).join(p, [stratum, category], "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+    each = each.withColumn("abundance", F.col("abundance") * F.col("_p")).withColumn("number_density", F.col("number_density") * F.col("_p")).drop("_p")
     return out.unionByName(each.select(*out.columns))
 
 
@@ -248,7 +251,3 @@ def biomass(df: DataFrame, weights: DataFrame, keys: Sequence[str], stratum: str
     whole = F.max(F.when(F.col(category) == "all", F.col(value)))
     mean = F.max(F.when(F.col(category) == "all", F.col("average_weight")))
     return rows.groupBy(*keys).agg((F.coalesce(own, F.lit(0.0)) + (whole - F.coalesce(known, F.lit(0.0))) * mean).alias(name))
-
-
-def half_width(mids: Sequence[float]) -> float:
-    return math.fsum(b - a for a, b in zip(mids, mids[1:])) / max(1, len(mids) - 1) / 2

@@ -34,10 +34,12 @@ def strata_sigma_bs(spark, d):
     return a.join(acoustics.strata_sigma(h, "stratum", False).select("stratum", logged("sigma_bs").alias("by_fish")), "stratum")
 
 
-@query(f"{W}, {R.INTERVALS}, s AS (SELECT stratum, avg(sigma_bs) AS sigma_bs FROM hs WHERE stratum = 'O' GROUP BY stratum) SELECT interval, round(coalesce(nasc / (4 * pi() * sigma_bs), 0), 2) AS number_density FROM intervals LEFT JOIN s USING (stratum)")
+@query(f"{W}, {R.INTERVALS}, s AS (SELECT stratum, avg(sigma_bs) AS sigma_bs FROM hs GROUP BY stratum), x AS (SELECT * REPLACE (CASE WHEN interval % 3 = 0 THEN 'X' ELSE stratum END AS stratum) FROM intervals) SELECT interval, round(coalesce(nasc / (4 * pi() * sigma_bs), 0), 2) AS number_density FROM x LEFT JOIN s USING (stratum)")
 def ts_invert(spark, d):
-    sig = acoustics.strata_sigma(by_haul(spark, d).where("stratum = 'O'"), "stratum")
-    return acoustics.invert(R.intervals(spark, d), sig, "stratum").select("interval", F.round("number_density", 2).alias("number_density"))
+    sig = acoustics.strata_sigma(by_haul(spark, d), "stratum")
+    # every third interval lies in a stratum without any fish
+    rows = R.intervals(spark, d).withColumn("stratum", F.when(F.col("interval") % 3 == 0, "X").otherwise(F.col("stratum")))
+    return acoustics.invert(rows, sig, "stratum").select("interval", F.round("number_density", 2).alias("number_density"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(20 * log10(l_quantity) - 68, 9) AS ts FROM lineitem")
@@ -91,20 +93,31 @@ def sv_transect(spark, d):
     return out.select("frequency", "transect_num", *[F.round(c, 6).alias(c) for c in ("longitude_weighted", "latitude_weighted", "sv_mean", "thickness_mean")], logged("nasc").alias("log_nasc"))
 
 
-@query(f"WITH {R.SPECIMEN} SELECT fish, age, length, CASE WHEN sex <> 'unsexed' THEN round(1 / greatest(1 / (1 + exp(2 * ln(3) * (CASE sex WHEN 'male' THEN 20 WHEN 'female' THEN 24.0 / 1.2 END - length) / CASE sex WHEN 'male' THEN 8 WHEN 'female' THEN 2 * ln(3) / 1.2 END)), 1e-12), 4) END AS selectivity_expansion FROM specimen WHERE length > 5")
+@query(f"WITH {R.SPECIMEN} SELECT fish, age, length, CASE WHEN sex <> 'unsexed' THEN round(log10(1 / greatest(1 / (1 + exp(2 * ln(3) * (CASE sex WHEN 'male' THEN 20 WHEN 'female' THEN 24.0 / 1.2 END - length) / CASE sex WHEN 'male' THEN 8 WHEN 'female' THEN 2 * ln(3) / 1.2 END)), 1e-12)), 7) END AS log_expansion FROM specimen")
 def selectivity(spark, d):
     nets = {"male": {"l50": 20.0, "selection_range": 8.0}, "female": {"slope": 1.2, "intercept": -24.0}}
-    out = acoustics.selectivity_expansion(R.specimen(spark, d).where("length > 5"), nets, "sex")
-    return out.select("fish", "age", "length", F.round("selectivity_expansion", 4).alias("selectivity_expansion"))
+    out = acoustics.selectivity_expansion(R.specimen(spark, d), nets, "sex")
+    return out.select("fish", "age", "length", logged("selectivity_expansion").alias("log_expansion"))
 
 
 @query("""WITH a AS (SELECT user_id % 10 AS transect_num, event_id AS interval, value AS reference_nasc, value + 5 AS nasc, 5 + (event_id % 3) * CAST(1 AS DOUBLE) AS thickness_mean FROM events),
 p AS (SELECT CAST(i AS BIGINT) AS transect_num, 0.01 + i * CAST(0.001 AS DOUBLE) AS length_mean, CAST(16 AS DOUBLE) AS length_radius_ratio, CAST(1.036 AS DOUBLE) AS g, CAST(10 * i AS DOUBLE) AS number_density FROM range(1, 9) t(i)),
 n AS (SELECT transect_num, count(reference_nasc) AS n FROM a GROUP BY transect_num)
-SELECT a.transect_num, interval, round(coalesce(number_density * reference_nasc / nasc * thickness_mean * n, 0) * 1852.0 ** 2, 2) AS areal_number_density, round(coalesce(number_density * reference_nasc / nasc * thickness_mean * n, 0) * 1852.0 ** 2 * coalesce(pi() * (length_mean / length_radius_ratio) ** 2 * length_mean * 1025 * g, 0), 5) AS biomass_density FROM a LEFT JOIN p USING (transect_num) LEFT JOIN n USING (transect_num)""")
+SELECT a.transect_num, interval, round(log10(nullif(coalesce(number_density * reference_nasc / nasc * thickness_mean * n, 0) * 1852.0 ** 2, 0)), 7) AS log_number, round(log10(nullif(coalesce(number_density * reference_nasc / nasc * thickness_mean * n, 0) * 1852.0 ** 2 * coalesce(pi() * (length_mean / length_radius_ratio) ** 2 * length_mean * 1025 * g, 0), 0)), 7) AS log_biomass FROM a LEFT JOIN p USING (transect_num) LEFT JOIN n USING (transect_num)""")
 def krill_population(spark, d):
     e = R.table(spark, d, "events")
     rows = e.select((F.col("user_id") % 10).alias("transect_num"), F.col("event_id").alias("interval"), F.col("value").alias("reference_nasc"), (F.col("value") + 5).alias("nasc"), (5 + (F.col("event_id") % 3) * 1.0).alias("thickness_mean"))
     p = spark.range(1, 9).select(F.col("id").alias("transect_num"), (0.01 + F.col("id") * 0.001).alias("length_mean"), F.lit(16.0).alias("length_radius_ratio"), F.lit(1.036).alias("g"), (F.col("id") * 10.0).alias("number_density"))
     out = acoustics.krill_population(p, rows, ["transect_num"], 1025.0, "transect")
-    return out.select("transect_num", "interval", F.round("areal_number_density", 2).alias("areal_number_density"), F.round("biomass_density", 5).alias("biomass_density"))
+    return out.select("transect_num", "interval", logged("areal_number_density").alias("log_number"), logged("biomass_density").alias("log_biomass"))
+
+
+@query("""WITH a AS (SELECT user_id % 10 AS transect_num, event_id AS interval, 5 + (event_id % 3) * CAST(1 AS DOUBLE) AS thickness_mean FROM events),
+p AS (SELECT CAST(i AS BIGINT) AS transect_num, 0.01 + i * CAST(0.001 AS DOUBLE) AS length_mean, CAST(10 * i AS DOUBLE) AS number_density FROM range(1, 9) t(i))
+SELECT transect_num, interval, round(log10(nullif(coalesce(number_density * thickness_mean, 0) * 1852.0 ** 2, 0)), 7) AS log_number, round(log10(nullif(coalesce(number_density * thickness_mean, 0) * 1852.0 ** 2 * coalesce(pi() * (length_mean / 16) ** 2 * length_mean * 1025 * 1.036, 0), 0)), 7) AS log_biomass FROM a LEFT JOIN p USING (transect_num)""")
+def krill_intervals(spark, d):
+    e = R.table(spark, d, "events")
+    rows = e.select((F.col("user_id") % 10).alias("transect_num"), F.col("event_id").alias("interval"), (5 + (F.col("event_id") % 3) * 1.0).alias("thickness_mean"))
+    p = spark.range(1, 9).select(F.col("id").alias("transect_num"), (0.01 + F.col("id") * 0.001).alias("length_mean"), F.lit(16.0).alias("length_radius_ratio"), F.lit(1.036).alias("g"), (F.col("id") * 10.0).alias("number_density"))
+    out = acoustics.krill_population(p, rows, ["transect_num"], 1025.0, "interval")
+    return out.select("transect_num", "interval", logged("areal_number_density").alias("log_number"), logged("biomass_density").alias("log_biomass"))

@@ -58,6 +58,11 @@ def aged_weights(spark, d):
     return biology.weight_proportions(biology.binned_weights(fish(spark, d), ["stratum", "sex", "length_bin", "age"]), R.catch(spark, d), "stratum")
 
 
+def rel(name: str, digits: int = 7):
+    """A value to so many significant digits, the same way in both engines' SQL."""
+    return F.round(F.log10(F.abs(name)), digits)
+
+
 def rounded(df, *names, places=6):
     return df.withColumns({n: F.round(n, places) for n in names})
 
@@ -97,14 +102,14 @@ def length_binned_weights(spark, d):
     return rounded(fitted(spark, d), "weight_fitted")
 
 
-CURVE = """pts AS (SELECT sex, length AS x, avg(weight) AS y FROM specimen WHERE length % 5 = 0 GROUP BY sex, length),
+CURVE = """pts AS (SELECT sex, length AS x, avg(weight) AS y FROM specimen GROUP BY sex, length),
 iw AS (SELECT l.*, CASE WHEN length <= (SELECT min(x) FROM pts p WHERE p.sex = l.sex) THEN (SELECT arg_min(y, x) FROM pts p WHERE p.sex = l.sex) WHEN length >= (SELECT max(x) FROM pts p WHERE p.sex = l.sex) THEN (SELECT arg_max(y, x) FROM pts p WHERE p.sex = l.sex)
  ELSE (SELECT arg_max(y, x) FROM pts p WHERE p.sex = l.sex AND x <= length) + (length - (SELECT max(x) FROM pts p WHERE p.sex = l.sex AND x <= length)) * ((SELECT arg_min(y, x) FROM pts p WHERE p.sex = l.sex AND x > length) - (SELECT arg_max(y, x) FROM pts p WHERE p.sex = l.sex AND x <= length))
  / ((SELECT min(x) FROM pts p WHERE p.sex = l.sex AND x > length) - (SELECT max(x) FROM pts p WHERE p.sex = l.sex AND x <= length)) END * length_count AS weight FROM lengths l)"""
 
 
 def with_curve(spark, d):
-    curves = biology.interpolators(R.specimen(spark, d).where("length % 5 = 0"), ["sex"], "length", "weight")
+    curves = biology.interpolators(R.specimen(spark, d), ["sex"], "length", "weight")
     return biology.interpolated_weight(R.lengths(spark, d), curves, ["sex"])
 
 
@@ -113,14 +118,15 @@ def weight_interpolation(spark, d):
     return rounded(with_curve(spark, d).select("haul_num", "sex", "length", "length_count", "weight"), "weight", places=5)
 
 
-@query(f"{W}, {CURVE} SELECT stratum, sex, {BIN} AS length_bin, round(coalesce(sum(weight), 0), 6) AS weight FROM iw GROUP BY ALL")
+@query(f"{W}, {CURVE} SELECT stratum, sex, {BIN} AS length_bin, round(log10(nullif(coalesce(sum(weight), 0), 0)), 7) AS weight FROM iw GROUP BY ALL")
 def binned_weights(spark, d):
-    return rounded(biology.binned_weights(biology.binify(with_curve(spark, d), MIDS, "length"), ["stratum", "sex", "length_bin"]), "weight", places=6)
+    out = biology.binned_weights(biology.binify(with_curve(spark, d), MIDS, "length"), ["stratum", "sex", "length_bin"])
+    return out.withColumn("weight", rel("weight"))
 
 
-@query(f"{W}, {CURVE} SELECT stratum, round(sum(weight), 3) AS weight FROM iw GROUP BY stratum")
+@query(f"{W}, {CURVE} SELECT stratum, round(log10(sum(weight)), 7) AS weight FROM iw GROUP BY stratum")
 def stratum_weights(spark, d):
-    return rounded(biology.stratum_weights(with_curve(spark, d), "stratum"), "weight", places=3)
+    return biology.stratum_weights(with_curve(spark, d), "stratum").withColumn("weight", rel("weight"))
 
 
 @query(f"{W}, {NP}, {BW}, {AW} SELECT stratum, sex, round(average_weight, 6) AS average_weight FROM aw")
@@ -208,20 +214,15 @@ def numbers_by_sex(spark, d):
     return biology.abundance(surveyed(spark, d), proportions(spark, d), "stratum", exclude=["unsexed"])
 
 
-def rel(name: str, digits: int = 7):
-    """A value to so many significant digits, the same way in both engines' SQL."""
-    return F.round(F.log10(F.abs(name)), digits)
-
-
-@query(f"{W}, {R.INTERVALS}, {NP}, {INV}, {AB} SELECT interval, sex, round(log10(abs(abundance)), 7) AS log_abundance FROM ab WHERE abundance <> 0")
+@query(f"{W}, {R.INTERVALS}, {NP}, {INV}, {AB} SELECT interval, sex, abundance = 0 AS none, round(log10(nullif(abs(abundance), 0)), 7) AS log_abundance FROM ab")
 def abundance(spark, d):
-    return numbers_by_sex(spark, d).where("abundance <> 0").select("interval", "sex", rel("abundance").alias("log_abundance"))
+    return numbers_by_sex(spark, d).select("interval", "sex", (F.col("abundance") == 0).alias("none"), rel("abundance").alias("log_abundance"))
 
 
-@query(f"{W}, {R.INTERVALS}, {NP}, {BW}, {AW}, {INV}, {AB}, {BM} SELECT interval, round(log10(abs(biomass)), 7) AS log_biomass FROM bm WHERE biomass <> 0")
+@query(f"{W}, {R.INTERVALS}, {NP}, {BW}, {AW}, {INV}, {AB}, {BM} SELECT interval, biomass = 0 AS none, round(log10(nullif(abs(biomass), 0)), 7) AS log_biomass FROM bm")
 def biomass(spark, d):
     out = biology.biomass(numbers_by_sex(spark, d), mean_weights(spark, d), ["interval"], "stratum")
-    return out.where("biomass <> 0").select("interval", rel("biomass").alias("log_biomass"))
+    return out.select("interval", (F.col("biomass") == 0).alias("none"), rel("biomass").alias("log_biomass"))
 
 
 @query(f"{W}, {R.INTERVALS}, {NP}, {BW}, {AW}, {INV}, {AB} SELECT stratum, sex, round(log10(sum(abundance)), 7) AS log_abundance, round(log10(sum(abundance * average_weight)), 7) AS log_biomass FROM ab JOIN aw USING (stratum, sex) GROUP BY stratum, sex")
@@ -232,19 +233,21 @@ def survey_biomass(spark, d):
     return out.select("stratum", "sex", rel("a").alias("log_abundance"), rel("b").alias("log_biomass"))
 
 
-@query(f"{W}, {R.INTERVALS}, {NP}, {INV}, n AS (SELECT stratum, coalesce(sum(proportion) FILTER (age = 1), 0) / sum(proportion) AS s FROM np WHERE source = 'aged' AND stratum = 'O' GROUP BY stratum) SELECT interval, round(nasc * (1 - coalesce(s, 0)), 6) AS nasc, round(log10(abs(number_density * (1 - coalesce(s, 0)))), 7) AS log_density FROM iv LEFT JOIN n USING (stratum) WHERE number_density <> 0")
+@query(f"{W}, {R.INTERVALS}, {NP}, {INV}, n AS (SELECT stratum, coalesce(sum(proportion) FILTER (age = 1), 0) / sum(proportion) AS s FROM np WHERE source = 'aged' GROUP BY stratum), x AS (SELECT * REPLACE (CASE WHEN interval % 3 = 0 THEN 'X' ELSE stratum END AS stratum) FROM iv) SELECT interval, round(nasc * (1 - coalesce(s, 0)), 6) AS nasc, round(log10(nullif(abs(number_density * (1 - coalesce(s, 0))), 0)), 7) AS log_density FROM x LEFT JOIN n USING (stratum)")
 def remove_group(spark, d):
-    share = biology.slice_share(proportions(spark, d).where("source = 'aged' AND stratum = 'O'"), "stratum", F.col("proportion"), F.col("age") == 1).withColumnRenamed("share", "s")
-    out = apportion.remove_group(surveyed(spark, d), share, "stratum", {"nasc": "s", "number_density": "s"})
-    return out.where("number_density <> 0").select("interval", F.round("nasc", 6).alias("nasc"), rel("number_density").alias("log_density"))
+    # every third interval lies in a stratum without a share
+    rows = surveyed(spark, d).withColumn("stratum", F.when(F.col("interval") % 3 == 0, "X").otherwise(F.col("stratum")))
+    share = biology.slice_share(proportions(spark, d).where("source = 'aged'"), "stratum", F.col("proportion"), F.col("age") == 1).withColumnRenamed("share", "s")
+    out = apportion.remove_group(rows, share, "stratum", {"nasc": "s", "number_density": "s"})
+    return out.select("interval", F.round("nasc", 6).alias("nasc"), rel("number_density").alias("log_density"))
 
 
-@query(f"{W}, {NP}, {BW}, {AW}, al AS (SELECT stratum, haul_num, length, count(*) AS n FROM specimen GROUP BY ALL), hs AS (SELECT stratum, haul_num, sum(pow(10, (20 * log10(length) - 68) / 10) * n) / sum(n) AS sigma_bs FROM al GROUP BY ALL), ss AS (SELECT stratum, avg(sigma_bs) AS sigma_bs FROM hs GROUP BY stratum), sp AS (SELECT stratum, sex, sum(proportion) AS p FROM np GROUP BY ALL), m AS (SELECT o_orderkey AS cell, CASE WHEN o_custkey % 2 = 0 THEN 'O' ELSE 'F' END AS stratum, o_totalprice AS biomass FROM orders), e AS (SELECT cell, stratum, 'all' AS sex, biomass FROM m UNION ALL SELECT cell, stratum, sex, biomass * p FROM m JOIN sp USING (stratum)) SELECT cell, sex, round(biomass, 4) AS biomass, round(biomass / average_weight, 4) AS abundance, round(biomass / average_weight * sigma_bs * 4 * pi(), 6) AS nasc FROM e LEFT JOIN aw USING (stratum, sex) LEFT JOIN ss USING (stratum)")
+@query(f"{W}, {NP}, {BW}, {AW}, al AS (SELECT stratum, haul_num, length, count(*) AS n FROM specimen GROUP BY ALL), hs AS (SELECT stratum, haul_num, sum(pow(10, (20 * log10(length) - 68) / 10) * n) / sum(n) AS sigma_bs FROM al GROUP BY ALL), ss AS (SELECT stratum, avg(sigma_bs) AS sigma_bs FROM hs GROUP BY stratum), sp AS (SELECT stratum, sex, sum(proportion) AS p FROM np GROUP BY ALL), m AS (SELECT o_orderkey AS cell, CASE WHEN o_custkey % 2 = 0 THEN 'O' ELSE 'F' END AS stratum, o_totalprice AS biomass FROM orders), e AS (SELECT cell, stratum, 'all' AS sex, biomass FROM m UNION ALL SELECT cell, stratum, sex, biomass * p FROM m JOIN sp USING (stratum)) SELECT cell, sex, round(log10(nullif(abs(biomass), 0)), 7) AS biomass, round(log10(nullif(abs(biomass / average_weight), 0)), 7) AS abundance, round(log10(nullif(abs(biomass / average_weight * sigma_bs * 4 * pi()), 0)), 7) AS nasc FROM e LEFT JOIN aw USING (stratum, sex) LEFT JOIN ss USING (stratum)")
 def mesh_biomass_to_nasc(spark, d):
     mesh = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), F.when(F.col("o_custkey") % 2 == 0, "O").otherwise("F").alias("stratum"), F.col("o_totalprice").alias("biomass"))
     sig = acoustics.strata_sigma(acoustics.haul_sigma([R.specimen(spark, d)], "stratum"), "stratum")
     out = apportion.mesh_to_nasc(mesh, proportions(spark, d), mean_weights(spark, d), sig, "stratum")
-    return out.select("cell", "sex", F.round("biomass", 4).alias("biomass"), F.round("abundance", 4).alias("abundance"), F.round("nasc", 6).alias("nasc"))
+    return out.select("cell", "sex", *[rel(c).alias(c) for c in ("biomass", "abundance", "nasc")])
 
 
 TOT = "tot AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'O' ELSE 'F' END AS stratum, sum(o_totalprice) AS v FROM orders GROUP BY 1), dp AS (SELECT stratum, source, sex, length_bin, age, v * proportion / n AS value FROM np JOIN tot USING (stratum) JOIN (SELECT stratum, sum(proportion) AS n FROM np GROUP BY stratum) USING (stratum))"

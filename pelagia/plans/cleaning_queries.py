@@ -31,12 +31,12 @@ def label_map(spark, d):
     return cleaning.map_labels(R.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), {"c_mktsegment": {"BUILDING": "b", "MACHINERY": "m"}})
 
 
-@query("""WITH k AS (SELECT DISTINCT * FROM (SELECT s_nationkey AS ship, s_suppkey AS haul_num FROM supplier UNION ALL SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey <= 200)),
+@query("""WITH k AS (SELECT DISTINCT * FROM (SELECT s_nationkey AS ship, s_suppkey AS haul_num FROM supplier UNION ALL SELECT c_nationkey, c_custkey FROM customer)),
 u AS (SELECT *, concat_ws('-', CAST(ship AS VARCHAR), CAST(CASE WHEN haul_num - 50 > 0 THEN haul_num - 50 ELSE haul_num END AS VARCHAR)) AS uid FROM k)
 SELECT o_orderkey, ship, haul_num, uid FROM (SELECT o_orderkey, CAST(o_custkey % 25 AS INTEGER) AS ship, o_custkey % 100 AS haul_num FROM orders) LEFT JOIN u USING (ship, haul_num)""")
 def composite_key(spark, d):
     a = R.table(spark, d, "supplier").select(F.col("s_nationkey").alias("ship"), F.col("s_suppkey").alias("haul_num"))
-    b = R.table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_nationkey").alias("ship"), F.col("c_custkey").alias("haul_num"))
+    b = R.table(spark, d, "customer").select(F.col("c_nationkey").alias("ship"), F.col("c_custkey").alias("haul_num"))
     key = cleaning.composite_key([a, b], ["ship", "haul_num"], {"haul_num": -50})
     rows = R.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("ship"), (F.col("o_custkey") % 100).alias("haul_num"))
     return cleaning.apply_composite_key(rows, key)
@@ -152,9 +152,10 @@ def western_extents(spark, d):
     return cleaning.western_extents(R.intervals(spark, d), threshold=45)
 
 
-@query(f"WITH {R.SPECIMEN}, {R.HAULS} SELECT fish, age, haul_num, coalesce(CAST(h.stratum_num AS DOUBLE), 0) AS stratum_num FROM specimen LEFT JOIN (SELECT * FROM hauls WHERE haul_num % 3 > 0) h USING (haul_num)")
+@query(f"WITH {R.SPECIMEN}, {R.HAULS} SELECT fish, age, haul_num, coalesce(CAST(h.stratum_num AS DOUBLE), 0) AS stratum_num FROM specimen LEFT JOIN (SELECT haul_num + 3 AS haul_num, stratum_num FROM hauls) h USING (haul_num)")
 def strata_by_haul(spark, d):
-    return strata.join_strata(R.specimen(spark, d).select("fish", "age", "haul_num"), R.hauls(spark, d).where("haul_num % 3 > 0"))
+    # shifted by three, so that the first three hauls have no stratum
+    return strata.join_strata(R.specimen(spark, d).select("fish", "age", "haul_num"), R.hauls(spark, d).withColumn("haul_num", F.col("haul_num") + 3))
 
 
 @query(f"WITH {R.SPECIMEN}, {R.HAULS} SELECT fish, age, uid, coalesce(CAST(h.stratum_num AS DOUBLE), 0) AS stratum_num FROM (SELECT *, concat_ws('-', '2', '2', '99999', CAST(haul_num AS VARCHAR)) AS uid FROM specimen) LEFT JOIN (SELECT stratum_num, concat_ws('-', '2', '2', '99999', CAST(haul_num AS VARCHAR)) AS uid FROM hauls) h USING (uid)")

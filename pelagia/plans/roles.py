@@ -29,11 +29,11 @@ SPECIMEN = """specimen AS (SELECT l_suppkey AS haul_num, CASE l_returnflag WHEN
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unaged fish: length counts by haul, sex, stratum."""
-    return specimen(spark, sf_dir).where("fish % 3 = 0").select("haul_num", "sex", "length", F.col("age").alias("length_count"), "stratum")
+    """Unaged fish: length counts by haul, sex, stratum; their lengths lie between the aged ones'."""
+    return specimen(spark, sf_dir).select("haul_num", "sex", (F.col("length") + 0.5).alias("length"), F.col("age").alias("length_count"), "stratum")
 
 
-LENGTHS = "lengths AS (SELECT haul_num, sex, length, age AS length_count, stratum FROM specimen WHERE fish % 3 = 0)"
+LENGTHS = "lengths AS (SELECT haul_num, sex, length + 0.5 AS length, age AS length_count, stratum FROM specimen)"
 
 
 def catch(spark: SparkSession, sf_dir: str) -> DataFrame:
