@@ -175,6 +175,6 @@ def region_key_file(spark, d):
 
 
 @query("SELECT s_suppkey AS distance_s, s_suppkey + CAST(0.5 AS DOUBLE) AS distance_e, CASE WHEN s_suppkey % 3 = 0 THEN CAST(10 AS DOUBLE) ELSE CAST(s_suppkey AS DOUBLE) END AS transect_spacing FROM supplier WHERE s_nationkey <> 4")
-def afsc_to_feat(spark, d):
+def complete_intervals(spark, d):
     s = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("distance"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey")).alias("transect_spacing"), "s_nationkey")
-    return surveys.afsc_to_feat(s, exclude={"s_nationkey": 4}).drop("s_nationkey")
+    return surveys.complete_intervals(s, exclude={"s_nationkey": 4}).drop("s_nationkey")

@@ -205,8 +205,8 @@ def write_region_key(key: DataFrame, path: str) -> None:
     key.write.mode("overwrite").option("header", True).csv(path)
 
 
-def afsc_to_feat(nasc: DataFrame, interval_distance: float = 0.5, spacing: float = 10.0, include: Mapping | None = None, exclude: Mapping | None = None) -> DataFrame:
-    """Exports of the other survey in our columns: interval ends by a fixed length, missing spacings by a default."""
+def complete_intervals(nasc: DataFrame, interval_distance: float = 0.5, spacing: float = 10.0, include: Mapping | None = None, exclude: Mapping | None = None) -> DataFrame:
+    """Another survey's exports in our columns: interval ends by a fixed length, missing spacings by a default."""
     df = cleaning.apply_filters(nasc, include, exclude, strict=False).withColumnRenamed("distance", "distance_s")
     return df.withColumns({"distance_e": F.col("distance_s") + interval_distance, "transect_spacing": F.coalesce(F.col("transect_spacing").cast("double"), F.lit(float(spacing)))})
 
