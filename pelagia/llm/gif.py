@@ -2,12 +2,13 @@
 
 The decoder reads any GIF87a/89a stream: sub-blocks, LZW codes of growing width,
 global and local palettes, interlacing, transparency, and disposal (leave,
-background, previous), giving timed RGB frames. Streams whose codes are all
-literals between clears, as the encoder's default writes them, are decoded
-for many frames at once in numpy; any other stream goes code by code.
+background - painted black - and previous), giving timed RGB frames. Frames of one
+size are encoded and decoded in step, a code or a sample of each at a time in
+numpy; streams that clear their table on the way go code by code.
 
 Cases: a null text is empty and has one frame of padding. Equal texts have equal
-files. A file cut short or with bad codes raises ValueError. Extra columns are not read.
+files. A file cut short, without a palette or with bad codes or samples raises
+ValueError. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pelagia.llm.common import bounded, map_rows
 SIDE = 24
 FRAME = SIDE * SIDE
 DELAY = 10  # hundredths of a second
-#: Literals after which the encoder clears, so that codes keep nine bits.
-STRETCH = 240
+#: Frames that are encoded or decoded in step, and most samples of a frame that is: its table can't fill up.
+TOGETHER, MOST = 2048, 3800
 #: The palette: three bits of red, three of green, two of blue.
 INDEX = np.arange(256)
 PALETTE = np.stack([(INDEX >> 5) * 255 // 7, (INDEX >> 2 & 7) * 255 // 7, (INDEX & 3) * 85], 1).astype(np.uint8)
@@ -50,27 +51,113 @@ class Frame:
     samples: np.ndarray
 
 
-def _literal_code_positions(n: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Codes of n literals: their number, where literals stand, where clears stand."""
-    clears = max(1, -(-n // STRETCH))
-    literal = np.arange(n) + np.arange(n) // STRETCH + 1
-    return n + clears + 1, literal, np.arange(clears) * (STRETCH + 1)
-
-
-def encode_frames(samples: np.ndarray, delay: int = DELAY) -> np.ndarray:
-    """Frame records of (frames, FRAME) samples, one row of equal length each."""
-    n, literal, clear = _literal_code_positions(samples.shape[1])
-    codes = np.full((len(samples), n), 257, np.uint16)
-    codes[:, literal] = samples
-    codes[:, clear] = 256
-    bits = (codes[:, :, None] >> np.arange(9, dtype=np.uint16) & 1).astype(np.uint8).reshape(len(samples), -1)
+def code_bits(count: int) -> np.ndarray:
+    """First bit of each of ``count`` codes of a stream with one clear: nine bits each, ten from the 257th on, and so on."""
+    i = np.arange(count)
+    width = 9 + sum((256 + i >= 1 << w).astype(np.int64) for w in range(9, 12))
+    return np.cumsum(np.append(0, width))
+
+
+def lzw_codes(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy LZW of (frames, n) samples, all frames in step: codes with clear and end, and their number by frame.
+
+    Each frame has its own open-addressed table of (code, next sample) pairs.
+    """
+    frames, n = samples.shape
+    slots = 1 << (2 * n).bit_length()
+    keys, values = np.full(frames * slots, -1, np.int32), np.zeros(frames * slots, np.int16)
+    base, row = np.arange(frames) * slots, np.arange(frames)
+    codes, count = np.zeros((frames, n + 2), np.int16), np.ones(frames, np.int64)
+    codes[:, 0] = 256
+    word = samples[:, 0].astype(np.int32)
+    for t in range(1, n):
+        s = samples[:, t].astype(np.int32)
+        key = word << 8 | s
+        at = base + (key * 40503 >> 4 & slots - 1)
+        found = keys[at]
+        busy = np.flatnonzero((found != key) & (found >= 0))
+        while len(busy):  # linear probing
+            at[busy] = base[busy] + (at[busy] - base[busy] + 1 & slots - 1)
+            found[busy] = keys[at[busy]]
+            busy = busy[(found[busy] != key[busy]) & (found[busy] >= 0)]
+        new = np.flatnonzero(found < 0)
+        codes[new, count[new]] = word[new]
+        keys[at[new]], values[at[new]] = key[new], 257 + count[new]
+        count[new] += 1
+        word = np.where(found < 0, s, values[at])
+    codes[row, count] = word
+    codes[row, count + 1] = 257
+    return codes, count + 2
+
+
+def lzw_pack(codes: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Code streams as bytes, the lowest bit first."""
+    first = code_bits(codes.shape[1])
+    bits = np.zeros((len(codes), int(first[-1])), np.uint8)
+    for width in np.unique(np.diff(first)).tolist():
+        of = np.flatnonzero(np.diff(first) == width)
+        part = codes[:, of, None] >> np.arange(width, dtype=np.int16) & 1
+        bits[:, first[of[0]] : first[of[-1]] + width] = part.reshape(len(codes), -1)
     data = np.packbits(bits, axis=1, bitorder="little")
+    size = -(-first[count] // 8)
+    return [r[:k].tobytes() for r, k in zip(data, size.tolist())]
+
+
+def lzw_unpack(streams: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of code streams with one clear and n < 3,800 samples each, all in step; and which streams are such.
+
+    A code above the samples stands for what began with the code before its own
+    entry was made, and one sample more; so each sample of the output points at an
+    earlier one, and following the pointers gives the sample.
+    """
+    frames = len(streams)
+    ok = np.ones(frames, bool)
+    size = max(map(len, streams))
+    first = code_bits(n + 2)
+    first = first[first <= 8 * size]
+    raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in streams), np.uint8).reshape(frames, size)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    codes = np.zeros((frames, len(first) - 1), np.int64)
+    for width in np.unique(np.diff(first)).tolist():
+        of = np.flatnonzero(np.diff(first) == width)
+        part = bits[:, first[of[0]] : first[of[-1]] + width].reshape(frames, len(of), width)
+        codes[:, of] = (part.astype(np.int32) << np.arange(width, dtype=np.int32)).sum(2)
+    ends = codes == 257
+    end = np.where(ends.any(1), ends.argmax(1), 0)
+    used = np.arange(codes.shape[1]) < end[:, None]
+    used[:, 0] = False
+    ok &= (end > 1) & (codes[:, 0] == 256) & ~((codes == 256) & used).any(1)
+    made = codes - 256  # the code at which an entry was made
+    ok &= ~(used & (codes > 257) & (made > np.arange(codes.shape[1]))).any(1)
+    ok &= ~(used[:, 1] & (codes[:, 1] > 255)) if codes.shape[1] > 1 else False
+    used &= ok[:, None]
+    length, row = np.zeros(codes.shape, np.int64), np.arange(frames)
+    literal = codes < 256
+    for i in range(1, int(end.max(initial=1))):
+        length[:, i] = np.where(literal[:, i], 1, length[row, np.clip(made[:, i] - 1, 0, i - 1)] + 1) * used[:, i]
+    ok &= length.sum(1) == n
+    length[~ok] = 0
+    place = np.cumsum(length.reshape(-1)) - length.reshape(-1)  # in the samples of all good streams
+    owner = np.repeat(np.arange(codes.size), length.reshape(-1))
+    here = np.arange(len(owner))
+    back = np.repeat(row, codes.shape[1]) * codes.shape[1] + np.maximum(made.reshape(-1) - 1, 0)
+    plain = literal.reshape(-1)[owner]
+    source = np.where(plain, here, place[back[owner]] + here - place[owner])
+    while not plain[source].all():
+        source = source[source]
+    out = np.zeros((frames, n), np.uint8)
+    out[ok] = codes.reshape(-1)[owner][source].astype(np.uint8).reshape(-1, n)
+    return out, ok
+
+
+def encode_frames(samples: np.ndarray, delay: int = DELAY) -> list[bytes]:
+    """A frame record for each row of (frames, FRAME) samples."""
     head = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    parts = [np.tile(np.frombuffer(head, np.uint8), (len(samples), 1))]
-    for k in range(0, data.shape[1], 255):
-        part = data[:, k : k + 255]
-        parts += [np.full((len(samples), 1), part.shape[1], np.uint8), part]
-    return np.concatenate([*parts, np.zeros((len(samples), 1), np.uint8)], 1)
+    out = []
+    for data in lzw_pack(*lzw_codes(samples)):
+        blocks = [data[k : k + 255] for k in range(0, len(data), 255)]
+        out.append(head + b"".join(bytes([len(x)]) + x for x in blocks) + b"\0")
+    return out
 
 
 HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + PALETTE.tobytes()
@@ -90,13 +177,12 @@ def encode_files(payloads: list[bytes]) -> list[bytes]:
         n = len(payloads[k]) // FRAME
         out.append((at, at + n))
         at += n
-    rows = [encode_frames(all_[k : k + 4096]) for k in range(0, len(all_), 4096)]
-    records = np.concatenate(rows)
-    return [HEAD + records[a:b].tobytes() + b"\x3b" for a, b in out]
+    records = [r for k in range(0, len(all_), TOGETHER) for r in encode_frames(all_[k : k + TOGETHER])]
+    return [HEAD + b"".join(records[a:b]) + b"\x3b" for a, b in out]
 
 
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
-    """Compressing LZW, greedy, as most writers do it (the default writer favours speed)."""
+    """LZW of samples of any number, one after another, with a new table when it is full."""
     clear, out, value, filled = 1 << bits, bytearray(), 0, 0
     width, table, size, word = bits + 1, {}, clear + 2, None
 
@@ -209,6 +295,8 @@ def parse(file: bytes) -> tuple[int, int, int, list[tuple]]:
                     parts.append(file[at + 1 : at + 1 + size])
                     at += 1 + size
                 at += 1
+                if own is None:
+                    raise ValueError("an image without a palette")
                 frame = Frame(left, top, w, h, delay, disposal, transparent, own, np.zeros(0, np.uint8))
                 images.append((frame, bits, b"".join(parts), bool(flags & 0x40)))
                 delay, disposal, transparent = 0, 0, None
@@ -220,26 +308,20 @@ def parse(file: bytes) -> tuple[int, int, int, list[tuple]]:
 
 
 def decode_files(files: list[bytes]) -> list[tuple[int, int, int, list[Frame]]]:
-    """Frames of each file; literal-only streams of one size are decoded together."""
+    """Frames of each file; streams of the same number of samples are decoded in step, those with several clears one by one."""
     parsed = [parse(f) for f in files]
-    alike: dict[tuple[int, int], list] = {}
+    alike: dict[int, list] = {}
     for _, _, _, images in parsed:
         for image in images:
-            alike.setdefault((len(image[2]), image[0].width * image[0].height) if image[1] == 8 else (-1, -1), []).append(image)
-    for (size, n), images in alike.items():
-        total, literal, clear = _literal_code_positions(max(n, 1))
-        for k in range(0, len(images), 4096):
-            part = images[k : k + 4096]
-            done = np.zeros(len(part), bool)
-            if size == -(-total * 9 // 8):
-                raw = np.frombuffer(b"".join(i[2] for i in part), np.uint8).reshape(len(part), size)
-                bits = np.unpackbits(raw, axis=1, bitorder="little", count=total * 9).reshape(len(part), total, 9)
-                low = np.packbits(bits[:, :, :8], axis=2, bitorder="little")[:, :, 0]
-                high = bits[:, :, 8]
-                done = (high[:, literal] == 0).all(1) & (high[:, clear] == 1).all(1) & (low[:, clear] == 0).all(1) & (high[:, -1] == 1) & (low[:, -1] == 1)
-                samples = low[:, literal]
-            for j, (frame, code_bits, data, _) in enumerate(part):
-                frame.samples = samples[j] if done[j] else lzw_decode(data, code_bits, frame.width * frame.height)
+            n = image[0].width * image[0].height
+            alike.setdefault(n if image[1] == 8 and 0 < n <= MOST else -1, []).append(image)
+    for n, images in alike.items():
+        step = TOGETHER if n <= FRAME else max(1, TOGETHER * FRAME // n)
+        for k in range(0, len(images), step):
+            part = images[k : k + step]
+            samples, done = lzw_unpack([i[2] for i in part], n) if n > 0 else (None, [False] * len(part))
+            for j, (frame, code_size, data, _) in enumerate(part):
+                frame.samples = samples[j] if done[j] else lzw_decode(data, code_size, frame.width * frame.height)
     out = []
     for width, height, background, images in parsed:
         for frame, _, _, woven in images:
@@ -260,6 +342,8 @@ def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray
         before = screen.copy() if f.disposal == 3 else None
         area = screen[f.top : f.top + f.height, f.left : f.left + f.width]
         drawn = f.samples.reshape(f.height, f.width)[: area.shape[0], : area.shape[1]]
+        if drawn.size and int(drawn.max()) >= len(f.palette):
+            raise ValueError("a sample beyond the palette")
         colours = f.palette[drawn]
         if f.transparent is None:
             area[:] = colours
