@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -29,10 +30,21 @@ from pelagia.llm.common import bounded, map_rows, texts_of
 
 #: Symbols in a leaf of the concatenation tree.
 LEAF = 48
-#: Chunks that a worker remembers; beyond it starts afresh, so memory is bounded.
-CACHE = 500_000
+#: Chunks that a worker remembers, and characters and token bytes in them; beyond it starts afresh, so memory is bounded.
+CACHE, CACHE_BYTES = 500_000, 48 << 20
 
 NONE = np.int32(1 << 30)
+#: Stands between the ids of chunks; no token has it.
+NO_ID, BETWEEN = 0xFFFFFFFF, b"\xff" * 4
+
+
+class Numbered(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
 
 #: Fixed values of the vocabulary's file format: how its pre-tokenizer splits.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -117,8 +129,7 @@ class Bpe:
         self.split = regex.compile(SPLIT)
         self.split_flow = regex.compile(SPLIT + "| ")
         self.blank = regex.compile(f"[{SPACE}]+")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.afresh()
 
     # --- the lockstep kernel ---
 
@@ -260,35 +271,47 @@ class Bpe:
         packed, to = tokens.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
         self.words.update(zip(words, map(packed.__getitem__, map(slice, [0, *to[:-1]], to))))
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks not seen so far."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.words) > self.limit:
-            self.words.clear()
-        new = [c for c in chunks if c not in self.chunks]
-        marked = [c for c in new if "<" in c and self.at_special and self.at_special.search(c)]
-        if marked:
-            apart = set(marked)
-            new = [c for c in new if c not in apart]
-        flow = self.split_flow.findall(self.normal(" ".join(new))) if new else []
-        split = [self.pieces(c) for c in marked]
-        fresh = list({w for w in flow if w not in self.words} - {" "} | {w for ws in split for w in ws if type(w) is str and w not in self.words})
+    def learn(self, new: list[str]) -> None:
+        """Encode chunks not seen so far; their ids follow those of the chunks before."""
+        marked = [k for k, c in enumerate(new) if "<" in c and self.at_special and self.at_special.search(c)]
+        apart = set(marked)
+        line = " ".join([c for k, c in enumerate(new) if k not in apart] if marked else new)
+        self.held += 6 * len(line)  # a token or less a character
+        flow = self.split_flow.findall(self.normal(line)) if len(new) > len(marked) else []
+        split = [self.pieces(new[k]) for k in marked]
+        known = self.words
+        fresh = list({w for w in flow if w not in known} - {" "} | {w for ws in split for w in ws if type(w) is str and w not in known})
         if fresh:
             self.encode_words(fresh)
-        known = self.words
-        packed, out, known[" "] = [], self.chunks, b""
-        of = iter(new)
-        for w in flow:
-            if w == " ":
-                out[next(of)] = packed[0] if len(packed) == 1 else b"".join(packed)
-                packed = []
-            else:
-                packed.append(known[w])
-        if new:
-            out[next(of)] = b"".join(packed)
-        for c, ws in zip(marked, split):
-            out[c] = b"".join(known[w] if type(w) is str else w.to_bytes(4, "little") for w in ws)
+        known[" "] = BETWEEN
+        ids = np.frombuffer(b"".join(map(known.__getitem__, flow)), "<u4")
+        between = ids == NO_ID
+        rows = np.split(ids, np.flatnonzero(between)) if marked and len(new) > len(marked) else None
+        if rows is None and not marked:
+            ends = np.append(np.flatnonzero(between) - np.arange(len(new) - 1), len(ids) - len(new) + 1)
+            self.put(ids[~between], np.diff(ends, prepend=0))
+            return
+        plain = iter([r[r != NO_ID] for r in rows or []])
+        said = dict(zip(marked, (b"".join(known[w] if type(w) is str else w.to_bytes(4, "little") for w in ws) for ws in split)))
+        all_ = [np.frombuffer(said[k], "<u4") if k in said else next(plain) for k in range(len(new))]
+        self.put(np.concatenate(all_), np.array([len(r) for r in all_], np.int64))
+
+    def put(self, ids: np.ndarray, count: np.ndarray) -> None:
+        """Keep the ids of the next chunks, laid end to end."""
+        total = self.stop[self.filled] + len(ids)
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
+        self.ids[total - len(ids) : total] = ids
+        end = self.filled + len(count)
+        if end >= len(self.stop):
+            self.stop = np.concatenate([self.stop, np.zeros(max(end, len(self.stop)), np.int64)])
+        self.stop[self.filled + 1 : end + 1] = total - len(ids) + np.cumsum(count)
+        self.filled = end
+
+    def afresh(self) -> None:
+        """Forget all chunks and words."""
+        self.chunks, self.words = Numbered(), {}
+        self.ids, self.stop, self.filled, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
 
     def cut(self, text: str) -> list[str]:
         """White-space chunks; Python's own split also cuts at U+001C-001F, which the vocabulary keeps."""
@@ -299,10 +322,19 @@ class Bpe:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit values."""
+        if self.filled > self.limit or len(self.words) > self.limit or self.held > CACHE_BYTES:
+            self.afresh()
         cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*cut))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        size = np.array([len(c) for c in cut], np.int64)
+        chunk = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(cut)), np.int64, int(size.sum()))
+        if len(self.chunks) > self.filled:
+            self.learn(list(islice(self.chunks, self.filled, None)))
+        start = self.stop[chunk]
+        count = self.stop[chunk + 1] - start
+        ends = np.cumsum(count)
+        packed = self.ids[np.repeat(start - ends + count, count) + np.arange(int(count.sum()))].tobytes()
+        cuts = (4 * np.append(0, ends)[np.append(0, np.cumsum(size))]).tolist()
+        return [packed[a:z] for a, z in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(p, "<u4").tolist() for p in self.encode_packed(texts)]

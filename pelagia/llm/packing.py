@@ -29,8 +29,8 @@ from pelagia.llm.common import bounded, settle, texts_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length that one numbering bucket holds, about.
-PER_BUCKET = 50_000
+#: Pieces of one length that one numbering bucket holds, about; the root of their number if that is more.
+PER_BUCKET = 200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -142,9 +142,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = PER_BUCK
     """
     spark = pieces.sparkSession
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row per length
-    buckets = max(1, math.ceil(max(by_length.values(), default=0) / per_bucket))
     runs, _ = plan(by_length, capacity)
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # a length that many pieces have is numbered in as many buckets as it needs; at most one row per length
+    needs = spark.createDataFrame([(n, max(1, math.ceil(c / max(per_bucket, math.isqrt(c))))) for n, c in by_length.items()], "length long, _buckets long")
+    bucketed = pieces.join(F.broadcast(needs), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_buckets"))).drop("_buckets")
     # first rank of every (length, bucket): counts only, numbered per length
     firsts = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).withColumn("_first", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).select("length", "_bucket", "_first")
     ranked = bucketed.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
