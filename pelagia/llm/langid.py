@@ -150,13 +150,23 @@ def forward(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_character(words: list[str], points: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Log probability of each word as single characters, its characters that aren't known, and all of them."""
+    char = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    place = np.searchsorted(points, char)
+    seen = np.append(points, -1)[place] == char
+    size = np.array([len(w) for w in words])
+    value = np.stack([logp[np.where(seen, place, len(points))], ~seen, np.ones(len(char))], 1)
+    return np.add.reduceat(value, np.cumsum(size) - size)
+
+
 class Scorer:
     """Scores texts; remembers the log probabilities of words it has seen."""
 
-    def __init__(self, pieces: Pieces, logp: np.ndarray):
-        self.pieces, self.logp = pieces, logp
+    def __init__(self, pieces: Pieces, logp: np.ndarray, background: tuple[np.ndarray, np.ndarray] | None = None):
+        self.pieces, self.logp, self.background = pieces, logp, background
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, logp.shape[1]))
+        self.rows = np.zeros((1024, logp.shape[1] + 3 * (background is not None)))
         self.chars = 0
 
     def learn(self, words: set[str]) -> None:
@@ -175,21 +185,70 @@ class Scorer:
             base = len(self.at)
             while base + len(part) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[base : base + len(part)] = forward([MARK + w for w in part], self.pieces, self.logp)
+            marked = [MARK + w for w in part]
+            self.rows[base : base + len(part), : self.logp.shape[1]] = forward(marked, self.pieces, self.logp)
+            if self.background is not None:
+                self.rows[base : base + len(part), -3:] = by_character(marked, *self.background)
             self.at.update(zip(part, range(base, base + len(part))))
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best language and its posterior for each text."""
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """Log probability of each text in each language, and what ``by_character`` gives if there is a background."""
         cut = [t.lower().split() for t in texts]
         self.learn(set().union(*cut))
         get = self.at.__getitem__
-        total = np.zeros((len(texts), self.logp.shape[1]))
+        total = np.zeros((len(texts), self.rows.shape[1]))
         for k, words in enumerate(cut):
             if words:
                 total[k] = self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=np.float64)
+        return total
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best language and its posterior for each text."""
+        total = self.sums(texts)[:, : self.logp.shape[1]]
         best = total.argmax(1)
         return best, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
 
+    def known(self, texts: list[str], least: float) -> np.ndarray:
+        """Is a text in one of the languages: in their characters, better explained by pieces than by single ones, and sure?"""
+        total = self.sums(texts)
+        own, (back, unseen, size) = total[:, :-3], total[:, -3:].T
+        return (own.max(1) >= back) & (2 * unseen <= size) & (1 / np.exp(own - own.max(1, keepdims=True)).sum(1) >= least)
+
+
+def learned_from(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame | None]:
+    """Languages, and (lang, text) of the about ``sample`` texts of each that models learn from, outside the held-out fold."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return [], None
+    share = F.create_map(*[x for n in langs for x in (F.lit(n), F.lit(min(1.0, sample / sizes[n])))])
+    return langs, known.where(fold_hash(F.col("doc_id"), 7) < share[F.col("lang")]).select("lang", "text")
+
+
+def alphabet(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in order and the log probability of each, of any other one last: a background of single characters.
+
+    Learned from the texts of all languages together, a word's mark counted as one of
+    its characters. One number per character reaches the driver.
+    """
+    _, taken = learned_from(docs, sample)
+
+    def run(batches):
+        from collections import Counter
+
+        count: Counter = Counter()
+        for b in batches:
+            for t in texts_of(b):
+                words = t.lower().split()
+                count.update("".join(words))
+                count[MARK] += len(words)
+        yield pa.RecordBatch.from_arrays([pa.array(map(ord, count), pa.int64()), pa.array(count.values(), pa.int64())], ["c", "n"])
+
+    rows = sorted((r["c"], r["n"]) for r in taken.mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()) if taken is not None else []
+    points, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows] + [0], float) + SMOOTH
+    return points, np.log(n / n.sum())
+
 
 def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of every piece in each, from rows outside the held-out fold.
@@ -198,15 +257,11 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
     What comes back to the driver is one number per piece and language.
     """
     spark = bounded(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
+    langs, taken = learned_from(docs, sample)
     pieces = vocabulary(path)
     count = Pieces(pieces).size
-    if not langs:
+    if taken is None:
         return [], np.zeros((count, 0))
-    share = F.create_map(*[x for n in langs for x in (F.lit(n), F.lit(min(1.0, sample / sizes[n])))])
-    taken = known.where(fold_hash(F.col("doc_id"), 7) < share[F.col("lang")]).select("lang", "text")
 
     def words(batches):
         from collections import Counter
@@ -333,18 +388,24 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str) -> D
 
 
 def keep_known(docs: DataFrame, path: str, least: float = 0.5) -> DataFrame:
-    """Rows whose language is determined with a posterior of at least ``least``; all columns stay."""
+    """Rows in one of the learned languages; all columns stay.
+
+    A text stays if at least half of its characters were learned, its pieces explain
+    it at least as well in some language as single characters do in all of them, and
+    that language has a posterior of at least ``least``. So letter junk goes, and
+    texts in languages that weren't learned.
+    """
     langs, logp = fit(docs, path)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary(path), langs, logp))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary(path), langs, logp, alphabet(docs)))  # vocabulary x languages, and the characters
 
     def make():
-        names, order, model = shared.value
-        scorer = Scorer(Pieces(names), model) if order else None
+        names, order, model, background = shared.value
+        scorer = Scorer(Pieces(names), model, background) if order else None
 
         def mask(batch):
             texts = texts_of(batch)
             letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            return letters & (scorer.score(texts)[1] >= least) if scorer else np.zeros(len(texts), bool)
+            return letters & scorer.known(texts, least) if scorer else np.zeros(len(texts), bool)
 
         return mask
 

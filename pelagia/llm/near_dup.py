@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import bounded, map_rows, mix64, settle
+from pelagia.llm.common import bounded, fresh_names, map_rows, mix64, settle
 from pelagia.llm.words import shingle_sets
 
 SLOTS, ROWS = 128, 4
@@ -309,5 +309,6 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 75, slots: int
 
 def deduplicate(df: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Rows of ``df`` whose document is the smallest id of its component; all columns stay."""
-    keep = near_duplicates(df, width, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    (mark,) = fresh_names(df.columns, "kept")
+    keep = near_duplicates(df, width, percent).where("kept").select(F.col("doc_id").alias(mark)).distinct()
+    return df.join(keep, F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")

@@ -74,9 +74,10 @@ def _hashed_runs(shape: np.ndarray, fresh: np.ndarray, first: np.ndarray, last:
 
 def sums(weights: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Mean weight of each text's features."""
-    total = np.concatenate([[0.0], np.cumsum(weights[places])])
-    ends = np.cumsum(counts)
-    return (total[ends] - total[ends - counts]) / np.maximum(counts, 1)
+    out, some = np.zeros(len(counts)), np.flatnonzero(counts)
+    if len(some):  # each text by itself, so that its neighbours in a batch don't matter
+        out[some] = np.add.reduceat(weights[places], (np.cumsum(counts) - counts)[some]) / counts[some]
+    return out
 
 
 def train(texts: list[bytes], labels: np.ndarray, bits: int = BITS, passes: int = PASSES) -> np.ndarray:
@@ -160,8 +161,14 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows whose score reaches the threshold; all columns stay, nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    """Rows whose score reaches the threshold; all columns stay, nothing is shuffled.
+
+    With no labelled rows there is nothing to judge by, and all rows stay.
+    """
+    weights = fit(docs, labels)
+    if not weights.any():
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def make():
         scorer = Scorer(shared.value)

@@ -208,6 +208,29 @@ def test_lzw_round_trip():
         assert bytes(gif.lzw_decode(gif.lzw_encode(data), 8, len(data)).astype("uint8")) == data
 
 
+@pytest.mark.parametrize("n", [1, 2, 255, 576, 3800])
+def test_lzw_in_step_equals_one_by_one(n):
+    rng = np.random.default_rng(n)
+    rows = np.stack([rng.integers(0, 256, n), np.full(n, 7), np.arange(n) % 3, rng.integers(0, 4, n), np.arange(n) % 256]).astype(np.uint8)
+    streams = gif.lzw_pack(*gif.lzw_codes(rows))
+    assert streams == [gif.lzw_encode(r.tobytes()) for r in rows]
+    samples, ok = gif.lzw_unpack(streams, n)
+    assert ok.all() and (samples == rows).all()
+    several = gif.lzw_encode(bytes(rng.integers(0, 256, 9000).astype(np.uint8)))  # clears on the way
+    broken = [streams[0][:-1] + b"\xff", b"\x00" + streams[0][1:], several]
+    for data in broken if n > 2 else []:
+        samples, ok = gif.lzw_unpack([data, streams[1]], n)
+        assert ok.tolist()[1] and (samples[1] == rows[1]).all()
+        assert not ok[0] or (samples[0] == gif.lzw_decode(data, 8, n)).all()
+
+
+def test_bad_gif_files():
+    whole = gif.encode_files([b"\xff" * gif.FRAME])[0]
+    for file in (whole[:40], b"GIF89a" + whole[6:10] + b"\0" + whole[11:13] + whole[781:], whole[:-30]):
+        with pytest.raises(ValueError):
+            gif.decode_files([file])
+
+
 def gif_file(frames, palette, size=2):
     """A GIF of (left, top, width, height, delay, disposal, transparent, own palette, samples), LZW from the dictionary coder."""
     colours = lambda p: bytes(x for c in p + [(0, 0, 0)] * (256 - len(p)) for x in c)
@@ -365,3 +388,93 @@ def test_null_ids_do_not_crash(spark):
     assert len(suffix_dedup.removed_digest(d).collect()) == 2
     assert len(packing.pack_documents(d, bpe.public_path(WORD_BPE)).collect()) == 2
     assert len(edit_embedding.fingerprint_documents(d).collect()) == 2
+
+
+def test_clashing_names(spark):
+    rows = [(1, "one two three four five six seven", 1, "a", 2), (2, "one two three four five six seven", 3, "b", 4), (None, None, 5, "c", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept int, _kept string, KEEP int")
+    got = near_dup.deduplicate(d)
+    assert got.columns == d.columns and sorted((r["kept"], r["_kept"]) for r in got.collect()) == [(1, "a"), (5, "c")]
+
+
+def test_equal_texts_score_alike(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts_ = [" ".join(rng.choices(words, k=rng.randint(0, 80))) for _ in range(50)]
+    w = quality.train([t.encode() for t in texts_], np.array([k % 2 for k in range(50)], float))
+    scorer = quality.Scorer(w)
+    alone = [float(scorer.score([t])[0]) for t in texts_]
+    assert alone == scorer.score(texts_).tolist() == scorer.score(texts_[::-1]).tolist()[::-1]
+
+
+def test_quality_by_hand():
+    """FTRL-proximal and the score of a text, one feature after another."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+    texts_ = [" ".join(rng.choices(words, k=rng.randint(1, 20))).encode() for _ in range(12)]
+    y = [k % 2 for k in range(12)]
+    got = quality.train(texts_, np.array(y, float), passes=2)
+    size = 1 << quality.BITS
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def terms(t):
+        places, counts = quality.features([t])
+        out = defaultdict(float)
+        for p in places.tolist():
+            out[p] += quality.SCALE / counts[0]
+        out[size] = 1.0
+        return out
+
+    for _ in range(2):
+        for t, label in zip(texts_, y):
+            x = terms(t)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z}
+    assert all(abs(got[i] - v) < 1e-9 for i, v in want.items()) and np.count_nonzero(got) == sum(v != 0 for v in want.values())
+    score = quality.Scorer(got).score([texts_[0].decode()])[0]
+    assert abs(score - 1 / (1 + math.exp(-sum(want[i] * v for i, v in terms(texts_[0]).items())))) < 1e-9
+
+
+def test_no_labels_keep_all(spark, docs, rows):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(docs, labels).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    """A word of a megabyte, and megabytes of words."""
+    rng = random.Random(4)
+    word = "".join(rng.choices("etaoinsrhld", k=1 << 20))
+    prose = " ".join("".join(rng.choices("etaoinsrhld", k=6)) for _ in range(300_000))
+    d = spark.createDataFrame([(1, word, "en"), (2, prose, "en"), (3, prose + " end", "en"), (4, "short text of a few words", "de")], "doc_id long, text string, lang string")
+    path = bpe.public_path(WORD_BPE)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation(), tok.no_padding()
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.digest_documents(d, path).collect()}
+    assert got[1] == len(tok.encode(word, add_special_tokens=False).ids) and got[2] == len(tok.encode(prose, add_special_tokens=False).ids)
+    cut = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removed_digest(d).collect()}
+    assert cut == {1: 0, 2: 0, 3: len(prose), 4: 0}
+    assert {r["doc_id"] for r in near_dup.near_duplicates(d).where("kept").collect()} == {1, 2, 4}
+    assert {r["doc_id"]: r["payload_bytes"] for r in gif.digest_media(d).collect()}[1] == -(-len(word) // 576) * 576
+    pieces = bpe.public_path(langid.MODEL)
+    assert langid.predict(d, *langid.fit(d, pieces), pieces).count() == 4
+    assert edit_embedding.fingerprint_documents(d).count() == 4
+
+
+def test_ids_and_text_of_documents(docs, rows):
+    path = bpe.public_path(WORD_BPE)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation(), tok.no_padding()
+    got = {r["doc_id"]: r for r in bpe.encode_documents(docs, path).collect()}
+    for i, t, *_ in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert got[i]["ids"] == ids and got[i]["decoded"] == tok.decode(ids, skip_special_tokens=False)

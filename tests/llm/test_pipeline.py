@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a brute-force result on a small table."""
 
 import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -147,3 +148,15 @@ def test_packing_stage(spark, docs, rows):
             open_.remove(fit)
         open_.append((4096 if fit is None else fit) - n)
     assert len(bins) == len(open_)
+
+
+def test_language_stage_rejects_what_was_not_learned(spark, docs):
+    """Letter junk, and languages of other letters or words; the learned ones stay."""
+    path = bpe.public_path(langid.MODEL)
+    rng = random.Random(1)
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=300)) for _ in range(5)]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。", "!!! 123", ""]
+    extra = spark.createDataFrame([(20_000 + k, t, None, None, None) for k, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.keep_known(docs.select(*extra.columns).unionByName(extra), path)
+    assert got.where("doc_id >= 20000").count() == 0
+    assert got.where("lang IS NOT NULL AND doc_id < 10000").count() == docs.where("lang IS NOT NULL AND doc_id < 10000").count()
