@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 keep the columns of ``documents``. ``run`` applies them in order and writes each
 stage's rows once, as Parquet in the checkpoint folder that executors share, so
-that no stage is computed twice.
+that no stage is computed twice. A stage's rows are removed when the next one's
+are written.
+
+Cases: null texts stay until a stage's rule takes them (they have no language).
+Without labelled rows the quality stage keeps all. A null doc_id is its own group
+in the near-duplicate stage and loses no text; repeated rows are treated alike.
+Empty tables pass through. Extra columns, of any name, stay until the last stage.
 """
 
 from __future__ import annotations
@@ -64,4 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return docs

@@ -221,6 +221,7 @@ class Kriging:
         if not extrapolate and self.mesh_cropped is None:
             raise AttributeError("crop_mesh has to run before kriging without extrapolation")
         mesh, p = self.mesh if extrapolate else self.mesh_cropped, self.kriging_params
+        transects = transects.dropna(subset=[*self.coordinate_names, variable])
         near = nearest(mesh, transects, self.cell, number, variable, p["k_max"], p["search_radius"], self.coordinate_names)
         solved = estimates(near, self.variogram_params, p["k_min"], p["k_max"], p["search_radius"], p["aspect_ratio"], self.strategies[adaptive_search_strategy], self.mode)
         rows = mesh.join(solved.withColumnRenamed("cell", self.cell), self.cell, "left").checkpoint()

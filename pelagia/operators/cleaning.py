@@ -126,6 +126,14 @@ def parse_regions(df: DataFrame, patterns: Mapping[str, Mapping[str, str | None]
     return df.join(parts, name, "left")
 
 
+def typed_regions(df: DataFrame, can_haul_offset: float | None = None) -> DataFrame:
+    """Parsed parts with their types: haul and ship numbers as doubles, Canadian hauls moved by the offset."""
+    out = df.withColumns({c: F.expr(f"try_cast({c} AS double)") for c in ("haul_num", "ship") if c in df.columns})
+    if "country" in df.columns and "haul_num" in df.columns and can_haul_offset is not None:
+        out = out.withColumn("haul_num", F.col("haul_num") + F.when(F.col("country") == "CAN", can_haul_offset).otherwise(0.0))
+    return out
+
+
 def valid_filesets(files: DataFrame, kinds: Sequence[str], transect: str = "transect_num", kind: str = "file_type") -> DataFrame:
     """Files of transects that have exactly one of every kind."""
     one = [F.count_if(F.col(kind) == k) == 1 for k in kinds]
@@ -231,14 +239,3 @@ def filter_intervals(df: DataFrame, listed: DataFrame, condition: str | None = N
 def western_extents(df: DataFrame, x: str = "longitude", y: str = "latitude", threshold: float = 51.0) -> DataFrame:
     """The westernmost point of every transect below the latitude."""
     return df.where(F.col(y) < threshold).groupBy("transect_num").agg(F.min(x).alias(x), F.min_by(y, F.struct(x, y)).alias(y))
-
-
-def canonical_names(columns: Sequence[str], table: Sequence[tuple[str, str]]) -> dict[str, str]:
-    """Column names by ordered patterns, case ignored; the first that matches wins."""
-    out = {}
-    for c in columns:
-        for pattern, name in table:
-            if re.search(pattern, c, re.IGNORECASE):
-                out[c] = name
-                break
-    return out

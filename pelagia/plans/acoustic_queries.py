@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pelagia.inversion.length_ts import InversionLengthTS
 from pelagia.operators import acoustics
 from pelagia.plans import roles as R
 from pelagia.plans.registry import query
@@ -121,3 +122,11 @@ def krill_intervals(spark, d):
     p = spark.range(1, 9).select(F.col("id").alias("transect_num"), (0.01 + F.col("id") * 0.001).alias("length_mean"), F.lit(16.0).alias("length_radius_ratio"), F.lit(1.036).alias("g"), (F.col("id") * 10.0).alias("number_density"))
     out = acoustics.krill_population(p, rows, ["transect_num"], 1025.0, "interval")
     return out.select("transect_num", "interval", logged("areal_number_density").alias("log_number"), logged("biomass_density").alias("log_biomass"))
+
+
+@query(f"{W}, {R.INTERVALS}, s AS (SELECT stratum, avg(sigma_bs) AS sigma_bs FROM hs GROUP BY stratum), x AS (SELECT * REPLACE (CASE WHEN interval % 3 = 0 THEN 'X' ELSE stratum END AS stratum) FROM intervals), i AS (SELECT stratum, sigma_bs FROM s UNION ALL SELECT 'X', max_by(sigma_bs, stratum) FROM s) SELECT interval, round(log10(nullif(coalesce(nasc / (4 * pi() * sigma_bs), 0), 0)), 7) AS log_density FROM x JOIN i USING (stratum)")
+def length_ts_inversion(spark, d):
+    """The whole inversion, with a stratum beyond the last that takes its neighbour's value."""
+    rows = R.intervals(spark, d).withColumn("stratum", F.when(F.col("interval") % 3 == 0, "X").otherwise(F.col("stratum")))
+    model = InversionLengthTS({"ts_length_regression": {"slope": 20.0, "intercept": -68.0}, "stratify_by": "stratum"})
+    return model.invert(rows, {"specimen": R.specimen(spark, d), "length": R.lengths(spark, d)}).select("interval", logged("number_density").alias("log_density"))

@@ -62,6 +62,13 @@ def region_parse(spark, d):
     return cleaning.parse_regions(rows, {"region_class": {"brand": "B"}, "haul_num": {"[0-9]+": None}})
 
 
+@query("SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN 'CAN' END AS country, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) + CASE WHEN p_brand LIKE '%1' THEN 200 ELSE 0 END AS haul_num FROM part")
+def region_types(spark, d):
+    rows = R.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("region_name"))
+    parsed = cleaning.parse_regions(rows, {"haul_num": {"[0-9]+": None}})
+    return cleaning.typed_regions(parsed.withColumn("country", F.when(F.col("region_name").endswith("1"), "CAN")), 200.0).drop("region_name")
+
+
 FILES = "files AS (SELECT c_custkey AS path, c_nationkey * 60 + c_custkey % 60 AS transect_num, c_mktsegment AS file_type FROM customer)"
 
 

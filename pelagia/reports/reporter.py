@@ -29,10 +29,8 @@ def body(table: DataFrame) -> tuple[list[str], list[list]]:
 
 
 def data_rows(names: Sequence[str], rows: Sequence[Sequence]) -> list[list]:
-    """A line of names after a 0, the bins, and the subtotals without their own."""
-    if not rows:
-        raise ValueError("the table has no rows to write")
-    return [[0, *names], *map(list, rows[:-1]), list(rows[-1][:-1])]
+    """A line of names after a 0, the bins, and the subtotals without their own; the names alone of an empty table."""
+    return [[0, *names], *map(list, rows[:-1]), *[list(r[:-1]) for r in rows[-1:]]]
 
 
 def inner_sum(rows: Sequence[Sequence]) -> float:
@@ -41,7 +39,7 @@ def inner_sum(rows: Sequence[Sequence]) -> float:
 
 def aggregates(names: Sequence[str], rows: Sequence[Sequence], both: float | None) -> list[list]:
     """Totals from age 1 and from age 2 on; ``both`` is the sum of male and female, for the table of all."""
-    last = dict(zip(names, rows[-1][1:]))
+    last = dict(zip(names, rows[-1][1:])) if rows else {}
     unaged = last.get(tables.UNAGED, 0.0) or 0.0
     aged = sum(v or 0 for n, v in last.items() if n not in (tables.UNAGED, tables.SUBTOTAL))
     first = (last.get("1", 0.0) or 0.0) / aged if aged else 0.0

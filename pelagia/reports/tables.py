@@ -109,7 +109,7 @@ def aged_biomass(geodata: DataFrame, shares: DataFrame, stratum: str, sex: str,
     name = f"{variable}_{sex}" if sex != "all" and f"{variable}_{sex}" in geodata.columns else variable
     if name not in geodata.columns:
         raise KeyError(name)
-    wide = shares.groupBy(stratum).agg(*[F.sum(F.when(F.col("age_bin") == a, F.col("share"))).alias(f"_a{k}") for k, a in enumerate(ages)])
+    wide = shares.groupBy(stratum).agg(F.count("*").alias("_n"), *[F.sum(F.when(F.col("age_bin") == a, F.col("share"))).alias(f"_a{k}") for k, a in enumerate(ages)])
     rows = geodata.join(wide, stratum, "left")
     given = {"transect_num": "Transect", "latitude": "Lat", "longitude": "Lon"}
     total = "wgt_total" if sex == "all" else f"wgt_{sex}"

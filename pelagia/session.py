@@ -29,7 +29,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and give checkpoints a folder.
 
     The checkpoint folder is the one the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests, a laptop) a temporary one is made.
+    only where that is unset and the session local (tests, a laptop) a temporary one
+    is made.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -37,5 +38,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith(("local[", "local-cluster")) and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pelagia-checkpoint-"))
     return spark
