@@ -24,16 +24,18 @@ METRES_PER_NMI = 1852.0
 def interpolate(at: DataFrame, column: str, knots: DataFrame, x: str, y: str, name: str) -> DataFrame:
     """Add ``name``: knots' piecewise linear y at ``column``; null outside their range.
 
-    Knots and rows are merged in one ordered pass over ranges of x. Of knots with the
-    same x the one with the smallest y counts.
+    Segments are cut at whole numbers of x, so that the join is an equality with the
+    exact bounds checked after it. Of knots with the same x the one with the smallest
+    y counts.
     """
     spots = knots.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_x")).agg(F.min(y).cast("double").alias("_y"))
     pieces = spots.withColumn("_x1", F.lead("_x").over(Window.orderBy("_x"))).withColumn("_y1", F.lead("_y").over(Window.orderBy("_x")))  # one row per knot of a reference line
     # a knot's segment is closed on the left; the last knot is a segment of its own
     hit = (F.col(column) >= F.col("_x")) & (F.col(column) < F.col("_x1")) | (F.col(column) == F.col("_x")) & F.col("_x1").isNull()
-    rows = at.join(pieces, hit, "left")
+    cells = pieces.withColumn("_cell", F.explode(F.sequence(F.floor("_x"), F.floor(F.coalesce("_x1", "_x")))))
+    rows = at.withColumn("_at", F.floor(F.col(column))).join(cells, (F.col("_at") == F.col("_cell")) & hit, "left")
     slope = F.coalesce(F.try_divide(F.col("_y1") - F.col("_y"), F.col("_x1") - F.col("_x")), F.lit(0.0))
-    return rows.withColumn(name, F.col("_y") + slope * (F.col(column) - F.col("_x"))).drop("_x", "_y", "_x1", "_y1")
+    return rows.withColumn(name, F.col("_y") + slope * (F.col(column) - F.col("_x"))).drop("_x", "_y", "_x1", "_y1", "_cell", "_at")
 
 
 def transform_coordinates(data: DataFrame, x_offset: float = 0.0, y_offset: float = 0.0, coordinates: tuple[str, str] = ("longitude", "latitude"), reference: DataFrame | None = None, delta_x: float | None = None, delta_y: float | None = None) -> tuple[DataFrame, float | None, float | None]:

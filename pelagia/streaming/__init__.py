@@ -1 +1,33 @@
+"""Exports as they arrive: interval files of a running survey, summed by transect.
 
+A file that lands in the folder is read once; the state is one row per transect.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pelagia.sources.surveys import export_columns, file_name
+
+
+def export_stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.csv", pattern: str = r"T(\d+)") -> DataFrame:
+    """Rows of all export files of a folder, present and to come, with canonical columns and the transect of the file's name."""
+    raw = spark.readStream.options(header=True, ignoreLeadingWhiteSpace=True, enforceSchema=False, pathGlobFilter=glob).schema(schema).csv(folder)
+    df = export_columns(raw.withColumn("filename", file_name()))
+    return df.withColumn("transect_num", F.regexp_extract("filename", pattern, 1).cast("double"))
+
+
+def transect_totals(stream: DataFrame, value: str = "nasc") -> DataFrame:
+    """Running sums, counts and extents by transect."""
+    return stream.groupBy("transect_num").agg(F.sum(value).alias(value), F.count("*").alias("intervals"), F.min("distance_s").alias("distance_s"), F.max("distance_e").alias("distance_e"))
+
+
+def keep_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the totals after each batch as one Parquet table, for all files there are; ends when they are read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
