@@ -218,9 +218,9 @@ def confidence_interval(samples: DataFrame, name: str, value: str, population: d
             one = rows.drop("p").join(base, "name")
             m = (F.col("s1") - F.col("x")) / (F.col("n") - 1)
             var = (F.col("s2") - F.col("x") ** 2 - (F.col("n") - 1) * m * m) / (F.col("n") - 2)
-            whole = F.col("sd") ** 2 / F.col("mean") ** 2 - 1 / F.col("mean")
-            infl = (F.col("n") - 1) * (whole - (var / m**2 - 1 / m))
-            acc = one.withColumn("i", infl).groupBy("name").agg((F.sum(F.col("i") ** 3) / (6 * F.pow(F.sum(F.col("i") ** 2), 1.5))).alias("a"))
+            whole = F.try_divide(F.col("sd") ** 2, F.col("mean") ** 2) - F.try_divide(F.lit(1.0), "mean")
+            infl = (F.col("n") - 1) * (whole - (F.try_divide(var, m**2) - F.try_divide(F.lit(1.0), m)))
+            acc = one.withColumn("i", infl).groupBy("name").agg(F.coalesce(F.try_divide(F.sum(F.col("i") ** 3), 6 * F.pow(F.sum(F.col("i") ** 2), 1.5)), F.lit(0.0)).alias("a"))
             stats = stats.join(acc, "name")
         else:
             stats = stats.withColumn("a", F.lit(0.0))
