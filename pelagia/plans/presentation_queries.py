@@ -12,10 +12,10 @@ from pelagia.plans.registry import query
 from pelagia.reports import presentation
 
 
-@query(f"{P.W} SELECT length_bin, age AS age_bin, round(sum(CASE WHEN sex = 'unsexed' THEN 0 ELSE weight END), 4) AS value FROM b GROUP BY length_bin, age")
+@query(f"{P.W} SELECT length_bin, age AS age_bin, round(sum(CASE WHEN sex = 'unsexed' THEN 0 ELSE weight END), 7) AS value FROM b GROUP BY length_bin, age")
 def heatmap(spark, d):
     out = presentation.heatmap(P.aged(spark, d), "value", exclude={"sex": ["unsexed"]}, replace={"value": 0.0})
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", F.round("value", 7))
 
 
 @query("SELECT p_partkey, round(25 + (greatest(1000, least(1500, p_retailprice)) - 1000) / 500 * 225, 6) AS size FROM part")
@@ -50,15 +50,15 @@ def table_differences(spark, d):
     return out.withColumns({c: F.round(c, 7) for c in ("first", "second", "difference")})
 
 
-@query(f"{P.W} SELECT stratum, sex, round(sum(weight), 3) AS weight, sum(length) AS length FROM b GROUP BY stratum, sex")
+@query(f"{P.W} SELECT stratum, sex, round(sum(weight), 7) AS weight, sum(length) AS length FROM b GROUP BY stratum, sex")
 def grouped_table(spark, d):
-    return presentation.grouped_table(P.fish(spark, d), ["stratum", "sex"], ["weight", "length"]).withColumn("weight", F.round("weight", 3))
+    return presentation.grouped_table(P.fish(spark, d), ["stratum", "sex"], ["weight", "length"]).withColumn("weight", F.round("weight", 7))
 
 
-@query(f"{P.W} SELECT length_bin, round(coalesce(sum(weight) FILTER (sex = 'male'), 0), 3) AS male, round(coalesce(sum(weight) FILTER (sex = 'female'), 0), 3) AS female, CAST(0 AS DOUBLE) AS \"none\" FROM b GROUP BY length_bin")
+@query(f"{P.W} SELECT length_bin, round(coalesce(sum(weight) FILTER (sex = 'male'), 0), 7) AS male, round(coalesce(sum(weight) FILTER (sex = 'female'), 0), 7) AS female, CAST(0 AS DOUBLE) AS \"none\" FROM b GROUP BY length_bin")
 def pivot_table(spark, d):
     out = presentation.pivot_table(P.fish(spark, d), ["length_bin"], "sex", ["male", "female", "none"], "weight")
-    return out.withColumns({c: F.round(c, 3) for c in ("male", "female")})
+    return out.withColumns({c: F.round(c, 7) for c in ("male", "female")})
 
 
 @query("""SELECT CAST(t AS DOUBLE) AS transect_num, CASE WHEN t <= 119 THEN 1 WHEN t <= 127 THEN 2 ELSE 3 END AS mesh_region, t + CASE WHEN t BETWEEN 121 AND 127 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS transect_lower_bound, t + CASE WHEN t BETWEEN 121 AND 127 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS transect_upper_bound FROM range(1, 146) r(t) WHERE t NOT IN (120, 128)""")

@@ -33,10 +33,10 @@ def unaged(spark, d):
 AGES = ", ".join(f"coalesce(sum(weight) FILTER (age = {a}), 0) AS a{a}" for a in range(1, 8))
 
 
-@query(f"{W} SELECT length_bin, {', '.join(f'round(a{a}, 4) AS a{a}' for a in range(1, 8))}, round(u, 4) AS unaged, round(CASE WHEN g = 0 THEN u * 3 END, 4) AS subtotal FROM (SELECT length_bin, {AGES}, sum(weight) * 0.5 AS u, grouping(length_bin) AS g FROM b WHERE sex = 'male' GROUP BY ROLLUP (length_bin))")
+@query(f"{W} SELECT length_bin, {', '.join(f'round(a{a}, 7) AS a{a}' for a in range(1, 8))}, round(u, 7) AS unaged, round(CASE WHEN g = 0 THEN u * 3 END, 7) AS subtotal FROM (SELECT length_bin, {AGES}, sum(weight) * 0.5 AS u, grouping(length_bin) AS g FROM b WHERE sex = 'male' GROUP BY ROLLUP (length_bin))")
 def age_length_table(spark, d):
     out = tables.age_length_table(aged(spark, d), "male", unaged(spark, d), ages=range(1, 8))
-    return out.select("length_bin", *[F.round(str(a), 4).alias(f"a{a}") for a in range(1, 8)], F.round(tables.UNAGED, 4).alias("unaged"), F.round(tables.SUBTOTAL, 4).alias("subtotal"))
+    return out.select("length_bin", *[F.round(str(a), 7).alias(f"a{a}") for a in range(1, 8)], F.round(tables.UNAGED, 7).alias("unaged"), F.round(tables.SUBTOTAL, 7).alias("subtotal"))
 
 
 @query(f"""{W}, c AS (SELECT sex, length_bin, haul_num, count(*) + sum(age) AS count FROM b WHERE sex <> 'unsexed' GROUP BY ALL UNION ALL SELECT 'all', length_bin, haul_num, count(*) + sum(age) FROM b GROUP BY ALL)
@@ -62,11 +62,11 @@ def weights(spark, d):
 SHARES = "k AS (SELECT stratum, sex, age, CASE WHEN age = 1 THEN 0 ELSE w + w * coalesce(sum(w) FILTER (age = 1) OVER (PARTITION BY stratum, sex), 0) / sum(w) FILTER (age > 1) OVER (PARTITION BY stratum, sex) END AS w FROM (SELECT stratum, sex, age, sum(weight) AS w FROM b GROUP BY ALL)), sh AS (SELECT stratum, age, sum(w) / sum(sum(w)) OVER (PARTITION BY stratum) AS s FROM k WHERE sex IN ('male', 'female') GROUP BY stratum, age)"
 
 
-@query(f"{W}, {GEO}, {SHARES} SELECT transect_num AS \"Transect\", latitude AS \"Lat\", geo.stratum, biomass AS wgt_total, " + ", ".join(f"round(biomass * max(s) FILTER (age = {a}), 4) AS a{a}" for a in (1, 2, 7)) + " FROM geo LEFT JOIN sh ON sh.stratum = geo.stratum GROUP BY transect_num, latitude, longitude, geo.stratum, biomass")
+@query(f"{W}, {GEO}, {SHARES} SELECT transect_num AS \"Transect\", latitude AS \"Lat\", geo.stratum, biomass AS wgt_total, " + ", ".join(f"round(log10(nullif(biomass * max(s) FILTER (age = {a}), 0)), 7) AS a{a}" for a in (1, 2, 7)) + " FROM geo LEFT JOIN sh ON sh.stratum = geo.stratum GROUP BY transect_num, latitude, longitude, geo.stratum, biomass")
 def aged_biomass(spark, d):
     shares = tables.age_shares(weights(spark, d), "stratum", "all", {"age_bin": [1]}, True)
     out = tables.aged_biomass(geodata(spark, d), shares, "stratum", "all", ["transect_num", "latitude", "longitude"], [1, 2, 7])
-    return out.select("Transect", "Lat", "stratum", "wgt_total", *[F.round(str(a), 4).alias(f"a{a}") for a in (1, 2, 7)])
+    return out.select("Transect", "Lat", "stratum", "wgt_total", *[F.round(F.log10(str(a)), 7).alias(f"a{a}") for a in (1, 2, 7)])
 
 
 @query(f"{W}, {GEO}, {SHARES} SELECT geo.stratum, transect_num, round(log10(biomass_male * max(m)), 7) AS age_2 FROM geo JOIN (SELECT stratum, sum(weight) FILTER (age = 2) / sum(weight) AS m FROM b WHERE sex = 'male' GROUP BY stratum) USING (stratum) GROUP BY geo.stratum, transect_num, biomass_male")
@@ -103,21 +103,21 @@ def population_results(spark, d):
     return out.select("Transect", "stratum", "Region ID", "wgt_total", F.round("sig_b", 9).alias("sig_b"), "wgt_per_fish")
 
 
-@query(f"{W} SELECT sex, 'abundance' AS quantity, length_bin AS row, CAST(age AS VARCHAR) AS \"column\", round(sum(weight), 4) AS value FROM b WHERE sex = 'male' GROUP BY ALL UNION ALL SELECT 'male', 'abundance', length_bin, 'Un-aged', round(sum(weight) * 0.5, 4) FROM b WHERE sex = 'male' GROUP BY length_bin UNION ALL SELECT 'female', 'abundance', length_bin, CAST(age AS VARCHAR), round(sum(weight), 4) FROM b WHERE sex = 'female' GROUP BY length_bin, age UNION ALL SELECT 'female', 'abundance', length_bin, 'Un-aged', round(sum(weight) * 0.5, 4) FROM b WHERE sex = 'female' GROUP BY length_bin")
+@query(f"{W} SELECT sex, 'abundance' AS quantity, length_bin AS row, CAST(age AS VARCHAR) AS \"column\", round(sum(weight), 7) AS value FROM b WHERE sex = 'male' GROUP BY ALL UNION ALL SELECT 'male', 'abundance', length_bin, 'Un-aged', round(sum(weight) * 0.5, 7) FROM b WHERE sex = 'male' GROUP BY length_bin UNION ALL SELECT 'female', 'abundance', length_bin, CAST(age AS VARCHAR), round(sum(weight), 7) FROM b WHERE sex = 'female' GROUP BY length_bin, age UNION ALL SELECT 'female', 'abundance', length_bin, 'Un-aged', round(sum(weight) * 0.5, 7) FROM b WHERE sex = 'female' GROUP BY length_bin")
 def abundance_workbook(spark, d):
     """A workbook of length-by-age tables, read back as a report."""
     path = Reporter(folder(spark)).transect_length_age_abundance_report("ages.xlsx", {s: s for s in tables.SEXES}, {"aged": aged(spark, d), "unaged": unaged(spark, d)})
     rows = compare.read_pivot_report(spark, path)
-    return rows.where("sex <> 'all' AND value <> 0").withColumn("value", F.round("value", 4))
+    return rows.where("sex <> 'all' AND value <> 0").withColumn("value", F.round("value", 7))
 
 
-@query(f"{W} SELECT round(sum(weight) * 1.5, 3) AS aged_total, round(sum(weight) * 1.5 * (1 - sum(weight) FILTER (age = 1) / sum(weight)), 3) AS older_total, round(sum(weight) * 1.5, 3) AS both_sexes FROM b WHERE sex IN ('male', 'female')")
+@query(f"{W} SELECT round(log10(sum(weight) * 1.5), 7) AS aged_total, round(log10(sum(weight) * 1.5 * (1 - sum(weight) FILTER (age = 1) / sum(weight))), 7) AS older_total, round(log10(sum(weight) * 1.5), 7) AS both_sexes FROM b WHERE sex IN ('male', 'female')")
 def abundance_totals(spark, d):
     """The lines of totals below the table of all."""
     path = Reporter(folder(spark)).transect_length_age_abundance_report("ages.xlsx", {s: s for s in tables.SEXES}, {"aged": aged(spark, d), "unaged": unaged(spark, d)})
     cells = read_xlsx(spark, path, "all", header=False)
     one, two = cells.where("_c0 = 'Total (age1+)'"), cells.where("_c0 = 'Total (age2+)'")
-    number = lambda c: F.round(F.col(c).cast("double"), 3)
+    number = lambda c: F.round(F.log10(F.col(c).cast("double")), 7)
     return one.select(number("_c1").alias("aged_total"), number("_c7").alias("both_sexes")).crossJoin(two.select(number("_c1").alias("older_total")))
 
 
