@@ -24,4 +24,32 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id)
 FROM s LEFT JOIN comp c ON c.doc_id = s.doc_id
 """
 
-SQL = {"op8_minhash_dedup": OP8}
+#: Turns, loss text and marked-up length of every conversation; each control string and backslash costs one character more.
+OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, coalesce(lag(role) OVER w, '') AS prev, lead(role) OVER w IS NULL AS final,
+    length(t) + len(regexp_extract_all(t, '<</?SYS>>|</?s>|\[/?INST\]|\[/?OUT\]|\[/?ROLE\]|\[TEXT\]|\\')) AS body,
+    length(role) + len(regexp_extract_all(role, '<</?SYS>>|</?s>|\[/?INST\]|\[/?OUT\]|\[/?ROLE\]|\[TEXT\]|\\')) AS named
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+v AS (SELECT *, CASE role WHEN 'system' THEN prev = '' WHEN 'user' THEN prev IN ('', 'system', 'assistant') WHEN 'assistant' THEN prev = 'user' ELSE false END AND (NOT final OR role = 'assistant') AS ok,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 11 ELSE 19 + named END AS marks FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(7 + sum(body + marks) AS BIGINT) AS formatted_chars, bool_and(ok) AS valid
+FROM v GROUP BY conv_id
+"""
+
+#: Every 50-byte string of every text, two hexadecimal digits a byte; those that start in a smaller doc_id too; their union cut out.
+OP9 = r"""
+WITH p AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 49))) AS i FROM p)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM s JOIN f USING (g) WHERE doc_id > first WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT doc_id, i AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m WHERE before IS NULL OR i > before + 50),
+z AS (SELECT doc_id, i + 50 AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m WHERE after IS NULL OR after > i + 50),
+r AS (SELECT doc_id, k, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS prior FROM a JOIN z USING (doc_id, k)),
+x AS (SELECT doc_id, count(*) AS spans, CAST(sum(e - b) AS BIGINT) AS gone, max(e) AS last, string_agg(substr(h, 2 * prior + 1, 2 * (b - prior)), '' ORDER BY k) AS kept FROM r JOIN p USING (doc_id) GROUP BY doc_id)
+SELECT p.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM p LEFT JOIN x ON x.doc_id = p.doc_id
+"""
+
+SQL = {"op3_chat_format": OP3, "op8_minhash_dedup": OP8, "op9_suffix_dedup": OP9}
