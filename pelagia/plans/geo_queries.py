@@ -183,15 +183,15 @@ def utm_code(spark, d):
 
 
 #: Another series than the library's: meridian arc and powers of the longitude difference.
-UTM = """m AS (SELECT *, radians(latitude) AS p, cos(radians(latitude)) * radians(longitude - (-129)) AS a, 0.0066943799901413165 AS e2 FROM pos WHERE longitude > -130.5 AND longitude < -127.5),
+UTM = """m AS (SELECT *, radians(latitude) AS p, cos(radians(latitude)) * radians(longitude - (-129)) AS a, 0.0066943799901413165 AS e2 FROM pos),
 q AS (SELECT *, e2 / (1 - e2) * cos(p) ** 2 AS c, tan(p) ** 2 AS t, 6378137 / sqrt(1 - e2 * sin(p) ** 2) AS n,
  6378137 * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256 - 175 * e2 ** 4 / 16384) * p - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024 + 105 * e2 ** 4 / 4096) * sin(2 * p) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024 + 525 * e2 ** 4 / 16384) * sin(4 * p) - (35 * e2 ** 3 / 3072 + 175 * e2 ** 4 / 12288) * sin(6 * p) + 315 * e2 ** 4 / 131072 * sin(8 * p)) AS s FROM m)"""
 
 
-@query(f"""WITH {POS}, {UTM} SELECT event_id, round(500000 + 0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * e2 / (1 - e2)) * a ** 5 / 120), 1) AS x,
-round(0.9996 * (s + n * tan(p) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * a ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * e2 / (1 - e2)) * a ** 6 / 720)), 1) AS y FROM q""")
+@query(f"""WITH {POS}, {UTM} SELECT event_id, round(500000 + 0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * e2 / (1 - e2)) * a ** 5 / 120 + (61 - 479 * t + 179 * t ** 2 - t ** 3) * a ** 7 / 5040), 1) AS x,
+round(0.9996 * (s + n * tan(p) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * a ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * e2 / (1 - e2)) * a ** 6 / 720 + (1385 - 3111 * t + 543 * t ** 2 - t ** 3) * a ** 8 / 40320)), 1) AS y FROM q""")
 def utm_coordinates(spark, d):
-    rows = projection.with_utm(positions(spark, d).where("longitude > -130.5 AND longitude < -127.5"), 9, False)
+    rows = projection.with_utm(positions(spark, d), 9, False)
     return rows.select("event_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
 
 

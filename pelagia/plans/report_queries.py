@@ -69,10 +69,10 @@ def aged_biomass(spark, d):
     return out.select("Transect", "Lat", "stratum", "wgt_total", *[F.round(F.log10(str(a)), 7).alias(f"a{a}") for a in (1, 2, 7)])
 
 
-@query(f"{W}, {GEO}, {SHARES} SELECT geo.stratum, transect_num, round(log10(biomass_male * max(m)), 7) AS age_2 FROM geo JOIN (SELECT stratum, sum(weight) FILTER (age = 2) / sum(weight) AS m FROM b WHERE sex = 'male' GROUP BY stratum) USING (stratum) GROUP BY geo.stratum, transect_num, biomass_male")
+@query(f"{W}, {GEO}, {SHARES} SELECT geo.stratum, transect_num, round(log10(biomass_male * max(m)), 7) AS age_2 FROM geo LEFT JOIN (SELECT stratum, sum(weight) FILTER (age = 2) / sum(weight) AS m FROM b WHERE sex = 'male' GROUP BY stratum) USING (stratum) GROUP BY geo.stratum, transect_num, biomass_male")
 def aged_biomass_male(spark, d):
     shares = tables.age_shares(weights(spark, d), "stratum", "male")
-    out = tables.aged_biomass(geodata(spark, d).withColumn("id", F.col("transect_num")), shares, "stratum", "male", ["id"], [2]).where("`2` IS NOT NULL")
+    out = tables.aged_biomass(geodata(spark, d).withColumn("id", F.col("transect_num")), shares, "stratum", "male", ["id"], [2])
     return out.select("stratum", F.col("id").alias("transect_num"), F.round(F.log10("2"), 7).alias("age_2"))
 
 
