@@ -33,6 +33,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, ARROW[t]) for n, t in (c.split() for c in ddl.split(","))])
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same batch function; what it held goes back to the system when it ends, as workers are used again."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
     """Arrow-batched map: ``make()`` runs once per task and gives the function of a batch.
 
@@ -46,7 +56,7 @@ def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatc
             if batch.num_rows and (out := step(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(freed(run), ddl)
 
 
 def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
@@ -58,7 +68,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.
             if batch.num_rows:
                 yield batch.filter(pa.array(mask(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(freed(run), df.schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

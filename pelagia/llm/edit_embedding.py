@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import bounded
+from pelagia.llm.common import bounded, freed
 
 SAMPLES = 64
 FIRST = SAMPLES.bit_length() - 1  # the octave that follows the first block
@@ -197,7 +197,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             yield finish(pairs)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).mapInArrow(run, schema)
+    return in_order(docs).mapInArrow(freed(run), schema)
 
 
 def near_pairs(prints: DataFrame, texts: DataFrame, share: float = 0.1, bands: int = 8) -> DataFrame:

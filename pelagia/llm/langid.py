@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import bounded, filter_rows, fold_hash, held_out, map_rows, settle, texts_of
+from pelagia.llm.common import bounded, filter_rows, freed, fold_hash, held_out, map_rows, settle, texts_of
 
 #: Texts per language, about, that the probabilities are learned from.
 SAMPLE = 1500
@@ -245,7 +245,7 @@ def alphabet(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndar
                 count[MARK] += len(words)
         yield pa.RecordBatch.from_arrays([pa.array(map(ord, count), pa.int64()), pa.array(count.values(), pa.int64())], ["c", "n"])
 
-    rows = sorted((r["c"], r["n"]) for r in taken.mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()) if taken is not None else []
+    rows = sorted((r["c"], r["n"]) for r in taken.mapInArrow(freed(run), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()) if taken is not None else []
     points, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows] + [0], float) + SMOOTH
     return points, np.log(n / n.sum())
 
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
         for n, c in tally.items():
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(c)), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
 
-    counted = settle(taken.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = settle(taken.mapInArrow(freed(words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     logp = np.full((count, len(langs)), -9.0)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((pieces, langs, logp))
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS)
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(at)), pa.array(at), pa.array(v[at])], ["lang", "piece", "n"])
 
         total = np.full((count, len(langs)), SMOOTH)
-        for r in counted.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
+        for r in counted.mapInArrow(freed(expect), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
             total[r["piece"], langs.index(r["lang"])] += r["n"]
         logp = np.log(total / total.sum(0))
         logp[-1] = np.log(UNKNOWN_SHARE)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import bounded, fresh_names, map_rows, mix64, settle
+from pelagia.llm.common import bounded, freed, fresh_names, map_rows, mix64, settle
 from pelagia.llm.words import shingle_sets
 
 SLOTS, ROWS = 128, 4
@@ -159,7 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                         x.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(x, pa.int64())], ["centre", "id"])
 
-    return rows.mapInArrow(run, "centre long, id long").distinct()
+    return rows.mapInArrow(freed(run), "centre long, id long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def components(links: DataFrame) -> DataFrame:
         pairs = [(x, r) for x, r in zip(nodes, roots) if x != r]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    trees = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("b").mapInArrow(forest, "a long, b long").distinct())
+    trees = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("b").mapInArrow(freed(forest), "a long, b long").distinct())
     both = trees.unionByName(trees.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
@@ -225,7 +225,7 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, do
             packed = [s.tobytes() for s in shingle_sets([(t or "").encode() for t in b.column(1).to_pylist()], width)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["id", "slots8", "shingles"])
 
-    sets = sets.select("id", "text", "slots8").mapInArrow(with_set, "id long, slots8 binary, shingles binary")
+    sets = sets.select("id", "text", "slots8").mapInArrow(freed(with_set), "id long, slots8 binary, shingles binary")
     last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
     cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
     cells = cells.join(sets, "id").select("band", "i", "j", "block", "id", "component", "slots8", "shingles")
@@ -248,7 +248,7 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, do
                 rows.append(row)
         yield from flush()
 
-    return cells.mapInArrow(run, "centre long, id long").distinct()
+    return cells.mapInArrow(freed(run), "centre long, id long").distinct()
 
 
 def compare_cell(key: tuple, rows: list, percent: int) -> list[tuple[int, int]]:

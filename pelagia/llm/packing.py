@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.llm.bpe import loaded
-from pelagia.llm.common import bounded, settle, texts_of
+from pelagia.llm.common import bounded, freed, settle, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,8 +131,9 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
                     for col, v in zip(rows, (doc, k // capacity, k, len(part) // 4, zlib.crc32(part))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        bpe.afresh()
 
-    return df.select("doc_id", "text").mapInArrow(run, PIECES)
+    return df.select("doc_id", "text").mapInArrow(freed(run), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -165,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = PER_BUCK
             yield pa.RecordBatch.from_arrays([*keep, pa.array(run[:, 2] + at // run[:, 3]), pa.array(run[:, 4] + at % run[:, 3] * length)], [n for n in b.schema.names if n != "_rank"] + ["sequence_id", "offset"])
 
     rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{rest}, sequence_id long, offset long")
+    return ranked.mapInArrow(freed(place), f"{rest}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import bounded, filter_rows, fold_hash, held_out, map_rows, mix64
+from pelagia.llm.common import bounded, filter_rows, freed, fold_hash, held_out, map_rows, mix64
 from pelagia.llm.words import LOWER, BLANK, chunked, powers, BASE, UNBASE, BYTE
 
 BITS = 18
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
         w = train(texts, np.array(y, float), bits) if texts else np.zeros((1 << bits) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["weights"])
 
-    got = rows.mapInArrow(run, "weights binary").collect()  # one array of 2 ** bits + 1 doubles
+    got = rows.mapInArrow(freed(run), "weights binary").collect()  # one array of 2 ** bits + 1 doubles
     return np.frombuffer(got[0][0]) if got else np.zeros((1 << bits) + 1)
 
 

@@ -478,3 +478,36 @@ def test_ids_and_text_of_documents(docs, rows):
     for i, t, *_ in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert got[i]["ids"] == ids and got[i]["decoded"] == tok.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_remaining_links_of_large_buckets(spark, monkeypatch, block):
+    """Texts with much in common, some of them near copies of each other and not of the smallest id."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    common = [word() for _ in range(60)]
+    rows, sets = [], {}
+    for k in range(40):
+        own = [word() for _ in range(30)]
+        rows.append((3 * k, common + own))
+        if k % 4 == 0:
+            rows.append((3 * k + 1, common + own[:27] + [word()]))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rng.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(d).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(got)
