@@ -209,10 +209,18 @@ class Scorer:
         return best, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
 
     def known(self, texts: list[str], least: float) -> np.ndarray:
-        """Is a text in one of the languages: in their characters, better explained by pieces than by single ones, and sure?"""
-        total = self.sums(texts)
-        own, (back, unseen, size) = total[:, :-3], total[:, -3:].T
-        return (own.max(1) >= back) & (2 * unseen <= size) & (1 / np.exp(own - own.max(1, keepdims=True)).sum(1) >= least)
+        """Is a text in one of the languages: in their characters, half of its words better explained by pieces than by single characters, and sure?"""
+        cut = [t.lower().split() for t in texts]
+        self.learn(set().union(*cut))
+        get, out = self.at.__getitem__, np.zeros(len(texts), bool)
+        for k, words in enumerate(cut):
+            if words:
+                rows = self.rows[np.fromiter(map(get, words), np.int64, len(words))]
+                total = rows.sum(0, dtype=np.float64)
+                own, best = total[:-3], int(total[:-3].argmax())
+                sure = 1 / np.exp(own - own[best]).sum() >= least
+                out[k] = sure and 2 * total[-2] <= total[-1] and 2 * (rows[:, best] >= rows[:, -3]).sum() >= len(words)
+        return out
 
 
 def learned_from(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame | None]:
@@ -390,10 +398,10 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str) -> D
 def keep_known(docs: DataFrame, path: str, least: float = 0.5) -> DataFrame:
     """Rows in one of the learned languages; all columns stay.
 
-    A text stays if at least half of its characters were learned, its pieces explain
-    it at least as well in some language as single characters do in all of them, and
-    that language has a posterior of at least ``least``. So letter junk goes, and
-    texts in languages that weren't learned.
+    A text stays if at least half of its characters were learned, one language has a
+    posterior of at least ``least``, and its pieces explain at least half of the words
+    as well as single characters do. So letter junk goes, and texts in languages that
+    weren't learned; a few odd words, however long, don't matter.
     """
     langs, logp = fit(docs, path)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary(path), langs, logp, alphabet(docs)))  # vocabulary x languages, and the characters
