@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import bpe, chat, edit_embedding, gif, langid, near_dup, oracles, packing, quality, suffix_dedup, urls
+from pelagia.llm import bpe, chat, chat_repair, edit_embedding, gif, langid, line_dedup, near_dup, oracles, packing, quality, search, suffix_dedup, urls
 
 WORD_BPE = "word_bpe_49k.json"
 #: A conversation whose texts are full of control strings, which the query adds.
@@ -65,8 +65,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.digest(chat_repair.repair(chat_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_edit_embedding, op2_bpe, op3_chat_format, op4_best_fit_packing, op5_url_filter, op6_gif_media, op7_language_id, op8_minhash_dedup, op9_suffix_dedup, op10_quality)
+    every = (op1_edit_embedding, op2_bpe, op3_chat_format, op4_best_fit_packing, op5_url_filter, op6_gif_media, op7_language_id, op8_minhash_dedup, op9_suffix_dedup, op10_quality, op11_line_dedup, op12_ranked_search, op13_chat_repair)
     return {f.__name__: f for f in every}
 
 

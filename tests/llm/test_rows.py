@@ -83,4 +83,4 @@ def test_pipeline_keeps_only_input_documents(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 14)]
