@@ -1,10 +1,9 @@
 """Ordinary kriging on a mesh.
 
-Neighbours come from an equi-join on tiles: a mesh cell meets the data of its own
-and the eight surrounding tiles and keeps its nearest ones; cells that have too
-few within a tile's width go on with tiles twice as wide. So no distance matrix
-is built and no table is broadcast. The small systems of a batch of cells are then
-solved together in numpy.
+Neighbours come from a packed tree of the data (``tree``): a mesh cell meets the
+leaves that the circle of its neighbours touches, far from the data too and
+however dense they are. So no distance matrix is built and no table is broadcast.
+The small systems of a batch of cells are then solved together in numpy.
 
 ``mode="canonical"`` keeps the Lagrange 1 last on the right-hand side and a cell's
 neighbours in the order of their distance. ``mode="compat"`` sorts the whole
@@ -23,46 +22,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.geostatistics.models import gamma_array
-from pelagia.geostatistics.variogram import near_pairs
-from pelagia.session import prepare
+from pelagia.geostatistics.tree import POINT, build, nearest_points
 
 
 def nearest(mesh: DataFrame, data: DataFrame, cell: str, number: str, value: str, k: int, radius: float, coordinates: tuple[str, str] = ("x", "y"), limit: float | None = None) -> DataFrame:
     """(cell, x, y, near): the ``k`` nearest data of each cell as array of (distance, number, x, y, z), nearest first.
 
-    ``limit`` bounds the distance; without it, tiles widen until every cell has
-    ``k`` or all data.
+    ``limit`` bounds the distance; without it, every cell has ``k`` or all data.
+    ``radius`` isn't needed to find them and stays for callers that give it.
     """
-    prepare(mesh.sparkSession)
     x, y = coordinates
     points = data.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(value).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("z"), F.col(number).alias("number"))
     cells = mesh.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(cell).alias("cell"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    wide = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not wide["n"]:
-        return cells.withColumn("near", F.lit(None).cast("array<struct<distance:double,number:bigint,x:double,y:double,z:double>>"))
-    span = cells.agg(*[f(c).alias(f"{c}{k}") for c in "xy" for f, k in ((F.min, 0), (F.max, 1))]).first()
-    # any two of them are no farther apart than this
-    reach = max(max(wide[f"{c}1"], span[f"{c}1"] or wide[f"{c}1"]) - min(wide[f"{c}0"], span[f"{c}0"] or wide[f"{c}0"]) for c in "xy") * 1.5 + 1
-    k, width, found, pending = min(k, wide["n"]), limit or radius, None, cells
-    while True:
-        pairs = near_pairs(pending, points, width, "x", "y").where(F.col("distance") <= width)
-        near = pairs.select("a.cell", F.struct(F.col("distance"), F.col("b.number").cast("long").alias("number"), F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.z").alias("z")).alias("p"))
-        near = near.withColumn("_k", F.row_number().over(Window.partitionBy("cell").orderBy("p.distance", "p.number"))).where(F.col("_k") <= k)
-        lists = near.groupBy("cell").agg(F.sort_array(F.collect_list("p")).alias("near"))  # k a cell
-        all_ = pending.join(lists, "cell", "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<distance:double,number:bigint,x:double,y:double,z:double>>")))
-        if limit or width >= reach:
-            return all_ if found is None else found.unionByName(all_)
-        all_ = all_.checkpoint()
-        done = all_.where(F.size("near") >= k)
-        found = done if found is None else found.unionByName(done)
-        pending = all_.where(F.size("near") < k).drop("near")
-        if pending.isEmpty():
-            return found
-        width *= 2
+    tree = build(points, k)
+    if tree is None:
+        return cells.withColumn("near", F.lit(None).cast(POINT))
+    return nearest_points(cells, tree, k, limit)
 
 
 def kriging_matrix(distances: np.ndarray, parameters: Mapping) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Empirical variograms and their fit.
 
 Pairs come from an equi-join on square tiles as wide as the longest lag, so no
-pair farther apart than the neighbouring tile is ever formed. Co-located points
+pair farther apart than the neighbouring tile is ever formed; dense tiles are cut
+into parts. Co-located points
 are summed up first where the pair rule allows it.
 
 ``mode="compat"`` pairs rows i and j (numbered in the order of a key) with
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from pelagia.functions.ranking import global_rank
 from pelagia.geostatistics.models import arguments, gamma_array
 
+#: Rows of a dense tile that one task pairs, and the most tiles that are cut.
+PART, TILES = 2000, 4096
+
 
 def azimuth(dx: Column, dy: Column) -> Column:
     """Angle of a pair in degrees, in [-90, 90]; 0 for a point with itself."""
@@ -33,13 +37,23 @@ def tiles(x: str, y: str, width: float) -> tuple[Column, Column]:
     return F.floor(F.col(x) / width), F.floor(F.col(y) / width)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, width: float, x: str, y: str) -> DataFrame:
-    """All pairs of rows whose tiles touch: columns of ``left`` as struct a, of ``right`` as struct b, and dx, dy, distance."""
+def near_pairs(left: DataFrame, right: DataFrame, width: float, x: str, y: str, part: int = PART) -> DataFrame:
+    """All pairs of rows whose tiles touch: columns of ``left`` as struct a, of ``right`` as struct b, and dx, dy, distance.
+
+    A tile with more than ``part`` rows of ``left``, or more than one in TILES of them, is
+    cut into parts of about so many; each meets the rows of ``right`` in a task of its own.
+    """
     i, j = tiles(x, y, width)
     around = F.explode(F.array(*[F.struct((i + p).alias("i"), (j + q).alias("j")) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
     a = left.select(F.struct(*left.columns).alias("a"), i.alias("_i"), j.alias("_j"))
     b = right.select(F.struct(*right.columns).alias("b"), around.alias("_t")).select("b", F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j"))
-    rows = a.join(b, ["_i", "_j"]).select("a", "b", (F.col(f"a.{x}") - F.col(f"b.{x}")).alias("dx"), (F.col(f"a.{y}") - F.col(f"b.{y}")).alias("dy"))
+    most = max(part, a.count() // TILES)
+    dense = a.groupBy("_i", "_j").count().where(F.col("count") > most).select("_i", "_j", F.ceil(F.col("count") / most).cast("int").alias("_n"))
+    dense = F.broadcast(dense)  # at most TILES tiles
+    n = F.coalesce("_n", F.lit(1))
+    a = a.join(dense, ["_i", "_j"], "left").withColumn("_p", F.pmod(F.xxhash64("a"), n).cast("int"))
+    b = b.join(dense, ["_i", "_j"], "left").withColumn("_p", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = a.drop("_n").join(b.drop("_n"), ["_i", "_j", "_p"]).select("a", "b", (F.col(f"a.{x}") - F.col(f"b.{x}")).alias("dx"), (F.col(f"a.{y}") - F.col(f"b.{y}")).alias("dy"))
     return rows.withColumn("distance", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))
 
 

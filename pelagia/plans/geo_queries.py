@@ -114,7 +114,7 @@ def variogram_fit(spark, d):
 
 #: Known data at distinct positions, and mesh cells off their lattice.
 DATA = "data AS (SELECT min(id) AS id, x, y, avg(z) AS z FROM points GROUP BY x, y)"
-MESH = "mesh AS (SELECT c_custkey AS cell, c_custkey % 53 + CAST(0.37 AS DOUBLE) AS x, c_custkey // 53 % 41 + CAST(0.21 AS DOUBLE) AS y, 1 + c_custkey % 3 AS area FROM customer)"
+MESH = "mesh AS (SELECT c_custkey AS cell, c_custkey % 53 + CAST(0.37 AS DOUBLE) AS x, c_custkey // 53 + CAST(0.21 AS DOUBLE) AS y, 1 + c_custkey % 3 AS area FROM customer)"
 
 
 def data(spark, d):
@@ -123,10 +123,10 @@ def data(spark, d):
 
 def mesh(spark, d):
     c = R.table(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") % 53 + 0.37).alias("x"), (F.expr("c_custkey div 53") % 41 + 0.21).alias("y"), (1 + F.col("c_custkey") % 3).alias("area"))
+    return c.select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") % 53 + 0.37).alias("x"), (F.expr("c_custkey div 53") + 0.21).alias("y"), (1 + F.col("c_custkey") % 3).alias("area"))
 
 
-NN = "nn AS (SELECT cell, area, px, py, d, id, z, row_number() OVER (PARTITION BY cell ORDER BY d, id) AS k FROM (SELECT cell, area, b.x AS px, b.y AS py, b.id, b.z, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM mesh a JOIN data b ON abs(a.x - b.x) < 12 AND abs(a.y - b.y) < 12) QUALIFY k <= 4)"
+NN = "nn AS (SELECT cell, area, px, py, d, id, z, row_number() OVER (PARTITION BY cell ORDER BY d, id) AS k FROM (SELECT cell, area, b.x AS px, b.y AS py, b.id, b.z, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM mesh a JOIN data b ON abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60) QUALIFY k <= 4)"
 
 
 @query(f"WITH {R.POINTS}, {DATA}, {MESH}, {NN} SELECT cell, CAST(k AS INTEGER) AS k, id AS number, round(d, 9) AS distance FROM nn")
@@ -143,24 +143,30 @@ def radius_counts(spark, d):
 
 MODEL = {"model": "exponential", "sill": 0.9, "nugget": 0.1, "correlation_range": 1.7}
 GAM = "(0.8 * (1 - exp(-{d} / 1.7)) + 0.1)"
-#: Two neighbours: the bordered system solved by hand.
-TWO = f"""two AS (SELECT a.cell, a.area, a.z AS z1, b.z AS z2, {GAM.format(d='a.d')} AS g1, {GAM.format(d='b.d')} AS g2, {GAM.format(d='sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2)')} AS g12 FROM nn a JOIN nn b ON a.cell = b.cell AND a.k = 1 AND b.k = 2),
-w AS (SELECT *, 0.5 + (g2 - g1) / (2 * g12) AS l1, 0.5 - (g2 - g1) / (2 * g12) AS l2, (g1 + g2 - g12) / 2 AS mu FROM two),
-e AS (SELECT cell, area, l1 * z1 + l2 * z2 AS estimate, l1 * g1 + l2 * g2 + mu AS kriged_variance, z1, z2 FROM w)"""
+#: Up to three neighbours, the bordered system solved by hand. With fewer than two data within 1 a cell is sparse: it takes two and,
+#: with none within 1, tapers; data beyond 1 count as 0.
+THREE = f"""h AS (SELECT a.cell, a.area, CASE WHEN a.d <= 1 THEN a.z ELSE 0 END AS z1, CASE WHEN b.d <= 1 THEN b.z ELSE 0 END AS z2, CASE WHEN c.d <= 1 THEN c.z ELSE 0 END AS z3, b.d <= 1 AS two_in, CASE WHEN a.d <= 1 THEN 1 ELSE exp(-(a.d + b.d) / 2) END AS taper,
+ {GAM.format(d='a.d')} AS g1, {GAM.format(d='b.d')} AS g2, {GAM.format(d='c.d')} AS g3, {GAM.format(d='sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2)')} AS g12, {GAM.format(d='sqrt((a.px - c.px) ** 2 + (a.py - c.py) ** 2)')} AS g13, {GAM.format(d='sqrt((b.px - c.px) ** 2 + (b.py - c.py) ** 2)')} AS g23
+ FROM nn a JOIN nn b ON a.cell = b.cell AND a.k = 1 AND b.k = 2 JOIN nn c ON a.cell = c.cell AND c.k = 3),
+w AS (SELECT *, 4 * g13 * g23 - (g12 - g13 - g23) ** 2 AS det, g12 - g13 - g23 AS q, g1 - g3 - g13 AS u, g2 - g3 - g23 AS v FROM h),
+l AS (SELECT *, CASE WHEN two_in THEN (-2 * g23 * u - q * v) / det ELSE 0.5 + (g2 - g1) / (2 * g12) END AS l1, CASE WHEN two_in THEN (-2 * g13 * v - q * u) / det ELSE 0.5 - (g2 - g1) / (2 * g12) END AS l2 FROM w),
+e AS (SELECT cell, area, CASE WHEN two_in THEN l1 * z1 + l2 * z2 + (1 - l1 - l2) * z3 ELSE taper * (l1 * z1 + l2 * z2) END AS estimate,
+ CASE WHEN two_in THEN l1 * g1 + l2 * g2 + (1 - l1 - l2) * g3 + g3 - g13 * l1 - g23 * l2 ELSE l1 * g1 + l2 * g2 + (g1 + g2 - g12) / 2 END AS kriged_variance,
+ CASE WHEN two_in THEN ((z1 - z2) ** 2 + (z1 - z3) ** 2 + (z2 - z3) ** 2) / 6 ELSE (z1 - z2) ** 2 / 2 END AS spread FROM l)"""
 
 
 def kriged(spark, d):
-    near = kriging.nearest(mesh(spark, d), data(spark, d), "cell", "id", "z", 2, 1.0)
-    return kriging.estimates(near, MODEL, 1, 2, 40.0, 1e-9)
+    near = kriging.nearest(mesh(spark, d), data(spark, d), "cell", "id", "z", 3, 1.0)
+    return kriging.estimates(near, MODEL, 2, 3, 1.0, 1e-9)
 
 
-@query(f"WITH {R.POINTS}, {DATA}, {MESH}, {NN}, {TWO} SELECT cell, round(estimate, 4) AS estimate, round(kriged_variance, 7) AS kriged_variance, round(sqrt(kriged_variance * (z1 - z2) ** 2 / 2) / abs(estimate), 6) AS sample_variance FROM e")
+@query(f"WITH {R.POINTS}, {DATA}, {MESH}, {NN}, {THREE} SELECT cell, round(estimate, 4) AS estimate, round(kriged_variance, 7) AS kriged_variance, CASE WHEN abs(estimate) > 1e-9 THEN round(sqrt(kriged_variance * spread) / abs(estimate), 6) END AS sample_variance FROM e")
 def ordinary_kriging(spark, d):
     out = kriged(spark, d)
     return out.select("cell", F.round("estimate", 4).alias("estimate"), F.round("kriged_variance", 7).alias("kriged_variance"), F.round("sample_variance", 6).alias("sample_variance"))
 
 
-@query(f"""WITH {R.POINTS}, {DATA}, {MESH}, {NN}, {TWO}, t AS (SELECT sum(estimate * area) AS t, avg(area) AS a, sqrt(count(*)) AS n FROM e), s AS (SELECT var_samp(z) AS s FROM data)
+@query(f"""WITH {R.POINTS}, {DATA}, {MESH}, {NN}, {THREE}, t AS (SELECT sum(estimate * area) AS t, avg(area) AS a, sqrt(count(*)) AS n FROM e), s AS (SELECT var_samp(z) AS s FROM data)
 SELECT cell, round(greatest(estimate, 0), 4) AS estimate, round(a * sqrt(kriged_variance * s) / t * n, 8) AS cell_cv, round(cv, 8) AS survey_cv FROM e, t, s, (SELECT sqrt(sum(kriged_variance * area ** 2) * any_value(s)) / any_value(t) AS cv FROM e, s, t)""")
 def kriging_projection(spark, d):
     rows = mesh(spark, d).select("cell", "area").join(kriged(spark, d), "cell").checkpoint()

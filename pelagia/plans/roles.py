@@ -66,8 +66,8 @@ HAULS = "hauls AS (SELECT s_suppkey AS haul_num, s_nationkey AS stratum_num FROM
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions with a value, in a stable order."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 1.0).alias("x"), (F.col("p_partkey") % 37 * 1.0).alias("y"), F.col("p_retailprice").alias("z"))
+    """Positions with a value, in a stable order: a strip that grows with the table, each key at a place of its own."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 1.0).alias("x"), (F.col("p_partkey") / 37).alias("y"), F.col("p_retailprice").alias("z"))
 
 
-POINTS = "points AS (SELECT p_partkey AS id, p_size * CAST(1 AS DOUBLE) AS x, p_partkey % 37 * CAST(1 AS DOUBLE) AS y, p_retailprice AS z FROM part)"
+POINTS = "points AS (SELECT p_partkey AS id, p_size * CAST(1 AS DOUBLE) AS x, p_partkey / CAST(37 AS DOUBLE) AS y, p_retailprice AS z FROM part)"
