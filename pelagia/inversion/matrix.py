@@ -11,8 +11,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from pelagia.inversion.batched import ROWS, damped_least_squares, differential_evolution
 from pelagia.inversion.parameters import InvParameters
 from pelagia.inversion.scattering import MODELS
 
@@ -110,21 +111,128 @@ def optimize(measured: np.ndarray, frequencies: np.ndarray, parameters: InvParam
     return values(x) | {"Q": q}
 
 
-def invert(measurements: DataFrame, columns: Mapping[float, str], parameters: InvParameters, settings: Mapping, simulation: Mapping | None = None, optimization: Mapping | None = None, model: str | Callable = "pcdwba", keep: Sequence[str] = ()) -> DataFrame:
+#: Optimisers of whole batches, by name.
+BATCHED = ("differential_evolution", "least_squares")
+
+
+def optimize_rows(measured: np.ndarray, frequencies: np.ndarray, parameters: InvParameters, model: Callable, settings: Mapping, simulation: Mapping, optimization: Mapping) -> pd.DataFrame:
+    """Best parameters of all rows and their deviation ``Q``, and the evaluations of the model that a row took on average.
+
+    Rows with the same frequencies go together. ``optimization["method"]`` names the
+    optimiser; its other entries are the optimiser's options. ``mc_realizations`` draws,
+    the same for all rows, give each row its start.
+    """
+    whole, scaled = parameters._own, parameters.parameters
+    names = [k for k, p in whole.items() if p["vary"]]
+    low, high = (np.array([whole[k][b] for k in names], float) for b in ("min", "max"))
+    if not np.isfinite(low).all() or not np.isfinite(high).all():
+        raise ValueError("optimisers of batches need finite bounds of all parameters that vary")
+    if parameters.is_scaled:
+        start = np.array([parameters.inverse_transform({k: p["value"] for k, p in scaled.items()})[k] for k in names])
+    else:
+        start = np.array([whole[k]["value"] for k in names], float)
+    options = {k: v for k, v in optimization.items() if k != "method"}
+    seed, draws = simulation.get("mc_seed") or 0, simulation.get("mc_realizations") if simulation.get("monte_carlo") else None
+    ok = np.isfinite(measured) & (measured > EMPTY)
+    out = {k: np.full(len(measured), np.nan) for k in [*whole, "Q", "evaluations"]}
+    for pattern in np.unique(ok, axis=0) if len(ok) else ():
+        if pattern.sum() < simulation.get("minimum_frequency_count", 2):
+            continue
+        rows = np.flatnonzero((ok == pattern).all(1))
+        target, at = measured[np.ix_(rows, pattern)], frequencies[pattern]
+
+        def residuals(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+            values = {k: np.full(len(x), float(p["value"])) for k, p in whole.items()} | dict(zip(names, x.T))
+            with np.errstate(all="ignore"):
+                return model(at, values, **settings) - target[which]
+
+        first, used = np.tile(start, (len(rows), 1)), 0
+        if draws:
+            points = np.vstack([start, low + np.random.default_rng(seed).random((draws, len(names))) * (high - low)])
+            level = residuals(points, np.zeros(len(points), int)) + target[0]  # the draws' backscatter serves all rows
+            first, used = points[np.abs(level[None] - target[:, None]).sum(2).argmin(1)], len(points)
+        if optimization["method"] == "differential_evolution":
+            x, q, more = differential_evolution(residuals, low, high, len(rows), seed, start=first, **options)
+        else:
+            x, q, more = damped_least_squares(residuals, first, low, high, **options)
+        fitted = {k: np.full(len(rows), float(p["value"])) for k, p in whole.items()} | dict(zip(names, x.T))
+        for k, v in (fitted | {"Q": q, "evaluations": np.full(len(rows), (more + used) / len(rows))}).items():
+            out[k][rows] = v
+    return pd.DataFrame(out)
+
+
+class Progress:
+    """Counts of rows, failures and evaluations of the model, added up by tasks and read on the driver after an action.
+
+    A task that is run again counts again, as accumulators in transformations do.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.rows, self.failures, self.evaluations = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def add(self, q: np.ndarray, evaluations: np.ndarray) -> None:
+        self.rows.add(len(q))
+        self.failures.add(int(np.isnan(q).sum()))
+        self.evaluations.add(int(round(np.nansum(evaluations))))
+
+
+def invert(measurements: DataFrame, columns: Mapping[float, str], parameters: InvParameters, settings: Mapping, simulation: Mapping | None = None, optimization: Mapping | None = None, model: str | Callable = "pcdwba", keep: Sequence[str] = (), progress: Progress | None = None) -> DataFrame:
     """``keep`` columns of each row with its inverted parameters and ``Q``.
 
     ``columns`` maps frequencies (Hz) to columns of volume backscatter (dB); nulls
     and -999 don't count. ``settings`` are the model's other arguments.
+    ``optimization["method"]``: ``simplex`` (the default) fits row by row;
+    ``differential_evolution`` and ``least_squares`` move all rows of a batch together
+    and take a model by name or a function of (frequencies, values by name, settings).
     """
-    f = MODELS[model] if isinstance(model, str) else model
-    frequencies, names = np.array(list(columns), float), list(parameters.values)
     simulation, optimization = dict(simulation or {}), dict(optimization or {})
+    method = optimization.get("method", "simplex")
+    if method not in ("simplex", *BATCHED):
+        raise ValueError(f"unknown optimiser '{method}'; there are: simplex, {', '.join(BATCHED)}")
+    f = (ROWS if method in BATCHED else MODELS)[model] if isinstance(model, str) else model
+    frequencies, names = np.array(list(columns), float), list(parameters.values)
 
     def run(frames):
         for frame in frames:
-            rows = [optimize(r.astype(float), frequencies, parameters, f, settings, simulation, optimization) for r in frame[list(columns.values())].to_numpy(float, na_value=np.nan)]
-            yield pd.concat([frame[list(keep)].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "Q"])], axis=1)
+            values = frame[list(columns.values())].to_numpy(float, na_value=np.nan)
+            if method in BATCHED:
+                rows = optimize_rows(values, frequencies, parameters, f, settings, simulation, optimization)
+            else:
+                rows = pd.DataFrame([optimize(r.astype(float), frequencies, parameters, f, settings, simulation, optimization) for r in values], columns=[*names, "Q"])
+                rows["evaluations"] = np.nan
+            if progress is not None:
+                progress.add(rows["Q"].to_numpy(), rows["evaluations"].to_numpy())
+            yield pd.concat([frame[list(keep)].reset_index(drop=True), rows[[*names, "Q"]]], axis=1)
 
     kept = ", ".join(f"`{c}` {measurements.schema[c].dataType.simpleString()}" for c in keep)
     out = ", ".join(f"`{n}` double" for n in [*names, "Q"])
     return measurements.select(*keep, *columns.values()).mapInPandas(run, f"{kept}, {out}" if kept else out)
+
+
+def backscatter(rows: DataFrame, columns: Mapping[float, str], fitted: Sequence[str], settings: Mapping, fixed: Mapping[str, float] | None = None, model: str | Callable = "pcdwba", keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns of each row and the model's backscatter (dB) at each frequency, at the parameters in its columns ``fitted`` and in ``fixed``."""
+    f, frequencies, fixed = ROWS[model] if isinstance(model, str) else model, np.array(list(columns), float), dict(fixed or {})
+
+    def run(frames):
+        for frame in frames:
+            values = {k: np.full(len(frame), float(v)) for k, v in fixed.items()} | {k: frame[k].to_numpy(float) for k in fitted}
+            yield pd.concat([frame[list(keep)].reset_index(drop=True), pd.DataFrame(f(frequencies, values, **settings), columns=list(columns.values()))], axis=1)
+
+    kept = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` double" for c in columns.values())])
+    return rows.select(*dict.fromkeys([*keep, *fitted])).mapInPandas(run, kept)
+
+
+def misfit(measurements: DataFrame, columns: Mapping[float, str], fitted: Sequence[str], settings: Mapping, fixed: Mapping[str, float] | None = None, model: str | Callable = "pcdwba", keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` columns of each row and its deviation ``Q`` (dB) at the parameters in its columns ``fitted`` and in ``fixed``."""
+    f, frequencies, fixed = ROWS[model] if isinstance(model, str) else model, np.array(list(columns), float), dict(fixed or {})
+
+    def run(frames):
+        for frame in frames:
+            measured = frame[list(columns.values())].to_numpy(float, na_value=np.nan)
+            values = {k: np.full(len(frame), float(v)) for k, v in fixed.items()} | {k: frame[k].to_numpy(float) for k in fitted}
+            gap = np.abs(f(frequencies, values, **settings) - np.where(measured > EMPTY, measured, np.nan))
+            yield pd.concat([frame[list(keep)].reset_index(drop=True), pd.DataFrame({"Q": np.nansum(gap, 1)})], axis=1)
+
+    kept = ", ".join(f"`{c}` {measurements.schema[c].dataType.simpleString()}" for c in keep)
+    wanted = dict.fromkeys([*keep, *columns.values(), *fitted])
+    return measurements.select(*wanted).mapInPandas(run, f"{kept}, `Q` double" if kept else "`Q` double")

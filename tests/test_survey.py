@@ -104,6 +104,8 @@ def test_report_words():
     assert compare.quantity_of([["Kriged Acoustically Weighted Biomass (mmt)"]]) == "biomass"
     with pytest.raises(ValueError):
         compare.quantity_of([["biomass", "abundance"]])
+    assert [compare.sex_of([[t]]) for t in ("Male/Female", "(Male)", "x male", "males", "female + male", "Total, all", "a-male", 3.0)] == [None, "male", "male", None, "male", "all", "male", None]
+    assert [compare.translate(c) for c in ("LON", "Longitude", "a_WGT_b_wgt", "NASC", "Biomass density", "biomass densities", "ntk")] == ["longitude", "longitude", "a_biomass_b_biomass", "nasc", "biomass_density", "biomass densities", "abundance"]
     assert [compare.translate(c) for c in ("Lat", "nntk_male", "wgt_total", "Transect", "other")] == ["latitude", "number_density_male", "biomass", "transect_num", "other"]
     assert headers(4) == ["Length (cm)", "", "Age", ""][:1] + ["", "Age", ""]
 
