@@ -22,6 +22,15 @@ ALPHA = [
     [34729 / 80640, -3418889 / 1995840],
     [212378941 / 319334400],
 ]
+#: And his beta coefficients, for the way back (fixed values).
+BETA = [
+    [1 / 2, -2 / 3, 37 / 96, -1 / 360, -81 / 512, 96199 / 604800],
+    [1 / 48, 1 / 15, -437 / 1440, 46 / 105, -1118711 / 3870720],
+    [17 / 480, -37 / 840, -209 / 4480, 5569 / 90720],
+    [4397 / 161280, -11 / 504, -830251 / 7257600],
+    [4583 / 161280, -108847 / 3991680],
+    [20648693 / 638668800],
+]
 
 
 def utm_zone(longitude: Column) -> Column:
@@ -61,13 +70,3 @@ def with_utm(df: DataFrame, zone: int, south: bool, coordinates: tuple[str, str]
     """Add projected coordinates in a given zone."""
     x, y = utm(F.col(coordinates[0]), F.col(coordinates[1]), zone, south)
     return df.withColumns({names[0]: x, names[1]: y})
-
-
-def reproject(df: DataFrame, crs_out: str, coordinates: tuple[str, str] = ("longitude", "latitude")) -> DataFrame:
-    """Add x and y in an output system: ``epsg:326zz``, ``epsg:327zz`` or ``epsg:4326`` itself."""
-    code = crs_out.lower().removeprefix("epsg:")
-    if code == "4326":
-        return df.withColumns({"x": F.col(coordinates[0]), "y": F.col(coordinates[1])})
-    if len(code) != 5 or code[:3] not in ("326", "327") or not 1 <= int(code[3:]) <= 60:
-        raise ValueError(f"'{crs_out}' is neither geographic (epsg:4326) nor a UTM zone (epsg:326zz, epsg:327zz)")
-    return with_utm(df, int(code[3:]), code[:3] == "327", coordinates)

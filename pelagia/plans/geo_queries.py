@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.geostatistics import cropping, kriging, projection, variogram
+from pelagia.geostatistics import projection_systems as systems
 from pelagia.geostatistics.models import gamma_column
 from pelagia.plans import roles as R
 from pelagia.plans.registry import QUERIES, SQL, query
@@ -201,6 +202,47 @@ def utm_coordinates(spark, d):
     return rows.select("event_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
 
 
+#: The systems by their textbook forms: tangents and powers instead of inverse hyperbolic functions.
+E = "CAST(0.0818191910428158 AS DOUBLE)"
+CONIC = """r AS (SELECT event_id, radians(latitude) AS p, radians(longitude - ({origin})) AS l, 0 AS part FROM pos UNION ALL SELECT -k, radians(v), 0, k FROM (VALUES (1, CAST({one} AS DOUBLE)), (2, CAST({two} AS DOUBLE)), (3, CAST({zero} AS DOUBLE))) AS v(k, v)),
+m AS (SELECT *, cos(p) / sqrt(1 - ({e} * sin(p)) ** 2) AS m, tan(pi() / 4 - p / 2) / ((1 - {e} * sin(p)) / (1 + {e} * sin(p))) ** ({e} / 2) AS t, (1 - {e} ** 2) * (sin(p) / (1 - ({e} * sin(p)) ** 2) - ln((1 - {e} * sin(p)) / (1 + {e} * sin(p))) / (2 * {e})) AS q FROM r),
+c AS (SELECT max(m) FILTER (part = 1) AS m1, max(m) FILTER (part = 2) AS m2, max(t) FILTER (part = 1) AS t1, max(t) FILTER (part = 2) AS t2, max(t) FILTER (part = 3) AS t0, max(q) FILTER (part = 1) AS q1, max(q) FILTER (part = 2) AS q2, max(q) FILTER (part = 3) AS q0 FROM m)"""
+
+
+@query(f"""WITH {POS}, {CONIC.format(origin=-120.5, one=43, two=45.5, zero=41.75, e=E)}, k AS (SELECT *, ln(m1 / m2) / ln(t1 / t2) AS n FROM c), f AS (SELECT *, m1 / (n * t1 ** n) AS f FROM k)
+SELECT event_id, round(400000 + 6378137 * f * t ** n * sin(n * l), 1) AS x, round(6378137 * f * (t0 ** n - t ** n * cos(n * l)), 1) AS y FROM m, f WHERE part = 0""")
+def lambert_coordinates(spark, d):
+    rows = systems.reproject(positions(spark, d), "epsg:2991")
+    return rows.select("event_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+
+
+@query(f"""WITH {POS}, {CONIC.format(origin=-126, one=50, two=58.5, zero=45, e=E)}, k AS (SELECT *, (m1 ** 2 - m2 ** 2) / (q2 - q1) AS n FROM c), f AS (SELECT *, m1 ** 2 + n * q1 AS f FROM k)
+SELECT event_id, round(1000000 + 6378137 * sqrt(f - n * q) / n * sin(n * l), 1) AS x, round(6378137 * (sqrt(f - n * q0) - sqrt(f - n * q) * cos(n * l)) / n, 1) AS y FROM m, f WHERE part = 0""")
+def albers_coordinates(spark, d):
+    rows = systems.reproject(positions(spark, d), "epsg:3005")
+    return rows.select("event_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+
+
+@query(f"""WITH {POS} SELECT event_id, round(6378137 * radians(longitude), 1) AS x, round(6378137 * ln(tan(pi() / 4 + radians(latitude) / 2) * ((1 - e * sin(radians(latitude))) / (1 + e * sin(radians(latitude)))) ** (e / 2)), 1) AS y,
+round(6378137 * ln(tan(pi() / 4 + radians(latitude) / 2)), 1) AS web_y FROM pos, (SELECT CAST(0.08181919084262149 AS DOUBLE) AS e)""")
+def mercator_coordinates(spark, d):
+    rows = systems.reproject(systems.reproject(positions(spark, d), "epsg:3857", names=("_x", "web_y")), "epsg:3395")
+    return rows.select("event_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.round("web_y", 1).alias("web_y"))
+
+
+#: Into each system, on into the next, and back to degrees.
+TOUR = ("2991", "32609", "3310", "3395", "3347", "32710", "3857", "3338", "5070")
+
+
+@query(f"WITH {POS} SELECT event_id, round(longitude, 8) AS longitude, round(latitude, 8) AS latitude FROM pos")
+def reprojection_tour(spark, d):
+    """Every system's forward and inverse: what comes back is where it began."""
+    rows, crs = positions(spark, d).withColumnsRenamed({"longitude": "x", "latitude": "y"}), "4326"
+    for code in (*TOUR, "4326"):
+        rows, crs = systems.reproject(rows, code, ("x", "y"), crs).select("event_id", "x", "y"), code
+    return rows.select("event_id", F.round("x", 8).alias("longitude"), F.round("y", 8).alias("latitude"))
+
+
 #: A reference line: one longitude per latitude.
 LINE = "line AS (SELECT 33 + n_nationkey * CAST(0.5 AS DOUBLE) AS latitude, -124 - n_nationkey * n_nationkey * CAST(0.01 AS DOUBLE) AS longitude FROM nation)"
 

@@ -10,6 +10,7 @@ from pelagia.plans import roles as R
 from pelagia.plans.registry import query
 from pelagia.session import prepare
 from pelagia.sources import surveys
+from pelagia.sources.sheets import replace_sheet, write_sheets
 from pelagia.sources.xlsx import read_xlsx, write_bytes, write_xlsx
 
 
@@ -105,6 +106,20 @@ def workbook_dates(spark, d):
     return read[0].unionByName(read[1])
 
 
+@query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal FROM customer UNION ALL SELECT CAST(-1 AS DOUBLE), n_name, CAST(n_nationkey AS DOUBLE), CAST(n_regionkey AS DOUBLE) FROM nation")
+def workbook_sheets(spark, d):
+    """All customers in as many sheets of 1,000 rows as they need, written by tasks; then one sheet more is replaced by the nations."""
+    path = f"{folder(spark)}/customers.xlsx"
+    c = R.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    names = write_sheets(spark, path, {"customers": c, "notes": R.table(spark, d, "region")}, most=1000, part=500)
+    replace_sheet(spark, path, "notes", R.table(spark, d, "nation").select(F.lit(-1).alias("c_custkey"), F.col("n_name").alias("c_name"), F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("c_acctbal")))
+    schema = "c_custkey double, c_name string, c_nationkey double, c_acctbal double"
+    out = read_xlsx(spark, path, names[0], schema)
+    for name in names[1:]:
+        out = out.unionByName(read_xlsx(spark, path, name, schema))
+    return out
+
+
 def write_exports(spark, d) -> str:
     """Four files per nation, as an export would have them; every seventh lacks one."""
     path = folder(spark)

@@ -241,5 +241,3 @@ def test_utm_known_point(spark):
     lat = np.radians(np.linspace(0, 49, 200_001))
     arc = np.trapezoid(6378137.0 * (1 - e2) / (1 - e2 * np.sin(lat) ** 2) ** 1.5, lat)
     assert got[0]["y"] == pytest.approx(0.9996 * arc, abs=1e-3)
-    with pytest.raises(ValueError):
-        projection.reproject(rows, "epsg:3857")
