@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.geostatistics.models import lookup
@@ -153,6 +153,71 @@ def check(name: str, given: Mapping[str, Any]) -> dict[str, Any]:
     return schema.also(out | {k: given[k] for k in unknown})
 
 
+#: Ranges of known columns; null and beyond it are errors.
+RANGES = {"longitude": (-180.0, 180.0), "latitude": (-90.0, 90.0), "x": (None, None), "y": (None, None), "area": (None, None), "fraction": (None, None)}
+#: Relations between the parameters of a schema: a name, and what breaks it, of columns with defaults filled in.
+RELATIONS: dict[str, list[tuple[str, Callable[[Callable], Column]]]] = {
+    "kriging": [("k_min <= k_max", lambda c: c("k_min") > c("k_max"))],
+    "variogram_model": [("nugget < sill", lambda c: c("sill") <= c("nugget"))],
+    "single_parameter": [("min <= value <= max", lambda c: (c("value") < c("min")) | (c("value") > c("max")))],
+    "selectivity": [("slope and intercept or l50 and selection_range", lambda c: ~_pair(c, "slope", "intercept", "l50", "selection_range") & ~_pair(c, "l50", "selection_range", "slope", "intercept"))],
+}
+
+
+def _pair(c: Callable, a: str, b: str, other_a: str, other_b: str) -> Column:
+    return c(a).isNotNull() & c(b).isNotNull() & c(other_a).isNull() & c(other_b).isNull()
+
+
+def violations(df: DataFrame, name: str) -> Column:
+    """What each row of a table of parameters, a column each, breaks in a schema: an array of names, empty where all is well.
+
+    Numbers, texts and truth values are checked, as ``check`` does one set of parameters; nested
+    schemas are tables of their own. Columns that the schema doesn't know break it in every row.
+    """
+    schema, have = SCHEMAS[name], set(df.columns)
+
+    def value(key: str) -> Column:
+        default = schema.rules[key].default
+        if default is REQUIRED or default is None:
+            return F.col(f"`{key}`") if key in have else F.lit(None).cast("double")
+        return F.coalesce(F.col(f"`{key}`"), F.lit(default)) if key in have else F.lit(default)
+
+    def broken(key: str, rule: Rule) -> Column:
+        v, bad = value(key), F.lit(False)
+        if rule.kind in (float, int):
+            x = v.cast("double")
+            bad = x.isNull() | F.isnan(x)  # a text that is no number, too
+            if rule.kind is int:
+                bad = bad | (x != F.floor(x))
+            if rule.finite:
+                bad = bad | (F.abs(x) == float("inf"))
+            for bound, test in ((rule.above, lambda b: x <= b), (rule.least, lambda b: x < b), (rule.below, lambda b: x >= b), (rule.most, lambda b: x > b)):
+                bad = bad | test(bound) if bound is not None else bad
+        if rule.choices is not None:
+            bad = bad | ~v.isin(list(rule.choices))
+        return F.when(F.coalesce(bad, F.lit(True)) & v.isNotNull() | (v.isNull() if rule.default is REQUIRED else F.lit(False)), F.lit(key))
+
+    rules = {k: r for k, r in schema.rules.items() if r.kind in (float, int, str, bool) and not r.nested}
+    found = [broken(k, r) for k, r in rules.items()]
+    found += [F.when(F.coalesce(test(value), F.lit(False)), F.lit(text)) for text, test in RELATIONS.get(name, [])]
+    found += [F.lit(c) for c in df.columns if c not in schema.rules and not schema.extra]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def bad_values(df: DataFrame, ranges: Mapping[str, tuple] = RANGES) -> DataFrame:
+    """(column, nulls, beyond): how many values of each known column are null or not a number, and how many out of its range."""
+    known = [c for c in ranges if c in df.columns]
+    if not known:
+        return df.sparkSession.createDataFrame([], "column string, nulls long, beyond long")
+
+    def counts(c: str) -> Column:
+        x, (low, high) = F.col(c).cast("double"), ranges[c]
+        out = (x < low if low is not None else F.lit(False)) | (x > high if high is not None else F.lit(False))
+        return F.struct(F.lit(c).alias("column"), F.count_if(x.isNull() | F.isnan(x)).alias("nulls"), F.count_if(out & ~F.isnan(x)).alias("beyond"))
+
+    return df.agg(F.array(*[counts(c) for c in known]).alias("a")).select(F.inline("a"))
+
+
 def check_scattering(parameters: InvParameters | Mapping, settings: Mapping) -> tuple[InvParameters, dict]:
     """Inversion parameters held against their model, and the model's settings completed.
 
@@ -181,10 +246,6 @@ def check_scattering(parameters: InvParameters | Mapping, settings: Mapping) ->
     return made, check(f"{settings['type']}_settings", settings)
 
 
-#: Ranges of known columns; null and beyond it are errors.
-RANGES = {"longitude": (-180.0, 180.0), "latitude": (-90.0, 90.0), "x": (None, None), "y": (None, None), "area": (None, None), "fraction": (None, None)}
-
-
 def check_frame(df: DataFrame, title: str, one_of: Sequence[Sequence[Sequence[str]]], ranges: Mapping[str, tuple] = RANGES) -> DataFrame:
     """The table itself, if it has one column set of each group and no value out of range.
 
