@@ -90,16 +90,16 @@ def workbook_round_trip(spark, d):
     return read_xlsx(spark, path, "all", seq="row")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS k, CAST('1900-01-01' AS TIMESTAMP) + to_days(CAST(s_suppkey * 37 AS INTEGER)) + to_seconds(CAST(s_suppkey * 61 % 86400 AS INTEGER)) AS moment FROM supplier)
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST('1900-01-01' AS TIMESTAMP) + to_days(CAST(s_suppkey * 370 % 100003 AS INTEGER)) + to_seconds(CAST(s_suppkey * 61 % 86400 AS INTEGER)) AS moment FROM supplier)
 SELECT e AS epoch, CAST(k AS DOUBLE) AS k, strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, strftime(moment, '%Y-%m-%d') AS day, strftime(moment, '%H:%M:%S') AS clock, CASE WHEN k % 2 = 0 THEN strftime(moment, '%Y-%m-%d %H:%M:%S') ELSE CAST(k AS VARCHAR) END AS mixed
-FROM s CROSS JOIN (SELECT unnest([1900, 1904]) AS e) WHERE e = 1900 OR k > 40""")
+FROM s CROSS JOIN (SELECT unnest([1900, 1904]) AS e) WHERE e = 1900 OR k * 370 % 100003 > 1460""")
 def workbook_dates(spark, d):
     """Dates, times of day and mixed columns of a workbook of either epoch, told by their styles; 1904 has none before."""
-    s = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("TIMESTAMP_NTZ '1900-01-01 00:00:00' + make_dt_interval(CAST(s_suppkey AS INT) * 37, 0, 0, s_suppkey * 61 % 86400)").alias("moment"))
+    s = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("TIMESTAMP_NTZ '1900-01-01 00:00:00' + make_dt_interval(CAST(s_suppkey * 370 % 100003 AS INT), 0, 0, s_suppkey * 61 % 86400)").alias("moment"))
     read = []
     for epoch in (1900, 1904):
         path = f"{folder(spark)}/dates.xlsx"
-        rows = [(r["k"], r["moment"], r["moment"].date(), r["moment"].time(), r["moment"] if r["k"] % 2 == 0 else r["k"]) for r in s.where((F.col("k") > 40) | F.lit(epoch == 1900)).orderBy("k").collect()]
+        rows = [(r["k"], r["moment"], r["moment"].date(), r["moment"].time(), r["moment"] if r["k"] % 2 == 0 else r["k"]) for r in s.where((F.col("k") * 370 % 100003 > 1460) | F.lit(epoch == 1900)).orderBy("k").collect()]
         write_xlsx(spark, path, {"dates": [["k", "moment", "day", "clock", "mixed"], *rows]}, date1904=epoch == 1904)
         sheet = read_xlsx(spark, path, "dates")
         read.append(sheet.select(F.lit(epoch).alias("epoch"), "k", F.date_format("moment", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.date_format("day", "yyyy-MM-dd").alias("day"), "clock", "mixed"))
