@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pelagia.geostatistics import cropping, kriging, projection, variogram
+from pelagia.geostatistics import cropping, kriging, outline, projection, variogram
 from pelagia.geostatistics import projection_systems as systems
 from pelagia.geostatistics.models import gamma_column
 from pelagia.plans import roles as R
@@ -275,3 +275,23 @@ def grid(spark, d):
 def hull_crop(spark, d):
     """Mesh cells inside the buffered survey; a test holds it against brute force."""
     return cropping.hull_crop(positions(spark, d), grid(spark, d), 3, 2.5)
+
+
+#: Slanted blocks of cells per part and their union by brand; a cell (i, j) is a parallelogram.
+BLOCKS = "b AS (SELECT p_partkey, p_brand, p_size % 10 AS i0, p_partkey // 200 AS j0, 1 + p_partkey % 5 AS w, 1 + p_size % 3 AS h FROM part)"
+
+
+@query(f"""WITH {BLOCKS}, c AS (SELECT DISTINCT p_brand, i, j FROM (SELECT p_brand, unnest(range(i0, i0 + w)) AS i, j0, h FROM b), LATERAL (SELECT unnest(range(j0, j0 + h)) AS j)),
+e AS (SELECT c.p_brand, (CASE WHEN l.i IS NULL THEN 1 ELSE 0 END) + (CASE WHEN r.i IS NULL THEN 1 ELSE 0 END) AS v, (CASE WHEN d.i IS NULL THEN 1 ELSE 0 END) + (CASE WHEN u.i IS NULL THEN 1 ELSE 0 END) AS s
+ FROM c LEFT JOIN c l ON l.p_brand = c.p_brand AND l.i = c.i - 1 AND l.j = c.j LEFT JOIN c r ON r.p_brand = c.p_brand AND r.i = c.i + 1 AND r.j = c.j
+ LEFT JOIN c d ON d.p_brand = c.p_brand AND d.i = c.i AND d.j = c.j - 1 LEFT JOIN c u ON u.p_brand = c.p_brand AND u.i = c.i AND u.j = c.j + 1)
+SELECT p_brand, round(count(*) * CAST(1.03 AS DOUBLE), 6) AS area, round(sum(v) * sqrt(CAST(0.73 AS DOUBLE)) + sum(s) * sqrt(CAST(1.46 AS DOUBLE)), 6) AS length FROM e GROUP BY p_brand""")
+def extent_union(spark, d):
+    """Area and length of the union of slanted blocks per brand; the SQL counts cells."""
+    p = R.table(spark, d, "part")
+    i, j = F.col("p_size") % 10, F.floor(F.col("p_partkey") / 200)
+    w, h = 1 + F.col("p_partkey") % 5, 1 + F.col("p_size") % 3
+    at = lambda a, b: F.struct((a * 1.1 - b * 0.3).alias("x"), (a * 0.5 + b * 0.8).alias("y"))
+    blocks = p.select("p_brand", "p_partkey", F.array(at(i, j), at(i + w, j), at(i + w, j + h), at(i, j + h)).alias("corners"))
+    out = outline.measures(outline.outline(blocks, "p_partkey", by=["p_brand"]), ["p_brand"])
+    return out.select("p_brand", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
