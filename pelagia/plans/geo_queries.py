@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from pelagia.geostatistics import cropping, kriging, outline, projection, variogram
+from pelagia.geostatistics import cropping, geometry, kriging, outline, projection, variogram
 from pelagia.geostatistics import projection_systems as systems
 from pelagia.geostatistics.models import gamma_column
 from pelagia.plans import roles as R
 from pelagia.plans.registry import QUERIES, SQL, query
+from pelagia.session import prepare
 
 #: Distances 0, 0.1, ... 4.9.
 LAGS = "l AS (SELECT DISTINCT (p_size - 1) / CAST(10 AS DOUBLE) AS h FROM part)"
@@ -295,3 +298,25 @@ def extent_union(spark, d):
     blocks = p.select("p_brand", "p_partkey", F.array(at(i, j), at(i + w, j), at(i + w, j + h), at(i, j + h)).alias("corners"))
     out = outline.measures(outline.outline(blocks, "p_partkey", by=["p_brand"]), ["p_brand"])
     return out.select("p_brand", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
+
+
+@query(f"WITH {POS} SELECT event_id, longitude, latitude FROM pos WHERE longitude BETWEEN -128 AND -123 AND latitude BETWEEN 35 AND 45.5")
+def geometry_box(spark, d):
+    """All positions written as geometries; those of a box read back, coordinates from their bytes."""
+    path = f"{prepare(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/positions-{uuid4().hex}"
+    geometry.write(geometry.with_geometry(positions(spark, d)).drop("longitude", "latitude"), path)
+    shape = F.get(F.get(F.col("s.rings"), F.lit(0)), F.lit(0))
+    rows = geometry.read(spark, path, (-128, 35, -123, 45.5)).select("event_id", geometry.parsed("geometry").alias("s"))
+    return rows.select("event_id", shape["x"].alias("longitude"), shape["y"].alias("latitude"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity, lead(l_linenumber) OVER w AS n1, lead(l_quantity) OVER w AS q1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity))
+SELECT l_orderkey, count(*) AS n, 9 + 16 * count(*) AS n_bytes, round(coalesce(sum(sqrt((n1 - l_linenumber) * (n1 - l_linenumber) + (q1 - l_quantity) * (q1 - l_quantity))), 0), 6) AS length FROM p GROUP BY l_orderkey""")
+def geometry_lines(spark, d):
+    """Per order the line through its items as a geometry: points, bytes and length read back."""
+    prepare(spark)
+    at = F.struct(F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    lines = R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(at)).alias("p"))
+    rows = lines.select("l_orderkey", geometry.line(F.col("p")).alias("g"))
+    rows = rows.select("l_orderkey", F.octet_length("g").alias("n_bytes"), geometry.parsed("g").alias("s"))
+    return rows.select("l_orderkey", F.size(F.get(F.col("s.rings"), F.lit(0))).cast("long").alias("n"), F.col("n_bytes").cast("long").alias("n_bytes"), F.round(geometry.length(F.col("s.rings")), 6).alias("length"))
