@@ -12,6 +12,7 @@ from pelagia.plans.registry import query
 from pelagia.plans.source_queries import folder
 from pelagia.reports import compare, tables
 from pelagia.reports.reporter import Reporter
+from pelagia.sources.sheets import write_sheets
 from pelagia.sources.xlsx import read_xlsx
 
 BINS = "b AS (SELECT haul_num % 12 AS haul_num, sex, age, length, weight, stratum, 2 + (ceil(length / 4) - 1) * 4 AS length_bin FROM specimen)"
@@ -139,6 +140,17 @@ def dataset_differences(spark, d):
     return compare.dataset_differences(compare.load_reports(spark, files, f"{path}/cache"), "first", "second", ["biomass", "abundance"])
 
 
+@query("SELECT CAST(n_nationkey AS INTEGER) AS year, count(*) AS n, round(sum(c_acctbal), 4) AS biomass, CAST(sum(c_custkey) AS DOUBLE) AS abundance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def reports_in_one_scan(spark, d):
+    """A report per nation, of all its customers, read back together."""
+    path, files = folder(spark), {}
+    customers = R.table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("Lat"), F.col("c_custkey").alias("Lon"), F.col("c_custkey").alias("ntk_total"), F.col("c_acctbal").alias("wgt_total"))
+    for nation in sorted(r[0] for r in R.table(spark, d, "nation").select("n_nationkey").collect()):  # 25 rows
+        files["first", "transect", nation] = f"{path}/{nation}.xlsx"
+        write_sheets(spark, files["first", "transect", nation], {"Sheet1": customers.where(F.col("c_nationkey") == nation).drop("c_nationkey")})
+    return compare.load_reports(spark, files).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("biomass"), 4).alias("biomass"), F.sum("abundance").alias("abundance"))
+
+
 @query("""WITH a AS (SELECT s_nationkey AS k, sum(s_suppkey) AS x, min(s_suppkey) AS longitude FROM supplier GROUP BY 1), b AS (SELECT n_nationkey AS k, sum(n_regionkey) AS y, min(n_nationkey) AS longitude FROM nation GROUP BY 1)
 SELECT 'a' AS side, k, CAST(x AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, longitude FROM a UNION ALL SELECT 'b', k, CAST(0 AS BIGINT), CAST(y AS BIGINT), longitude FROM b""")
 def align_tables(spark, d):

@@ -10,6 +10,7 @@ from pelagia.plans import roles as R
 from pelagia.plans.registry import query
 from pelagia.session import prepare
 from pelagia.sources import surveys
+from pelagia.sources.sheet_blocks import read_blocks
 from pelagia.sources.sheets import replace_sheet, write_sheets
 from pelagia.sources.xlsx import read_xlsx, write_bytes, write_xlsx
 
@@ -209,3 +210,14 @@ def region_key_file(spark, d):
 def complete_intervals(spark, d):
     s = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("distance"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey")).alias("transect_spacing"), "s_nationkey")
     return surveys.complete_intervals(s, exclude={"s_nationkey": 4}).drop("s_nationkey")
+
+
+@query("SELECT CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY o_custkey, o_orderpriority")
+def sheet_blocks(spark, d):
+    """All orders written as sheets; two of their columns read back by many tasks a sheet."""
+    path = f"{folder(spark)}/orders.xlsx"
+    out = None
+    for name in write_sheets(spark, path, {"orders": R.table(spark, d, "orders")}):
+        rows = read_blocks(spark, path, "o_custkey double, o_orderpriority string", name)
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Container, Iterator, Mapping, Sequence
 from datetime import date, datetime, time, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -33,6 +33,8 @@ TIME_FORMATS = {18, 19, 20, 21, 32, 33, 45, 46, 47}
 EPOCH, EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
 #: Rows that a sheet can hold (a fixed value of the format).
 MOST_ROWS = 1_048_576
+#: Types of columns.
+ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us"), "date": pa.date32()}
 
 
 def shows(code: str) -> str:
@@ -94,45 +96,80 @@ def sheet_names(book: bytes) -> list[str]:
         return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
 
 
+def layout(z: zipfile.ZipFile, sheet: str | int) -> tuple[str, list[str], datetime]:
+    """A sheet's entry, what the cell styles show, and the epoch. A sheet that isn't there raises KeyError."""
+    book_xml = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    settings = book_xml.find(f"{MAIN}workbookPr")
+    epoch = EPOCH_1904 if settings is not None and settings.get("date1904") in ("1", "true") else EPOCH
+    sheets = list(book_xml.iter(f"{MAIN}sheet"))
+    names = [s.get("name") for s in sheets]
+    if sheet not in names and not (isinstance(sheet, int) and sheet < len(sheets)):
+        raise KeyError(f"no sheet '{sheet}' among {names}")
+    found = sheets[sheet if isinstance(sheet, int) else names.index(sheet)]
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{PACKAGE}Relationship")}
+    path = targets[found.get(f"{RELATION}id")]
+    return path.lstrip("/") if path.startswith("/") else f"xl/{path}", styles_of(z), epoch
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    """The texts that cells refer to by place."""
+    return [_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+
+
+def row_of(node, shared: Sequence[str] | Mapping[int, str], styles: Sequence[str], epoch: datetime, places: Container[int] | None = None) -> list:
+    """The values of a row's cells by place; None for empty ones, and for those out of ``places`` where it is given."""
+    row: list = []
+    for k, cell in enumerate(node.iter(f"{MAIN}c")):
+        place = _column(cell.get("r")) if cell.get("r") else k
+        row += [None] * (place + 1 - len(row))
+        if places is not None and place not in places:
+            continue
+        kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
+        if kind == "inlineStr":
+            row[place] = _text(cell)
+        elif value is not None:
+            row[place] = shared[int(value)] if kind == "s" else value == "1" if kind == "b" else value if kind == "str" else None if kind == "e" else datetime.fromisoformat(value).replace(tzinfo=None) if kind == "d" else float(value)
+            style = int(cell.get("s") or 0)
+            if kind == "n" and style < len(styles) and styles[style]:
+                row[place] = moment(row[place], styles[style], epoch)
+    return row
+
+
 def parse_sheet(book: bytes, sheet: str | int = 0) -> Iterator[list]:
     """Rows of a sheet, by name or place, as lists; empty cells are None. A sheet that isn't there raises KeyError."""
     with zipfile.ZipFile(io.BytesIO(book)) as z:
-        book_xml = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        settings = book_xml.find(f"{MAIN}workbookPr")
-        epoch = EPOCH_1904 if settings is not None and settings.get("date1904") in ("1", "true") else EPOCH
-        styles, sheets = styles_of(z), list(book_xml.iter(f"{MAIN}sheet"))
-        names = [s.get("name") for s in sheets]
-        if sheet not in names and not (isinstance(sheet, int) and sheet < len(sheets)):
-            raise KeyError(f"no sheet '{sheet}' among {names}")
-        found = sheets[sheet if isinstance(sheet, int) else names.index(sheet)]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{PACKAGE}Relationship")}
-        path = targets[found.get(f"{RELATION}id")]
-        path = path.lstrip("/") if path.startswith("/") else f"xl/{path}"
-        shared = [_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
-        at = 0
+        path, styles, epoch = layout(z, sheet)
+        shared, at = shared_strings(z), 0
         with z.open(path) as f:
             for _, node in ElementTree.iterparse(f):
                 if node.tag != f"{MAIN}row":
                     continue
-                row: list = []
-                for k, cell in enumerate(node.iter(f"{MAIN}c")):
-                    place = _column(cell.get("r")) if cell.get("r") else k
-                    row += [None] * (place + 1 - len(row))
-                    kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
-                    if kind == "inlineStr":
-                        row[place] = _text(cell)
-                    elif value is not None:
-                        row[place] = shared[int(value)] if kind == "s" else value == "1" if kind == "b" else value if kind == "str" else None if kind == "e" else datetime.fromisoformat(value).replace(tzinfo=None) if kind == "d" else float(value)
-                        style = int(cell.get("s") or 0)
-                        if kind == "n" and style < len(styles) and styles[style]:
-                            row[place] = moment(row[place], styles[style], epoch)
                 number = int(node.get("r") or at + 1)
                 yield from ([] for _ in range(number - at - 1))  # rows that are left out are empty
                 at = number
-                yield row
+                yield row_of(node, shared, styles, epoch)
                 node.clear()
 
 
+def cast(v, kind: str):
+    """A cell's value in a column of a type; None where it has no such value."""
+    if v is None or kind == "string" and isinstance(v, str):
+        return v
+    if kind == "string":
+        return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    if kind in ("timestamp_ntz", "date"):
+        at = moment(v, "date") if isinstance(v, float) else v
+        return None if not isinstance(at, datetime) else at.date() if kind == "date" else at
+    if isinstance(v, (datetime, time)):
+        return serial(v) if kind == "double" else None
+    if kind == "boolean":
+        return bool(v)
+    try:
+        return float(v)
+    except ValueError:
+        return None
+
+
 def _named(row: list) -> list[str]:
     return [f"_c{k}" if v is None else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for k, v in enumerate(row)]
 
@@ -174,25 +211,6 @@ def read_xlsx(spark: SparkSession, path: str | Sequence[str], sheet: str | int =
         types = {n: "double" if not k else "string" if len(k) > 1 else next(iter(k)) for n, k in known.items()}
     else:
         types = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
-    arrow = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us"), "date": pa.date32()}
-
-    def cast(v, kind: str):
-        if v is None or kind == "string" and isinstance(v, str):
-            return v
-        if kind == "string":
-            return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
-        if kind in ("timestamp_ntz", "date"):
-            at = moment(v, "date") if isinstance(v, float) else v
-            return None if not isinstance(at, datetime) else at.date() if kind == "date" else at
-        if isinstance(v, (datetime, time)):
-            return serial(v) if kind == "double" else None
-        if kind == "boolean":
-            return bool(v)
-        try:
-            return float(v)
-        except ValueError:
-            return None
-
     def run(batches):
         for b in batches:
             for book in b.column(0).to_pylist():
@@ -202,7 +220,7 @@ def read_xlsx(spark: SparkSession, path: str | Sequence[str], sheet: str | int =
                     places.append(k)
                     for n, kind in types.items():
                         cols[n].append(cast(row.get(n), kind))
-                arrays = [pa.array(cols[n], arrow[kind]) for n, kind in types.items()]
+                arrays = [pa.array(cols[n], ARROW[kind]) for n, kind in types.items()]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(places, pa.int64())] if seq else []), [*types] + ([seq] if seq else []))
 
     ddl = ", ".join(f"`{n}` {kind}" for n, kind in types.items()) + (f", `{seq}` bigint" if seq else "")
