@@ -19,9 +19,10 @@ class InversionLengthTS:
 
     def __init__(self, model_parameters: Mapping):
         self.params = check("length_ts", model_parameters)
-        if len(self.params["stratify_by"]) != 1:
-            raise ValueError("one column must hold the strata; join several into one first")
-        self.stratum = self.params["stratify_by"][0]
+        self.strata = list(self.params["stratify_by"])
+        if len(self.strata) > 1 and self.params["impute_missing_strata"]:
+            raise ValueError("only strata of one column have neighbours to impute from; with several columns set impute_missing_strata to False")
+        self.stratum = self.strata[0]
         self.sigma_bs_haul: DataFrame | None = None
         self.sigma_bs_strata: DataFrame | None = None
 
@@ -30,7 +31,7 @@ class InversionLengthTS:
         frames = [lengths] if isinstance(lengths, DataFrame) else list(lengths.values()) if isinstance(lengths, Mapping) else list(lengths)
         haul, ts = self.params["haul_column"], self.params["ts_length_regression"]
         frames = [f.withColumn("haul_num", F.col(haul)) if haul != "haul_num" else f for f in frames]
-        self.sigma_bs_haul = acoustics.haul_sigma(frames, self.stratum, ts["slope"], ts["intercept"])
+        self.sigma_bs_haul = acoustics.haul_sigma(frames, self.strata, ts["slope"], ts["intercept"])
         return self.sigma_bs_haul
 
     def get_stratified_sigma_bs(self, lengths=None) -> DataFrame:
@@ -39,7 +40,7 @@ class InversionLengthTS:
             self.set_haul_sigma_bs(lengths)
         if self.sigma_bs_haul is None:
             raise RuntimeError("there are no cross-sections of hauls yet; give the lengths")
-        self.sigma_bs_strata = acoustics.strata_sigma(self.sigma_bs_haul, self.stratum, self.params["haul_replicates"])
+        self.sigma_bs_strata = acoustics.strata_sigma(self.sigma_bs_haul, self.strata, self.params["haul_replicates"])
         return self.sigma_bs_strata
 
     def invert(self, nasc: DataFrame, lengths=None) -> DataFrame:
@@ -50,4 +51,4 @@ class InversionLengthTS:
             spine = nasc.select(self.stratum) if expected is None else nasc.sparkSession.createDataFrame([(s,) for s in expected], f"{self.stratum} {nasc.schema[self.stratum].dataType.simpleString()}")
             sigma = impute_strata(spine.unionByName(sigma.select(self.stratum)), sigma, self.stratum)
             self.sigma_bs_strata = sigma
-        return acoustics.invert(nasc, sigma, self.stratum)
+        return acoustics.invert(nasc, sigma, self.strata)

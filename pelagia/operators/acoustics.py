@@ -19,27 +19,32 @@ def ts_length(length: Column, slope: float = 20.0, intercept: float = -68.0) ->
     return slope * F.log10(length) + intercept
 
 
-def haul_sigma(frames: Sequence[DataFrame], stratum: str, slope: float = 20.0, intercept: float = -68.0) -> DataFrame:
+def _names(stratum: str | Sequence[str]) -> list[str]:
+    """The columns that hold the strata."""
+    return [stratum] if isinstance(stratum, str) else list(stratum)
+
+
+def haul_sigma(frames: Sequence[DataFrame], stratum: str | Sequence[str], slope: float = 20.0, intercept: float = -68.0) -> DataFrame:
     """Mean cross-section per stratum and haul over all fish of all frames, with their number."""
-    counts = None
+    strata, counts = _names(stratum), None
     for df in frames:
         n = F.sum("length_count") if "length_count" in df.columns else F.count("*")
-        part = df.where("length IS NOT NULL").groupBy(stratum, "haul_num", "length").agg(n.cast("double").alias("n"))
+        part = df.where("length IS NOT NULL").groupBy(*strata, "haul_num", "length").agg(n.cast("double").alias("n"))
         counts = part if counts is None else counts.unionByName(part)
     s = sigma(F.col("length"), slope, intercept)
-    return counts.groupBy(stratum, "haul_num").agg(F.try_divide(F.sum(s * F.col("n")), F.sum("n")).alias("sigma_bs"), F.sum("n").alias("n"))
+    return counts.groupBy(*strata, "haul_num").agg(F.try_divide(F.sum(s * F.col("n")), F.sum("n")).alias("sigma_bs"), F.sum("n").alias("n"))
 
 
-def strata_sigma(by_haul: DataFrame, stratum: str, haul_replicates: bool = True) -> DataFrame:
+def strata_sigma(by_haul: DataFrame, stratum: str | Sequence[str], haul_replicates: bool = True) -> DataFrame:
     """Mean cross-section per stratum: of hauls as replicates, or of all fish."""
     mean = F.avg("sigma_bs") if haul_replicates else F.try_divide(F.sum(F.col("sigma_bs") * F.col("n")), F.sum("n"))
-    return by_haul.groupBy(stratum).agg(mean.alias("sigma_bs"))
+    return by_haul.groupBy(*_names(stratum)).agg(mean.alias("sigma_bs"))
 
 
-def invert(nasc: DataFrame, sigma_bs: DataFrame, stratum: str) -> DataFrame:
+def invert(nasc: DataFrame, sigma_bs: DataFrame, stratum: str | Sequence[str]) -> DataFrame:
     """Number density of every interval: NASC (times nasc_proportion, if there) / (4 pi sigma); 0 without one."""
     share = F.col("nasc_proportion") if "nasc_proportion" in nasc.columns else F.lit(1.0)
-    out = nasc.join(sigma_bs, stratum, "left")
+    out = nasc.join(sigma_bs, _names(stratum), "left")
     return out.withColumn("number_density", F.coalesce(share * F.try_divide(F.col("nasc"), FOUR_PI * F.col("sigma_bs")), F.lit(0.0))).drop("sigma_bs")
 
 

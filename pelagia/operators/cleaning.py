@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.ranking import exact_median
+from pelagia.sources.xlsx import read_xlsx
 
 
 def round_half_up(x: Column) -> Column:
@@ -226,8 +227,32 @@ def impute_coordinates(df: DataFrame, column: str, group: str, order: str, bad:
     return out.withColumn(column, fixed).drop("_i", "_x", "_pi", "_px", "_ni", "_nx", "_f", "_l", "_xf1", "_xl1")
 
 
-def filter_intervals(df: DataFrame, listed: DataFrame, condition: str | None = None) -> DataFrame:
-    """Intervals of transects not in ``listed`` (transect_num, log_start, log_end), and those overlapping a listed range."""
+def listed_ranges(listed: DataFrame) -> DataFrame:
+    """A table of ranges with its columns in lower case, ``transect`` as transect_num; KeyError where one lacks.
+
+    Of columns that differ in case only the first counts.
+    """
+    names: dict[str, str] = {}
+    for c in listed.columns:
+        names.setdefault(c.lower(), c)
+    if "transect_num" not in names and "transect" in names:
+        names = {"transect_num" if n == "transect" else n: c for n, c in names.items()}
+    if missing := [c for c in ("transect_num", "log_start", "log_end") if c not in names]:
+        raise KeyError(f"the ranges lack {', '.join(missing)}")
+    places = {c: k for k, c in reversed(list(enumerate(listed.columns)))}
+    plain = listed.toDF(*[f"_{k}" for k in range(len(listed.columns))])  # names that differ in case only are ambiguous
+    return plain.select(*[F.col(f"_{places[c]}").alias(n) for n, c in names.items()])
+
+
+def filter_intervals(df: DataFrame, listed: DataFrame | str, condition: str | None = None, sheet: str | int = 0) -> DataFrame:
+    """Intervals of transects not in ``listed`` (transect_num, log_start, log_end), and those overlapping a listed range.
+
+    ``listed`` is a table or the path of a workbook, whose ``sheet`` is read; a
+    condition keeps some of its rows first.
+    """
+    if isinstance(listed, str):
+        listed = read_xlsx(df.sparkSession, listed, sheet)
+    listed = listed_ranges(listed)
     listed = listed.where(condition) if condition else listed
     free = df.join(listed.select("transect_num").distinct(), "transect_num", "left_anti")
     t = listed.select(F.col("transect_num").alias("_t"), "log_start", "log_end")

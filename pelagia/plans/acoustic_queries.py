@@ -101,6 +101,19 @@ def selectivity(spark, d):
     return out.select("fish", "age", "length", logged("selectivity_expansion").alias("log_expansion"))
 
 
+@query(f"""WITH {R.SPECIMEN}, {R.LENGTHS}, {R.INTERVALS}, al AS (SELECT stratum, sex, haul_num, length, count(*) AS n FROM specimen GROUP BY ALL UNION ALL SELECT stratum, sex, haul_num, length, sum(length_count) FROM lengths GROUP BY ALL),
+h AS (SELECT stratum, sex, haul_num, sum({SIG} * n) / sum(n) AS sigma_bs FROM al GROUP BY ALL), s AS (SELECT stratum, sex, avg(sigma_bs) AS sigma_bs FROM h GROUP BY ALL),
+x AS (SELECT *, CASE interval % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'unsexed' ELSE 'none' END AS sex FROM intervals)
+SELECT interval, stratum, sex, round(coalesce(nasc / (4 * pi() * sigma_bs), 0), 2) AS number_density FROM x LEFT JOIN s USING (stratum, sex)""")
+def ts_invert_strata(spark, d):
+    """The whole inversion by strata of two columns; a quarter of the intervals lies in strata without any fish."""
+    k = F.col("interval") % 4
+    rows = R.intervals(spark, d).withColumn("sex", F.when(k == 0, "female").when(k == 1, "male").when(k == 2, "unsexed").otherwise("none"))
+    model = InversionLengthTS({"ts_length_regression": {"slope": 20.0, "intercept": -68.0}, "stratify_by": ["stratum", "sex"], "impute_missing_strata": False})
+    out = model.invert(rows, [R.specimen(spark, d), R.lengths(spark, d)])
+    return out.select("interval", "stratum", "sex", F.round("number_density", 2).alias("number_density"))
+
+
 @query("""WITH a AS (SELECT user_id % 10 AS transect_num, event_id AS interval, value AS reference_nasc, value + 5 AS nasc, 5 + (event_id % 3) * CAST(1 AS DOUBLE) AS thickness_mean FROM events),
 p AS (SELECT CAST(i AS BIGINT) AS transect_num, 0.01 + i * CAST(0.001 AS DOUBLE) AS length_mean, CAST(16 AS DOUBLE) AS length_radius_ratio, CAST(1.036 AS DOUBLE) AS g, CAST(10 * i AS DOUBLE) AS number_density FROM range(1, 9) t(i)),
 n AS (SELECT transect_num, count(reference_nasc) AS n FROM a GROUP BY transect_num)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pelagia.operators import cleaning, strata
 from pelagia.plans import roles as R
 from pelagia.plans.registry import query
+from pelagia.plans.source_queries import folder
+from pelagia.sources.sheets import write_sheets
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_quantity > 10 AND l_quantity <= 30 AND NOT coalesce(l_linestatus IN ('F'), false)")
@@ -154,6 +156,16 @@ def transect_interval_filter(spark, d):
     return cleaning.filter_intervals(R.intervals(spark, d), listed).select("interval", "transect_num")
 
 
+@query(f"""WITH {R.INTERVALS}, l AS (SELECT s_suppkey % 20 AS transect_num, s_suppkey * CAST(10 AS DOUBLE) AS log_start, s_suppkey * CAST(10 AS DOUBLE) + 200 AS log_end FROM supplier WHERE s_nationkey < 20)
+SELECT interval, transect_num FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.transect_num = i.transect_num) OR EXISTS (SELECT 1 FROM l WHERE l.transect_num = i.transect_num AND distance_e >= log_start AND distance_s <= log_end)""")
+def transect_interval_file(spark, d):
+    """The same by a sheet of a workbook, in its own column names, and a condition on the survey's column."""
+    path = f"{folder(spark)}/ranges.xlsx"
+    ranges = R.table(spark, d, "supplier").select((F.col("s_suppkey") % 20).alias("Transect"), (F.col("s_suppkey") * 10.0).alias("Log_Start"), (F.col("s_suppkey") * 10.0 + 200).alias("LOG_END"), F.col("s_nationkey").alias("Region_ID"))
+    write_sheets(spark, path, {"notes": R.table(spark, d, "region"), "ranges": ranges})
+    return cleaning.filter_intervals(R.intervals(spark, d), path, "region_id < 20", "ranges").select("interval", "transect_num")
+
+
 @query(f"WITH {R.INTERVALS} SELECT transect_num, min(longitude) AS longitude, min(latitude) FILTER (longitude = m) AS latitude FROM (SELECT *, min(longitude) OVER (PARTITION BY transect_num) AS m FROM intervals WHERE latitude < 45) GROUP BY transect_num")
 def western_extents(spark, d):
     return cleaning.western_extents(R.intervals(spark, d), threshold=45)
