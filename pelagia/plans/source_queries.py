@@ -190,6 +190,13 @@ def sv_ingest_intervals(spark, d):
     return out.select("transect_num", "interval", "frequency", F.round("sv_mean", 6).alias("sv_mean"), F.round(F.log10("nasc"), 6).alias("log_nasc"), "thickness_mean")
 
 
+@query(f"""WITH {SV}, w AS (SELECT *, 30 + transect_num * CAST(0.25 AS DOUBLE) AS latitude, -120 - interval * CAST(0.5 AS DOUBLE) AS longitude, sum(thick) OVER p AS ta, sum(nasc) OVER p AS tn, sum(thick) OVER (PARTITION BY frequency, transect_num, interval) AS ti FROM lin WINDOW p AS (PARTITION BY frequency, transect_num))
+SELECT transect_num, CAST(frequency AS DOUBLE) AS frequency, round(sum(longitude * nasc / tn), 6) AS longitude_weighted, round(sum(latitude * nasc / tn), 6) AS latitude_weighted, round(10 * log10(sum(pow(10, sv_mean / 10) * thick / ta)), 6) AS sv_mean, round(log10(sum(nasc)), 6) AS log_nasc, round(avg(ti), 6) AS thickness_mean FROM w GROUP BY ALL""")
+def sv_ingest_transects(spark, d):
+    out, _ = surveys.ingest_sv(spark, write_sv(spark, d), {38000.0: (-75.0, -55.0), 120000.0: (-75.0, -55.0)}, r"T(\d+)", "transect")
+    return out.select("transect_num", "frequency", *[F.round(c, 6).alias(c) for c in ("longitude_weighted", "latitude_weighted", "sv_mean", "thickness_mean")], F.round(F.log10("nasc"), 6).alias("log_nasc"))
+
+
 @query("SELECT CAST(s_nationkey AS DOUBLE) AS transect_num, CAST(s_suppkey AS DOUBLE) AS haul_num, CAST(s_suppkey AS DOUBLE) AS distance_s, round(abs(s_acctbal), 2) AS nasc FROM supplier")
 def nasc_workbook(spark, d):
     path = f"{folder(spark)}/nasc.xlsx"
