@@ -11,6 +11,9 @@ pair is then one that BPE itself would leave, which makes the whole equal to
 encoding the unsplit word.
 
 Cases: null and empty texts have no tokens; texts of white space only, too.
+Chunks that aren't composed (NFC), or have a code point that Python's Unicode
+tables lack, are normalised and split by the tables of the tokenizers library,
+which are of other Unicode versions.
 Repeated rows give repeated results; extra columns are not read.
 """
 
@@ -25,6 +28,7 @@ from itertools import chain, islice
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from pelagia.llm.common import bounded, map_rows, texts_of
 
@@ -65,6 +69,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def unsure(text: str) -> bool:
+    """Whether Unicode versions may differ about a text: it isn't composed, or Python's tables lack a code point."""
+    if text.isascii():
+        return False
+    # a code point without a category isn't printable
+    return not unicodedata.is_normalized("NFC", text) or (not text.isprintable() and any(unicodedata.category(c) == "Cn" for c in set(text)))
+
+
 class Merges:
     """Rank and result of a token pair, as an open-addressing table that numpy probes for many pairs at once."""
 
@@ -129,6 +141,8 @@ class Bpe:
         self.split = regex.compile(SPLIT)
         self.split_flow = regex.compile(SPLIT + "| ")
         self.blank = regex.compile(f"[{SPACE}]+")
+        self.their_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.their_split = pre_tokenizers.Split(Regex(SPLIT), "removed", invert=True)
         self.afresh()
 
     # --- the lockstep kernel ---
@@ -247,10 +261,15 @@ class Bpe:
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def pieces(self, chunk: str) -> list[str | int]:
-        """Words of a chunk that holds special tokens, and the ids of those."""
+        """Words of a chunk that holds special tokens or is unsure, and the ids of those tokens."""
         out: list[str | int] = []
-        for k, p in enumerate(self.at_special.split(chunk)):
-            out += [self.special[p]] if k % 2 else self.split.findall(self.normal(p))
+        for k, p in enumerate(self.at_special.split(chunk) if self.at_special else [chunk]):
+            if k % 2:
+                out.append(self.special[p])
+            elif unsure(p):
+                out += [w for w, _ in self.their_split.pre_tokenize_str(self.their_normal.normalize_str(p))]
+            else:
+                out += self.split.findall(self.normal(p))
         return out
 
     def encode_words(self, words: list[str]) -> None:
@@ -273,7 +292,8 @@ class Bpe:
 
     def learn(self, new: list[str]) -> None:
         """Encode chunks not seen so far; their ids follow those of the chunks before."""
-        marked = [k for k, c in enumerate(new) if "<" in c and self.at_special and self.at_special.search(c)]
+        odd = unsure(" ".join(new))
+        marked = [k for k, c in enumerate(new) if ("<" in c and self.at_special and self.at_special.search(c)) or (odd and unsure(c))]
         apart = set(marked)
         line = " ".join([c for k, c in enumerate(new) if k not in apart] if marked else new)
         self.held += 6 * len(line)  # a token or less a character

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -470,6 +471,27 @@ def test_very_long_texts(spark):
     assert edit_embedding.fingerprint_documents(d).count() == 4
 
 
+def test_every_code_point_as_the_library():
+    """Alone, among letters and beside digits; those that only one of the Unicode tables has, too."""
+    path = bpe.public_path(WORD_BPE)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation(), tok.no_padding()
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own = bpe.Bpe(path)
+    for at in range(0, len(every), 100_000):
+        texts = [f"a{c}b {c}{c}1" for c in every[at : at + 100_000]]
+        theirs = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, a, b in zip(texts, own.encode(texts), theirs) if a != b] == []
+    # marks in any order, and pairs that compose
+    marks = [c for c in every if unicodedata.combining(c)]
+    rng = random.Random(8)
+    heaps = ["e" + "".join(rng.choices(marks, k=rng.randint(1, 4))) + "x" for _ in range(30_000)]
+    heaps += [unicodedata.normalize("NFD", c) + "s" for c in every if unicodedata.decomposition(c)]
+    assert own.encode(heaps) == [e.ids for e in tok.encode_batch(heaps, add_special_tokens=False)]
+    mixed = ["".join(every[c : c + 40]) + "<|endoftext|>x" for c in range(0, len(every), 40)]
+    assert own.encode(mixed) == [e.ids for e in tok.encode_batch(mixed, add_special_tokens=False)]
+
+
 def test_ids_and_text_of_documents(docs, rows):
     path = bpe.public_path(WORD_BPE)
     tok = Tokenizer.from_file(path)
