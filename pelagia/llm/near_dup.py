@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.llm.common import bounded, freed, fresh_names, map_rows, mix64, settle
+from pelagia.llm.line_dedup import frequent
 from pelagia.llm.words import shingle_sets
 
 SLOTS, ROWS = 128, 4
@@ -41,6 +42,10 @@ SLOTS, ROWS = 128, 4
 BLOCK = 1024
 #: Members of one centre that one verifying group holds, about.
 PER_GROUP = 512
+#: A band with more than one in HOT of all rows isn't dealt to one task; bounds those bands.
+HOT = 4096
+#: Ids that a task's union-find holds, about.
+NODES = 1 << 20
 #: Marks that bound how many shingles a set shares with the others of a cell.
 MARKS = 1 << 16
 
@@ -118,12 +123,23 @@ def signed(df: DataFrame, width: int, slots: int, rows: int) -> DataFrame:
     return map_rows(df.select("doc_id", "text"), "doc_id long, n_shingles long, set_key binary, slots8 binary, bands binary", make)
 
 
-def buckets_of(sets: DataFrame, bands: int) -> DataFrame:
-    """(band, id, slots8, centre) of the band buckets that more than one set falls into."""
+def buckets_of(sets: DataFrame, bands: int, hot: int = HOT) -> DataFrame:
+    """(band, id, centre) of the band buckets that more than one set falls into.
+
+    Buckets with more than one in ``hot`` of all rows aren't dealt to a task each:
+    their smallest ids are combined before a shuffle and broadcast back.
+    """
     keys = F.expr(f"transform(sequence(0, {bands - 1}), i -> substring(bands, 8 * i + 1, 8))")
-    rows = sets.select("id", F.explode(keys).alias("band"))
+    rows = sets.select("id", F.explode(keys).alias("band")).withColumn("h1", F.xxhash64("band"))
+    often = F.broadcast(settle(frequent(rows, hot)))  # at most ``hot`` hashes
+    crowded = rows.join(often, "h1", "left_semi")
+    ends = crowded.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last"))
     w = Window.partitionBy("band")
-    return rows.withColumn("centre", F.min("id").over(w)).withColumn("last", F.max("id").over(w)).where("centre <> last").select("band", "id", "centre")
+    dealt = rows.join(often, "h1", "left_anti").withColumn("centre", F.min("id").over(w)).withColumn("last", F.max("id").over(w))
+    columns = ["band", "id", "centre", "last"]
+    # a band or, by a chance of 2 ** -64, a few for each of the hashes
+    both = dealt.select(columns).unionByName(crowded.join(F.broadcast(ends), "band").select(columns))
+    return both.where("centre <> last").select("band", "id", "centre")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -165,32 +181,38 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, for every linked id.
 
-    Union-find inside each partition shrinks the links to trees; smallest labels
+    Union-find inside each partition shrinks the links to trees, of about ``NODES`` ids at a time; smallest labels
     then travel along links and jump through their own label until none changes.
     """
 
-    def forest(batches):
-        parent: dict[int, int] = {}
+    def trees_of(parent):
+        nodes = list(parent)
+        roots = [find(parent, x) for x in nodes]
+        pairs = [(x, r) for x, r in zip(nodes, roots) if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.setdefault(root, root)) != root:
-                root = up
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    def find(parent: dict[int, int], x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
 
+    def forest(batches):
+        parent: dict[int, int] = {}
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p, q = find(x), find(y)
+                p, q = find(parent, x), find(parent, y)
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-        nodes = list(parent)
-        roots = [find(x) for x in nodes]
-        pairs = [(x, r) for x, r in zip(nodes, roots) if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            if len(parent) > NODES:
+                yield trees_of(parent)
+                parent = {}
+        yield trees_of(parent)
 
-    trees = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("b").mapInArrow(freed(forest), "a long, b long").distinct())
+    # rebalanced, so that an id with very many links is split over tasks
+    trees = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").hint("rebalance", F.col("b")).mapInArrow(freed(forest), "a long, b long").distinct())
     both = trees.unionByName(trees.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
@@ -207,17 +229,17 @@ def components(links: DataFrame) -> DataFrame:
 def remaining_links(buckets: DataFrame, labels: DataFrame, slots8: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (centre, id) between members of one bucket that are in different components so far.
 
-    Buckets are cut into blocks of ``BLOCK`` members and compared block by block,
+    Buckets are cut into blocks of about ``BLOCK`` members and compared block by block,
     each member with its full shingle set. Of the pairs that an upper bound of their
     intersection doesn't rule out, those likeliest by the 8-bit slots are verified
     first; once a pair links two components, no other pair of the two needs a look,
     so a cell gives fewer links than members.
     """
     marked = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    w = Window.partitionBy("band")
-    open_ = marked.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi")
-    open_ = open_.withColumn("n", F.count("*").over(w)).where("n > 2").withColumn("block", ((F.row_number().over(w.orderBy("id")) - 1) / BLOCK).cast("int"))
-    open_ = settle(open_.select("band", "n", "block", "id", "component"))
+    # combined before the shuffle; one row a band meets its members, so the adaptive skew join can split a crowded one
+    several = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("band", "n")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    open_ = settle(marked.join(several, "band").select("band", "n", block.alias("block"), "id", "component"))
     sets = docs.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct().join(slots8, "id").hint("shuffle_hash"), "id")
 
     def with_set(batches):

@@ -533,3 +533,34 @@ def test_remaining_links_of_large_buckets(spark, monkeypatch, block):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(d).collect()}
     assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(got)
+
+
+def test_crowded_bands_and_centres(spark, monkeypatch):
+    """One band and one id in nine of ten rows: the same buckets and components, whichever way they take."""
+    crowd = b"\x07" * 8
+    sets = spark.createDataFrame([(i, (crowd if i % 10 else i.to_bytes(8, "big")) + (i // 3).to_bytes(8, "little")) for i in range(1, 2001)], "id long, bands binary")
+    by_hot = [{(bytes(r["band"]), r["id"], r["centre"]) for r in near_dup.buckets_of(sets, 2, hot).collect()} for hot in (2, 64)]
+    want = {(crowd, i, 1) for i in range(1, 2001) if i % 10}
+    pairs = defaultdict(list)
+    for i in range(1, 2001):
+        pairs[i // 3].append(i)
+    want |= {((k).to_bytes(8, "little"), i, min(v)) for k, v in pairs.items() for i in v if len(v) > 1}
+    assert by_hot == [want, want]
+    rng = random.Random(3)
+    links = [(5, i) for i in range(6, 1800)] + [(i, i + 1) for i in range(3000, 3400)] + [(rng.randrange(4000, 4300), rng.randrange(4000, 4300)) for _ in range(250)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    for nodes in (16, near_dup.NODES):
+        monkeypatch.setattr(near_dup, "NODES", nodes)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        got = {r["id"]: r["component"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert {x: got.get(x, x) for x in linked} == {x: find(x) for x in linked}
