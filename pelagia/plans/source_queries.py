@@ -13,6 +13,7 @@ from pelagia.sources import surveys
 from pelagia.sources.sheet_blocks import read_blocks
 from pelagia.sources.sheets import replace_sheet, write_sheets
 from pelagia.sources.xlsx import read_xlsx, write_bytes, write_xlsx
+from pelagia.streaming import keep_totals, read_totals, transect_totals
 
 
 def folder(spark) -> str:
@@ -228,3 +229,15 @@ def sheet_blocks(spark, d):
         rows = read_blocks(spark, path, "o_custkey double, o_orderpriority string", name)
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {R.INTERVALS} SELECT transect_num, round(sum(nasc), 4) AS nasc, count(*) AS intervals, min(distance_s) AS distance_s, max(distance_e) AS distance_e FROM intervals GROUP BY 1""")
+def streamed_totals(spark, d):
+    """The intervals arrive as files, one a batch; the totals of the last batch are those of all."""
+    at = folder(spark)
+    rows = R.intervals(spark, d).select("transect_num", "nasc", "distance_s", "distance_e")
+    rows.repartition(4).write.parquet(f"{at}/in")  # several files, so several batches
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    run = keep_totals(transect_totals(stream), f"{at}/out", f"{at}/state")
+    run.awaitTermination()
+    return read_totals(spark, f"{at}/out").withColumn("nasc", F.round("nasc", 4))

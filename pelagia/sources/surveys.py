@@ -169,7 +169,7 @@ def merge_exports(spark: SparkSession, folder: str, pattern: str = r"T(\d+)", de
     globs = {k: f"*({k}).csv" for k in EXPORT_FAMILIES}
     files = cleaning.valid_filesets(map_transect_num(spark, folder, globs, pattern), EXPORT_FAMILIES)
     good = files.select("transect_num").distinct()
-    read = lambda kind: read_export(spark, folder, pattern, (schemas or {}).get(kind), impute, "interval" if kind == "intervals" else None, pathGlobFilter=globs[kind]).drop("filename").join(F.broadcast(good), "transect_num", "left_semi")  # noqa: E731, one row per transect
+    read = lambda kind: read_export(spark, folder, pattern, (schemas or {}).get(kind), impute, "interval" if kind == "intervals" else None, pathGlobFilter=globs[kind]).drop("filename").join(good, "transect_num", "left_semi")
     intervals = cleaning.transect_spacing(read("intervals"), default_spacing, latitude_threshold)
     cells = read("cells")
     there = [c for c in ("region_name", "region_class") if c in cells.columns]

@@ -24,10 +24,37 @@ def transect_totals(stream: DataFrame, value: str = "nasc") -> DataFrame:
     return stream.groupBy("transect_num").agg(F.sum(value).alias(value), F.count("*").alias("intervals"), F.min("distance_s").alias("distance_s"), F.max("distance_e").alias("distance_e"))
 
 
-def keep_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the totals after each batch as one Parquet table, for all files there are; ends when they are read."""
+def keep_totals(totals: DataFrame, path: str, checkpoint: str, kept: int = 2) -> StreamingQuery:
+    """Write the totals after each batch as a Parquet table of its own below ``path``; ends when all files there are are read.
+
+    A reader has the newest whole table (``read_totals``), also while the next is
+    written or after a failure in between. The last ``kept`` tables stay. A batch
+    that is run again writes the same folder again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in sorted(whole_batches(batch.sparkSession, path))[:-kept]:
+            folder = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(path, f"batch={old}")
+            file_system(batch.sparkSession, folder).delete(folder, True)
 
     return totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def whole_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches below ``path`` whose tables are complete."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "batch=*/_SUCCESS")
+    found = file_system(spark, done).globStatus(done) or []
+    return [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete totals below ``path``; FileNotFoundError before there are any."""
+    numbers = whole_batches(spark, path)
+    if not numbers:
+        raise FileNotFoundError(f"no complete totals in '{path}'")
+    return spark.read.parquet(f"{path}/batch={max(numbers)}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pelagia.geostatistics import cropping
 from pelagia.geostatistics.variogram import Parameter
 from pelagia.sources.xlsx import write_bytes
-from pelagia.streaming import export_stream, keep_totals, transect_totals
+from pelagia.streaming import export_stream, keep_totals, read_totals, transect_totals, whole_batches
 from pelagia.workflow import Survey, SurveyConfig
 
 
@@ -92,7 +92,16 @@ def test_exports_as_a_stream(spark, tmp_path):
         write_bytes(spark, f"{folder}/T{t}_x.csv", ("Interval, VL_start, VL_end, PRC_NASC\n" + "".join(line(t, k) for k in range(3))).encode())
     stream = lambda: keep_totals(transect_totals(export_stream(spark, folder, "Interval int, VL_start double, VL_end double, PRC_NASC double")), out, f"{tmp_path}/state")
     stream().awaitTermination(120)
-    assert {r["transect_num"]: (r["nasc"], r["intervals"], r["distance_e"]) for r in spark.read.parquet(out).collect()} == {1.0: (7.5, 3, 13.0), 2.0: (10.5, 3, 23.0)}
+    assert {r["transect_num"]: (r["nasc"], r["intervals"], r["distance_e"]) for r in read_totals(spark, out).collect()} == {1.0: (7.5, 3, 13.0), 2.0: (10.5, 3, 23.0)}
     write_bytes(spark, f"{folder}/T2_y.csv", b"Interval, VL_start, VL_end, PRC_NASC\n9, 40, 41, 1.0\n")
     stream().awaitTermination(120)
-    assert {r["transect_num"]: (r["nasc"], r["intervals"], r["distance_e"]) for r in spark.read.parquet(out).collect()} == {1.0: (7.5, 3, 13.0), 2.0: (11.5, 4, 41.0)}
+    assert {r["transect_num"]: (r["nasc"], r["intervals"], r["distance_e"]) for r in read_totals(spark, out).collect()} == {1.0: (7.5, 3, 13.0), 2.0: (11.5, 4, 41.0)}
+    # a third table takes the first one's place; one that isn't complete isn't read
+    write_bytes(spark, f"{folder}/T1_y.csv", b"Interval, VL_start, VL_end, PRC_NASC\n9, 50, 51, 2.0\n")
+    stream().awaitTermination(120)
+    numbers = whole_batches(spark, out)
+    assert len(numbers) == 2
+    write_bytes(spark, f"{out}/batch={max(numbers) + 1}/part-0.parquet", b"PAR1")
+    assert {r["transect_num"]: r["nasc"] for r in read_totals(spark, out).collect()} == {1.0: 9.5, 2.0: 11.5}
+    with pytest.raises(FileNotFoundError):
+        read_totals(spark, f"{tmp_path}/nothing")
