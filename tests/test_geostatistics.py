@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pelagia.geostatistics import cropping, kriging, models, projection, regions, variogram
 from pelagia.plans.geo_queries import BASE
+from pelagia.plans.registry import QUERIES
 
 MODEL = {"model": ["bessel", "exponential"], "sill": 0.9, "nugget": 0.1, "correlation_range": 2.5, "decay_power": 1.3, "hole_effect_range": 0.2}
 
@@ -241,3 +242,42 @@ def test_utm_known_point(spark):
     lat = np.radians(np.linspace(0, 49, 200_001))
     arc = np.trapezoid(6378137.0 * (1 - e2) / (1 - e2 * np.sin(lat) ** 2) ** 1.5, lat)
     assert got[0]["y"] == pytest.approx(0.9996 * arc, abs=1e-3)
+
+
+@pytest.mark.parametrize("part", [3, 2000])
+def test_compat_pairs_of_shared_places(spark, part):
+    """Many rows at few places: running sums, in one chunk a place and in several, against all pairs."""
+    rng = np.random.default_rng(8)
+    n = 400
+    x, y, z = rng.integers(0, 6, n).astype(float), rng.integers(0, 4, n).astype(float), rng.gamma(2, 50, n)
+    ranked = spark.createDataFrame([(a, b, c, k) for k, (a, b, c) in enumerate(zip(x.tolist(), y.tolist(), z.tolist()))], "x double, y double, z double, r long")
+    rows = variogram.compat_pairs(ranked, n, 5, 1.0, variogram.azimuth(F.col("dx"), F.col("dy")) >= 0, part)
+    got = {(r["lag"], r["ok"]): r for r in rows.groupBy("lag", "ok").agg(*[F.sum(c).alias(c) for c in variogram.SUMS]).collect()}
+    dx, dy = (np.subtract.outer(v, v) for v in (x, y))
+    i, j = np.indices((n, n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ok = np.nan_to_num(np.degrees(np.arctan(dy / dx)), nan=0.0) >= 0
+    lag = np.rint(np.hypot(dx, dy)).astype(int) + 1
+    for key, r in got.items():
+        m = (i + j <= n - 2) & (lag == key[0]) & (ok == key[1])
+        a, b = z[i[m]], z[j[m]]
+        assert [r[c] for c in variogram.SUMS] == pytest.approx([m.sum(), a.sum(), (a * a).sum(), b.sum(), (b * b).sum(), ((a - b) ** 2).sum()], rel=1e-9)
+    assert sum(r["w"] for r in got.values()) == ((i + j <= n - 2) & (lag < 5)).sum()
+
+
+@pytest.mark.parametrize("name", ["empirical_variogram", "empirical_variogram_compat", "empirical_variogram_azimuth"])
+def test_variogram_queries_pair_the_whole_lattice(spark, name):
+    """The queries' counts are those of all near pairs on the lattice of 50 by 37 places."""
+    d = "/root/testdata/sf0.001"
+    p = spark.read.parquet(f"{d}/part.parquet").orderBy("p_partkey").toPandas()
+    x, y, n = p["p_size"].to_numpy(float), (p["p_partkey"] % 37).to_numpy(float), len(p)
+    dx, dy = (np.subtract.outer(v, v) for v in (x, y))
+    i, j = np.indices((n, n))
+    pairs = i != j if name == "empirical_variogram" else i + j <= n - 2
+    if name.endswith("azimuth"):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            az = np.where(dx == 0, 90 * np.sign(dy), np.degrees(np.arctan(dy / dx)))
+        pairs &= (az >= -40) & (az < 40)
+    lag = np.rint(np.hypot(dx, dy)).astype(int) + 1
+    got = {r["lag"]: r["count"] for r in QUERIES[name](spark, d).collect() if r["lag"]}
+    assert got == {k: int((pairs & (lag == k)).sum()) for k in range(1, 5)}
