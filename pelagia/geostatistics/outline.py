@@ -94,7 +94,8 @@ def outline(polygons: DataFrame, key: str, corners: str = "corners", by: Sequenc
         meet &= F.col(f"a.{n}") == F.col(f"b.{n}")
     for c in "xy":  # of the tiles that both lie in, the first forms the pair
         meet &= F.col(f"a.t{c}") == F.floor(F.greatest(f"a.{c}_lo", f"b.{c}_lo") / tile)
-    pairs = a.join(b, meet).select(*[F.col(f"a.{n}") for n in names], F.col("a.key").alias("key"), "a.no", "a.edge", F.inline(covered(F.col("a.edge"), F.col("b.sides"), F.col("b.key") < F.col("a.key"))).alias("lo", "hi"))
+    # the size of arrays of sides is not in an estimate, so this side must not be broadcast on one
+    pairs = a.join(b.hint("merge"), meet).select(*[F.col(f"a.{n}") for n in names], F.col("a.key").alias("key"), "a.no", "a.edge", F.inline(covered(F.col("a.edge"), F.col("b.sides"), F.col("b.key") < F.col("a.key"))).alias("lo", "hi"))
     columns = [*names, "key", "no", "edge"]
     # an end that every edge has, behind which nothing is open
     whole = pairs.unionByName(edges.select(*columns, F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi")))

@@ -85,3 +85,10 @@ def test_survey_outline(spark):
     assert max(area(np.array([(p["x"], p["y"]) for p in r["corners"]])) for r in extents) < m["area"] <= area(whole) + 1e-9
     ends = pieces.select("x0", "y0").union(pieces.select("x1", "y1")).groupBy("x0", "y0").count()
     assert ends.where(F.col("count") % 2 == 1).count() <= ends.count() / 2  # most ends meet to the last bit
+
+
+def test_polygons_are_not_broadcast(spark):
+    """Arrays of sides are larger than any estimate of them, so no side of the join goes through the driver."""
+    at = "array(named_struct('x', 0.0D + id, 'y', 0.0D), named_struct('x', 2.0D + id, 'y', 0.0D), named_struct('x', 1.0D + id, 'y', 2.0D))"
+    plan = outline.outline(spark.range(5).selectExpr("id", f"{at} AS corners"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
