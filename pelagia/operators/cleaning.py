@@ -255,9 +255,38 @@ def filter_intervals(df: DataFrame, listed: DataFrame | str, condition: str | No
     listed = listed_ranges(listed)
     listed = listed.where(condition) if condition else listed
     free = df.join(listed.select("transect_num").distinct(), "transect_num", "left_anti")
-    t = listed.select(F.col("transect_num").alias("_t"), "log_start", "log_end")
-    held = df.join(t, (F.col("transect_num") == F.col("_t")) & (F.col("distance_e") >= F.col("log_start")) & (F.col("distance_s") <= F.col("log_end")), "left_semi")
-    return free.unionByName(held)
+    return free.unionByName(overlapping(df, listed))
+
+
+#: Stretches of the distance by which a transect's intervals and ranges are dealt.
+STRETCHES = 64
+
+
+def overlapping(df: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose interval overlaps one of its transect's ranges, ends included.
+
+    One does if, of the ranges that begin by the interval's end, the farthest end lies
+    at or behind its start: a running maximum along the distance, within stretches of
+    it, which start with what the stretches before them reach. So no pair of an
+    interval and a range is formed.
+    """
+    rows = df.where(F.col("transect_num").isNotNull() & F.col("distance_s").isNotNull() & F.col("distance_e").isNotNull())
+    spots = rows.select(F.col("transect_num").alias("_t"), F.col("distance_e").cast("double").alias("_at"), F.col("distance_s").cast("double").alias("_s"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    given = listed.select(F.col("transect_num").alias("_listed"), F.col("log_start").cast("double").alias("_at"), F.col("log_end").cast("double").alias("_end")).where("_at IS NOT NULL AND _end IS NOT NULL")
+    own = rows.select(F.col("transect_num").alias("_t")).distinct()
+    ranges = given.join(own, F.col("_listed") == F.col("_t")).select("_t", "_at", "_end")
+    s = spots.select("_at").unionByName(given.select("_at")).agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    lo, width = s["lo"] or 0.0, ((s["hi"] or 0.0) - (s["lo"] or 0.0)) / STRETCHES or 1.0
+    stretch = F.floor((F.col("_at") - lo) / width).alias("_b")
+    ranges = ranges.select("*", stretch)
+    ends = ranges.groupBy("_t", "_b").agg(F.max("_end").alias("_end"))
+    every = ends.select("_t").distinct().withColumn("_b", F.explode(F.expr(f"sequence(0L, {STRETCHES}L)"))).join(ends, ["_t", "_b"], "left")
+    before = every.select("_t", "_b", F.max("_end").over(Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_end")).where("_end IS NOT NULL")
+    # what the stretches before reach stands ahead of all, ranges ahead of intervals that end where they begin
+    starts = before.withColumn("_at", F.lit(float("-inf"))).unionByName(ranges)
+    along = spots.select("*", stretch, F.lit(None).cast("double").alias("_end")).unionByName(starts, allowMissingColumns=True)
+    reach = F.max("_end").over(Window.partitionBy("_t", "_b").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    return along.withColumn("_reach", reach).where("_row IS NOT NULL AND _reach >= _s").select("_row.*")
 
 
 def western_extents(df: DataFrame, x: str = "longitude", y: str = "latitude", threshold: float = 51.0) -> DataFrame:

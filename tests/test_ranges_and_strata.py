@@ -34,3 +34,19 @@ def test_strata_of_two_columns(spark):
     assert got == pytest.approx({(1, "f"): per((s(20) + s(40)) / 2), (1, "m"): per(s(30)), (2, "f"): 0.0})
     with pytest.raises(ValueError, match="several columns"):
         InversionLengthTS({"ts_length_regression": TS, "stratify_by": ["ks", "sex"]})
+
+
+def test_overlaps_by_brute_force(spark):
+    """Overlapping, nested, touching and repeated ranges; no join of intervals with ranges in the plan."""
+    import random
+
+    from pelagia.operators import cleaning
+
+    rng = random.Random(4)
+    rows = [(k, k % 5, a := rng.randrange(0, 300), a + rng.randrange(0, 4)) for k in range(400)] + [(900, None, 1, 2), (901, 2, None, 2)]
+    listed = [(float(t), a := rng.randrange(0, 300), a + rng.choice([-2, 0, 1, 3, 40])) for t in (0, 1, 2, 7) for _ in range(12)] + [(3.5, 0, 300), (2.0, None, 5), (1.0, 10, 12), (1.0, 10, 12)]
+    df = spark.createDataFrame(rows, "interval int, transect_num int, distance_s int, distance_e int")
+    out = cleaning.overlapping(df, spark.createDataFrame(listed, "transect_num double, log_start int, log_end int"))
+    want = [k for k, t, s, e in rows if None not in (t, s, e) and any(u == t and a is not None and e >= a and s <= b for u, a, b in listed)]
+    assert sorted(r["interval"] for r in out.collect()) == want and 20 < len(want) < 380
+    assert "log_end" not in "".join(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line) and out.columns == df.columns
