@@ -100,14 +100,19 @@ def interpolators(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFra
 
 def at_curve(x: str, curve: str = "curve") -> Column:
     """Value of a sorted curve at x, straight between points and level outside them."""
-    low = f"element_at(filter({curve}, p -> p.x <= {x}), -1)"
-    high = f"get(filter({curve}, p -> p.x > {x}), 0)"
+    # the last point at or before x, by halving steps
+    last = f"aggregate(reverse(sequence(0, cast(log2(size({curve})) AS int))), 0, (k, b) -> k + if(get({curve}, k + shiftleft(1, b)).x <= {x}, shiftleft(1, b), 0))"
+    between = f"transform(array({last}), k -> {curve}[k].y + ({x} - {curve}[k].x) * ({curve}[k + 1].y - {curve}[k].y) / ({curve}[k + 1].x - {curve}[k].x))[0]"
     return F.expr(
-        f"CASE WHEN {x} IS NULL OR {curve} IS NULL THEN NULL WHEN {x} <= {curve}[0].x THEN {curve}[0].y WHEN {x} >= element_at({curve}, -1).x THEN element_at({curve}, -1).y "
-        f"ELSE {low}.y + ({x} - {low}.x) * ({high}.y - {low}.y) / ({high}.x - {low}.x) END"
+        f"CASE WHEN {x} IS NULL OR {curve} IS NULL THEN NULL WHEN {x} <= {curve}[0].x THEN {curve}[0].y WHEN {x} >= element_at({curve}, -1).x THEN element_at({curve}, -1).y ELSE {between} END"
     )
 
 
+def combined(df: DataFrame, keys: Sequence[str], length: str = "length", count: str = "length_count") -> DataFrame:
+    """Rows of equal keys and length as one with the sum of their counts, for weights that are only summed up later."""
+    return df.groupBy(*keys, length).agg(F.sum(count).alias(count))
+
+
 def interpolated_weight(df: DataFrame, curves: DataFrame, keys: Sequence[str], length: str = "length", count: str = "length_count") -> DataFrame:
     """Add ``weight``: the curve's weight at the row's length times its count."""
     rows = df.join(curves, list(keys), "left") if keys else df.join(curves.limit(1), F.lit(True), "left")

@@ -108,9 +108,11 @@ iw AS (SELECT l.*, CASE WHEN length <= (SELECT min(x) FROM pts p WHERE p.sex = l
  / ((SELECT min(x) FROM pts p WHERE p.sex = l.sex AND x > length) - (SELECT max(x) FROM pts p WHERE p.sex = l.sex AND x <= length)) END * length_count AS weight FROM lengths l)"""
 
 
-def with_curve(spark, d):
+def with_curve(spark, d, *keys):
+    """Unaged fish with their weight, row by row or summed up by keys, sex and length."""
     curves = biology.interpolators(R.specimen(spark, d), ["sex"], "length", "weight")
-    return biology.interpolated_weight(R.lengths(spark, d), curves, ["sex"])
+    rows = R.lengths(spark, d)
+    return biology.interpolated_weight(biology.combined(rows, [*keys, "sex"]) if keys else rows, curves, ["sex"])
 
 
 @query(f"{W}, {CURVE} SELECT haul_num, sex, length, length_count, round(weight, 5) AS weight FROM iw")
@@ -120,13 +122,13 @@ def weight_interpolation(spark, d):
 
 @query(f"{W}, {CURVE} SELECT stratum, sex, {BIN} AS length_bin, round(log10(nullif(coalesce(sum(weight), 0), 0)), 7) AS weight FROM iw GROUP BY ALL")
 def binned_weights(spark, d):
-    out = biology.binned_weights(biology.binify(with_curve(spark, d), MIDS, "length"), ["stratum", "sex", "length_bin"])
+    out = biology.binned_weights(biology.binify(with_curve(spark, d, "stratum"), MIDS, "length"), ["stratum", "sex", "length_bin"])
     return out.withColumn("weight", rel("weight"))
 
 
 @query(f"{W}, {CURVE} SELECT stratum, round(log10(sum(weight)), 7) AS weight FROM iw GROUP BY stratum")
 def stratum_weights(spark, d):
-    return biology.stratum_weights(with_curve(spark, d), "stratum").withColumn("weight", rel("weight"))
+    return biology.stratum_weights(with_curve(spark, d, "stratum"), "stratum").withColumn("weight", rel("weight"))
 
 
 @query(f"{W}, {NP}, {BW}, {AW} SELECT stratum, sex, round(average_weight, 6) AS average_weight FROM aw")
@@ -174,7 +176,7 @@ WHERE = "WHERE source = 'unaged'"
 @query(f"{W}, {NP}, {BW}, {CURVE}, {WP}, {FC.format(n='fc', where=WHERE)}, lf AS (SELECT stratum, 1 - sum(proportion) AS l FROM wp GROUP BY stratum), sx AS (SELECT stratum, sex, sum(weight) AS w FROM iw GROUP BY ALL), st AS (SELECT stratum, sum(w) AS tw FROM sx GROUP BY stratum) SELECT stratum, sx.sex, length_bin, round(l * v / t * w / tw, 9) AS proportion FROM fc JOIN fct USING (stratum) JOIN sx USING (stratum) JOIN st USING (stratum) JOIN lf USING (stratum)")
 def fitted_weight_props(spark, d):
     numbers = proportions(spark, d).where(F.col("source") == "unaged")
-    return rounded(biology.fitted_proportions(with_curve(spark, d), aged_weights(spark, d), numbers, fitted(spark, d).where("sex = 'all'").drop("sex"), "stratum"), "proportion", places=9)
+    return rounded(biology.fitted_proportions(with_curve(spark, d, "stratum"), aged_weights(spark, d), numbers, fitted(spark, d).where("sex = 'all'").drop("sex"), "stratum"), "proportion", places=9)
 
 
 SIG = "pow(10, (20 * log10(length_bin) - 68) / 10)"

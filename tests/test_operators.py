@@ -50,3 +50,24 @@ def test_bootstrap_samples_without_replacement(spark):
     assert len(rows) == 5 * 2 * 6 and len({(r["replicate"], r["stratum"], r["transect_num"]) for r in rows}) == 60
     again = uncertainty.bootstrap(t.repartition(7), s, "stratum", 5, 3).collect()
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
+
+
+def test_curve_by_halving_and_summed_counts(spark):
+    """Interpolation at, between and beyond points of short and long curves; sums after combining equal lengths are the rows' sums."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from pelagia.operators import biology
+
+    for n in (2, 3, 7, 64, 65):
+        x = np.cumsum(np.random.default_rng(n).integers(1, 4, n)).astype(float)
+        y = np.random.default_rng(n + 1).gamma(2, 3, n)
+        points = spark.createDataFrame([("a", float(p), float(q)) for p, q in zip(x, y)], "sex string, length double, weight double")
+        at = [float(v) for v in np.arange(x[0] - 1, x[-1] + 1.25, 0.25)]
+        rows = spark.createDataFrame([("s" if k % 3 else "t", "a", v, 1 + k % 2) for k, v in enumerate(at * 2)], "stratum string, sex string, length double, length_count long")
+        curves = biology.interpolators(points, ["sex"], "length", "weight")
+        each = biology.interpolated_weight(rows, curves, ["sex"])
+        assert [r["w"] for r in each.distinct().orderBy("length", "length_count").select("length", (F.col("weight") / F.col("length_count")).alias("w")).distinct().orderBy("length").collect()] == pytest.approx(np.interp(at, x, y).tolist())
+        few = biology.combined(rows, ["stratum", "sex"])
+        sums = [{r["stratum"]: r["weight"] for r in biology.stratum_weights(df, "stratum").collect()} for df in (each, biology.interpolated_weight(few, curves, ["sex"]))]
+        assert few.count() < rows.count() and sums[0] == pytest.approx(sums[1])
