@@ -1,7 +1,8 @@
 """Nearest neighbours by a packed tree of boxes.
 
-Points are sorted into slabs by x and cut into leaves of equal counts by y, so that a
-dense place has many small leaves and a sparse one few wide ones; leaves are packed
+Points are sorted into slabs along the longer side of their middle nine tenths and cut
+into leaves of equal counts along the other, as many slabs as make leaves about as wide
+as tall, so that a dense place has many small leaves and a sparse one few wide ones; leaves are packed
 into nodes in the same way, up to at most FANOUT at the top. A query goes down from
 there: in each node's box are at least its count of points, and each side of a tight
 box has one, which bounds the distance of the kth neighbour from above; children whose
@@ -48,11 +49,15 @@ class Tree:
 
 
 def packed(rows: DataFrame, n: int, size: int, tie: str) -> DataFrame:
-    """Rows with ``id``, the same for ``size`` neighbouring rows: slabs of equal counts by x, cut by y."""
-    slabs = max(1, round((n / size) ** 0.5))
-    tall = -(-n // (slabs * size)) * size  # rows of a slab, a multiple of size
-    ranked = global_rank(rows, "x", "_r", "y", tie).withColumn("_slab", F.expr(f"_r div {tall}"))
-    place = F.row_number().over(Window.partitionBy("_slab").orderBy("y", "x", tie)) - 1  # about sqrt(n x size) rows
+    """Rows with ``id``, the same for ``size`` neighbouring rows: slabs of equal counts along the longer side, cut along the other."""
+    sides = rows.approxQuantile(["x", "y"], [0.05, 0.95], 0.01)
+    wide, tall = (q[1] - q[0] for q in sides)
+    along, across = ("y", "x") if tall > wide else ("x", "y")
+    least = max(min(wide, tall), 1e-12 * max(wide, tall), 1e-300)
+    slabs = max(1, min(-(-n // size), round((n / size * max(wide, tall, least) / least) ** 0.5)))
+    deep = -(-n // (slabs * size)) * size  # rows of a slab, a multiple of size
+    ranked = global_rank(rows, along, "_r", across, tie).withColumn("_slab", F.expr(f"_r div {deep}"))
+    place = F.row_number().over(Window.partitionBy("_slab").orderBy(across, along, tie)) - 1  # about sqrt(n x size) rows or fewer
     return ranked.withColumn("id", F.col("_slab") * (1 << 32) + F.floor(place / size)).drop("_r", "_slab")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.geostatistics import cropping, kriging, models, projection, regions, variogram
+from pelagia.geostatistics import cropping, kriging, models, projection, regions, tree, variogram
 from pelagia.plans.geo_queries import BASE
 from pelagia.plans.registry import QUERIES
 
@@ -281,3 +281,15 @@ def test_variogram_queries_pair_the_whole_lattice(spark, name):
     lag = np.rint(np.hypot(dx, dy)).astype(int) + 1
     got = {r["lag"]: r["count"] for r in QUERIES[name](spark, d).collect() if r["lag"]}
     assert got == {k: int((pairs & (lag == k)).sum()) for k in range(1, 5)}
+
+
+def test_leaves_of_a_strip_are_compact(spark):
+    """A strip of 50 columns, 37 points a unit of its length: leaves are about as wide as tall, either way round."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    rows = [(float(a), k / 37, 0.0, k) for k, a in enumerate(rng.integers(1, 51, n).tolist())]
+    for names in ("x double, y double, z double, number long", "y double, x double, z double, number long"):
+        strip = spark.createDataFrame(rows, names).select("x", "y", "z", "number")
+        boxed = tree.packed(strip, n, 32, "number").groupBy("id").agg(F.count("*").alias("n"), *tree.boxes())
+        s = boxed.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.avg(F.col("x1") - F.col("x0")).alias("w"), F.avg(F.col("y1") - F.col("y0")).alias("h")).first()
+        assert s["n"] == n and s["most"] == 32 and s["w"] < 15 and s["h"] < 15, names
