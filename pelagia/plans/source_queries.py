@@ -116,10 +116,7 @@ def workbook_sheets(spark, d):
     names = write_sheets(spark, path, {"customers": c, "notes": R.table(spark, d, "region")}, most=1000, part=500)
     replace_sheet(spark, path, "notes", R.table(spark, d, "nation").select(F.lit(-1).alias("c_custkey"), F.col("n_name").alias("c_name"), F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("c_acctbal")))
     schema = "c_custkey double, c_name string, c_nationkey double, c_acctbal double"
-    out = read_xlsx(spark, path, names[0], schema)
-    for name in names[1:]:
-        out = out.unionByName(read_xlsx(spark, path, name, schema))
-    return out
+    return read_blocks(spark, path, schema, names)
 
 
 def write_exports(spark, d) -> str:
@@ -222,12 +219,10 @@ def complete_intervals(spark, d):
 
 @query("SELECT CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY o_custkey, o_orderpriority")
 def sheet_blocks(spark, d):
-    """All orders written as sheets; two of their columns read back by many tasks a sheet."""
+    """All orders written as sheets; two of their columns read back by many tasks, all sheets in one scan."""
     path = f"{folder(spark)}/orders.xlsx"
-    out = None
-    for name in write_sheets(spark, path, {"orders": R.table(spark, d, "orders")}):
-        rows = read_blocks(spark, path, "o_custkey double, o_orderpriority string", name)
-        out = rows if out is None else out.unionByName(rows)
+    names = write_sheets(spark, path, {"orders": R.table(spark, d, "orders")})
+    out = read_blocks(spark, path, "o_custkey double, o_orderpriority string", names)
     return out.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
 
 

@@ -15,7 +15,6 @@ as CDATA sections, as all known programs write them.
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -25,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.session import prepare
-from pelagia.sources.xlsx import ARROW, EPOCH, EPOCH_1904, MAIN, _column, _named, cast, layout, row_of, shared_strings
+from pelagia.session import small_batches
+from pelagia.sources.xlsx import ARROW, EPOCH, EPOCH_1904, MAIN, _column, _named, cast, layouts, row_of, shared_strings
 
 #: Bytes of XML in a block, about; a longer row is a block of its own.
 BLOCK = 1 << 20
@@ -61,43 +60,51 @@ def wrapped(head: bytes, xml: bytes):
     return ElementTree.fromstring(head + xml + b"</" + name + b">").iter(f"{MAIN}row")
 
 
-def cut(file: str, book: bytes, sheet: str | int, wanted: Sequence[str], header: bool, block: int) -> Iterator[dict]:
+def cut(file: str, z: zipfile.ZipFile, found_at: tuple, shared: Sequence[str], wanted: Sequence[str], header: bool, block: int) -> Iterator[dict]:
     """The blocks of a sheet of a workbook; ``at`` is the number of the last row before a block."""
-    with zipfile.ZipFile(io.BytesIO(book)) as z:
-        path, styles, epoch = layout(z, sheet)
-        shared, at, places, names, head = shared_strings(z), 0, None, None, b""
-        with z.open(path) as f:
-            for no, xml in enumerate(pieces(f, block)):
-                if not head:
-                    root = ROOT.search(xml)
-                    head, xml = root[0], xml[ROW_START.search(xml).start() :]
-                if places is None:
-                    first = next(wrapped(head, xml[: ROW_END.search(xml).end()]))
-                    found = _named(row_of(first, shared, styles, epoch)) if header else None
-                    places = [k for k, n in enumerate(found) if n in wanted] if header else [int(n[2:]) for n in wanted]
-                    names = [found[k] for k in places] if header else list(wanted)
-                refers = {}
-                if shared:
-                    for m in REFERENCE.finditer(xml):
-                        ref = CELL.search(m[1])  # a cell without its place may be a wanted one
-                        if not ref or _column(ref[1].decode()) in places:
-                            refers[int(m[2])] = shared[int(m[2])]
-                yield {"file": file, "no": no, "at": at, "head": head, "xml": xml, "places": places, "names": names, "styles": styles, "date1904": epoch == EPOCH_1904, "strings": list(refers.items())}
-                for m in ROW_START.finditer(xml):
-                    number = NUMBER.search(m[1])
-                    at = int(number[1]) if number else at + 1
-
-
-def read_blocks(spark: SparkSession, path: str | Sequence[str], schema: str, sheet: str | int = 0, header: bool = True, seq: str | None = None, block: int = BLOCK) -> DataFrame:
-    """The columns of a schema (DDL, as in ``read_xlsx``) of a sheet of one or more workbooks; ``seq`` names a column with a row's number."""
-    prepare(spark)
+    path, styles, epoch = found_at
+    at, places, names, head = 0, None, None, b""
+    with z.open(path) as f:
+        for no, xml in enumerate(pieces(f, block)):
+            if not head:
+                root = ROOT.search(xml)
+                head, xml = root[0], xml[ROW_START.search(xml).start() :]
+            if places is None:
+                first = next(wrapped(head, xml[: ROW_END.search(xml).end()]))
+                found = _named(row_of(first, shared, styles, epoch)) if header else None
+                places = [k for k, n in enumerate(found) if n in wanted] if header else [int(n[2:]) for n in wanted]
+                names = [found[k] for k in places] if header else list(wanted)
+            refers = {}
+            if shared:
+                for m in REFERENCE.finditer(xml):
+                    ref = CELL.search(m[1])  # a cell without its place may be a wanted one
+                    if not ref or _column(ref[1].decode()) in places:
+                        refers[int(m[2])] = shared[int(m[2])]
+            yield {"file": file, "no": no, "at": at, "head": head, "xml": xml, "places": places, "names": names, "styles": styles, "date1904": epoch == EPOCH_1904, "strings": list(refers.items())}
+            for m in ROW_START.finditer(xml):
+                number = NUMBER.search(m[1])
+                at = int(number[1]) if number else at + 1
+
+
+def cut_all(file: str, book: pa.Buffer, sheets: Sequence[str | int], wanted: Sequence[str], header: bool, block: int) -> Iterator[dict]:
+    """The blocks of all wanted sheets; the workbook is opened once."""
+    with zipfile.ZipFile(pa.BufferReader(book)) as z:
+        shared = shared_strings(z)
+        for k, found_at in enumerate(layouts(z, sheets)):
+            yield from cut(f"{file}#{k}", z, found_at, shared, wanted, header, block)
+
+
+def read_blocks(spark: SparkSession, path: str | Sequence[str], schema: str, sheet: str | int | Sequence[str | int] = 0, header: bool = True, seq: str | None = None, block: int = BLOCK) -> DataFrame:
+    """The columns of a schema (DDL, as in ``read_xlsx``) of one or more sheets of one or more workbooks; ``seq`` names a column with a row's number."""
+    small_batches(spark)  # a block is a row
+    sheets = [sheet] if isinstance(sheet, (str, int)) else list(sheet)
     types = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
     books = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "content")
 
     def to_blocks(batches):
         for b in batches:
             for file, book in zip(b.column(0).to_pylist(), b.column(1)):
-                for row in cut(file, book.as_py(), sheet, list(types), header, block):
+                for row in cut_all(file, book.as_buffer(), sheets, list(types), header, block):
                     yield pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
     def parse(batches):

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pelagia.sources.sheet_blocks import pieces, read_blocks
+from pelagia.sources.sheets import write_sheets
 from pelagia.sources.xlsx import MAIN, PACKAGE, RELATION, read_xlsx, workbook, write_bytes
 
 KINDS = "n double, word string, at timestamp_ntz, ok boolean"
@@ -62,3 +63,13 @@ def test_empty_sheet(spark, tmp_path):
     path = saved(spark, tmp_path, workbook({"none": [], "head": [["n", "word"]]}))
     assert read_blocks(spark, path, "n double, word string", "none").count() == 0
     assert read_blocks(spark, path, "n double, word string", "head").count() == 0
+
+
+def test_many_sheets_in_one_scan(spark, tmp_path):
+    """Sheets named together are read by one scan of the file, in batches of bounded bytes."""
+    path = f"file://{tmp_path}/many.xlsx"
+    names = write_sheets(spark, path, {"rows": spark.range(95).selectExpr("id AS k", "concat('t', id) AS t")}, most=11, part=5)
+    rows = read_blocks(spark, path, "k double, t string", names, block=200)
+    assert len(names) > 8 and sorted((r["k"], r["t"]) for r in rows.collect()) == [(float(k), f"t{k}") for k in range(95)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
