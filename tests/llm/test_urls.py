@@ -84,6 +84,21 @@ def test_verdicts_by_brute_force(spark):
     assert asked > 100 and len(held) > 50
 
 
+def test_models_learn_from_every_decided_url(spark):
+    rng = random.Random(6)
+    long = ["https://w.org/es/" + "".join(rng.choice("xyz") for _ in range(3000)) for _ in range(8)]
+    pages = list(enumerate([*made(rng, 7000), *long, "https://else.io/xyzzyx"]))
+    df = spark.createDataFrame(pages, SCHEMA)
+    got = {r["page_id"]: r for r in urls.filter_urls(df).collect()}
+    folds = {r[0]: r[1] for r in df.select("page_id", F.pmod(F.xxhash64("url"), F.lit(4))).collect()}
+    decided = {k for k, _ in pages if got[k]["rule"]}
+    assert len(decided) > 4500
+    model = Model([(digits_folded(u), got[k]["verdict"] == "allow") for k, u in pages if k in decided and folds[k] != 3])
+    for k, u in pages:
+        if k not in decided:
+            assert abs(got[k]["difference"] - model.difference(digits_folded(u))) < 1e-9, u
+
+
 def halves_up(x):
     """Halves away from zero, as Spark rounds."""
     return math.copysign(math.floor(abs(x) * 100 + 0.5) / 100, x)
