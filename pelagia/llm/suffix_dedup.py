@@ -5,7 +5,7 @@ of ``GRAM`` bytes in it; equal strings have equal anchors. So suffixes need
 sorting only among those with the same anchor gram, and only where the gram
 stands in several documents. The plan:
 
-1. whole texts are dealt into blocks of about ``BLOCK`` bytes by a hash, in one
+1. whole texts are dealt into blocks of ``BLOCK`` bytes or more by a hash, in one
    exchange that steps 2, 3 and 5 read;
 2. a block sends each gram number of its anchors once, sorted, to the gram's
    bucket; the bucket answers every block with a bit per gram, in the same
@@ -56,6 +56,9 @@ SPARE_BITS = 18
 BUCKETS = 256
 #: Bytes of text to one bucket of gram numbers and of stretches, about: a reducer holds one bucket.
 GRAM_BUCKET, STRETCH_BUCKET = 16 << 20, 2 << 20
+#: Bytes of text in all up to which blocks and buckets have these sizes. Beyond, both grow with the root of all
+#: bytes, so that the records from blocks to buckets grow as the text, not as its square; so many times at most.
+EVEN, MOST = 1 << 30, 8.0
 #: Bytes that are sorted before the tries: strings that were brought together share a gram's bytes anyway.
 SHALLOW = 48
 #: Blocks from which on a gram's strings are dealt one by one: below, all its stretches fit into a reducer.
@@ -90,9 +93,10 @@ class Numbers:
 
     def __init__(self, partitions: int, size: int):
         self.total = min(64, bits_for(size // 8 + 2) + SPARE_BITS)
-        self.gram_bucket = min(self.total, bits_for(max(BUCKETS, partitions, size // GRAM_BUCKET)))
-        self.stretch_bucket = min(self.total, bits_for(max(BUCKETS, partitions, size // STRETCH_BUCKET)))
-        self.blocks = max(partitions, -(-size // BLOCK))
+        wide = min(MOST, max(1.0, size / EVEN) ** 0.5)
+        self.gram_bucket = min(self.total, bits_for(max(BUCKETS, partitions, int(size / (GRAM_BUCKET * wide)))))
+        self.stretch_bucket = min(self.total, bits_for(max(BUCKETS, partitions, int(size / (STRETCH_BUCKET * wide)))))
+        self.blocks = max(partitions, int(-(-size // (BLOCK * wide))))
         self.many = MANY
 
     def of(self, h: np.ndarray) -> np.ndarray:
@@ -124,14 +128,14 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             best = np.minimum(best[: len(best) - (WINDOW - size)], best[WINDOW - size :])
         anchor = (best[: high - low] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         start = np.arange(low, high)
-        text = np.searchsorted(ends, start, "right")
+        among = np.arange(*np.searchsorted(ends, [low, high - 1], "right") + [0, 1])
+        text = np.repeat(among, np.diff(np.minimum(ends[among], high), prepend=low))
         inside = start + LENGTH <= ends[np.minimum(text, len(ends) - 1)]
         fresh = np.ones(high - low, bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
         first = np.flatnonzero(fresh & inside)
         # a run ends before the next fresh or outside start
-        stop = np.flatnonzero(np.append((fresh | ~inside)[1:], True))
-        last = stop[np.searchsorted(stop, first)]
+        last = np.flatnonzero(np.append((fresh | ~inside)[1:], True) & inside)
         found.append((text[first], anchor[first] + low, first + low, last + low, h[anchor[first]]))
     if not found:
         none = np.zeros(0, np.int64)

@@ -116,6 +116,22 @@ def test_repeats_brute_force(docs, rows):
     assert got == want
 
 
+def test_records_of_repeats_grow_as_the_text(spark, monkeypatch):
+    """Blocks times buckets bound the records; wider blocks give the same result."""
+    small, large = (suffix_dedup.Numbers(200, size) for size in (1 << 30, 10 << 30))
+    for bits in ("gram_bucket", "stretch_bucket"):
+        assert large.blocks << getattr(large, bits) <= 20 * (small.blocks << getattr(small, bits))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("abcde ", k=90)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, "-".join(rng.choices(parts, k=3))) for i in range(80)], "doc_id long, text string")
+    got = []
+    for even in (1 << 30, 2000):
+        monkeypatch.setattr(suffix_dedup, "EVEN", even)
+        got.append(sorted(map(tuple, suffix_dedup.removed_digest(docs).collect())))
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) > 5000
+
+
 @pytest.mark.parametrize("many", [2, 3, 1 << 30])
 def test_repeats_of_many_blocks(spark, monkeypatch, many):
     """Small blocks and common grams, whose strings are dealt one by one; repeated rows and ids; columns with any name."""
