@@ -17,6 +17,8 @@ from pelagia.inversion.scattering import EPS, frequency_interval, reflection_coe
 
 #: Rows x orientations x segments that one pass of the model holds, about.
 HELD = 60_000
+#: Least argument of the Bessel function in units of ka; below, J1(x) / x is constant.
+NIL = 1e-6
 
 
 def bent_cylinders(n: int, curvature: np.ndarray, taper_order: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -35,63 +37,72 @@ def bent_cylinders(n: int, curvature: np.ndarray, taper_order: np.ndarray) -> tu
 def pcdwba_rows(center_frequencies: np.ndarray, values: Mapping[str, np.ndarray], *, sound_speed_sw: float, frequency_interval_hz: float = 2000.0, n_integration: int = 50, n_wavelength: int = 10, orientation: Mapping | None = None, lengths: Mapping | None = None) -> np.ndarray:
     """Backscatter in dB, a row for each row of ``values`` and a column for each frequency; as ``pcdwba`` row by row.
 
-    Rows that need the same number of segments are computed together, in blocks of bounded memory.
+    Rows that differ in density alone are computed once, those of one shape that need the
+    same number of segments together, in blocks of bounded memory. A length that is no
+    number gives none.
     """
     v = {k: np.atleast_1d(np.asarray(x, float)) for k, x in values.items()}
     n = max(map(len, v.values()))
     v = {k: np.broadcast_to(x, n) for k, x in v.items()}
     angles, sizes = {"family": "gaussian", "bins": 60} | dict(orientation or {}), {"family": "gaussian", "bins": 100} | dict(lengths or {})
-    out = np.empty((n, len(center_frequencies)))
-    for c, f in enumerate(np.asarray(center_frequencies, float)):
-        keys: dict[tuple[int, float], list[int]] = {}
-        for r in range(n):
-            last = frequency_interval(float(f), float(v["length_sd_norm"][r]), float(frequency_interval_hz))[-1]
-            reach = wavenumber(last, sound_speed_sw) * v["length_mean"][r] * (1 + 3.1 * v["length_sd_norm"][r])
-            keys.setdefault((n_integration if reach < n_integration else int(np.ceil(reach * n_wavelength / (2 * np.pi))), float(v["length_sd_norm"][r])), []).append(r)
-        for (segments, sd), rows in keys.items():
-            k = wavenumber(frequency_interval(float(f), sd, float(frequency_interval_hz)), sound_speed_sw)
-            block = max(1, HELD // (angles["bins"] * segments))
-            for at in range(0, len(rows), block):
-                r = np.array(rows[at : at + block])
-                out[r, c] = _level({name: x[r] for name, x in v.items()}, k, wavenumber(f, sound_speed_sw), segments, angles, sizes)
-    return out
-
-
-def _level(v: Mapping[str, np.ndarray], k: np.ndarray, center: float, segments: int, angles: Mapping, sizes: Mapping) -> np.ndarray:
-    """One frequency of rows with the same segments: axes are row, frequency, orientation, segment."""
-    taper, place, tilt, r, dr = bent_cylinders(segments, v["radius_of_curvature_ratio"], v["taper_order"])
-    to_ka = v["length_mean"] / v["length_radius_ratio"]
-    ka = to_ka[:, None] * k
-    knots = np.linspace(-2 * ka[:, -1], 2 * ka[:, -1], 2 * segments, axis=1)
-    table = bessel_j(1, knots)
-    slope, first = np.append(np.diff(table, axis=1), np.zeros((len(ka), 1)), 1).ravel(), (np.arange(len(ka)) * 2 * segments)[:, None, None]
-    table, step = table.ravel(), (knots[:, 1] - knots[:, 0])[:, None, None]
-    theta = np.linspace(v["theta_mean"] - 3.1 * v["theta_sd"], v["theta_mean"] + 3.1 * v["theta_sd"], angles["bins"], axis=1)
-    radians = np.radians(theta)[:, :, None]
-    thin = (taper / v["h"][:, None])[:, None]  # axes from here: row, orientation, segment
-    facing = 2 * thin * np.abs(np.cos(tilt[:, None] - radians))
-    turn = v["length_radius_ratio"][:, None, None] * (r / v["h"][:, None])[:, None] * np.cos(place[:, None] - radians)
-    weight = ((v["h"] ** 2 * reflection_coefficient(v["g"], v["h"]) / 4)[:, None] * dr)[:, None] * thin**2
+    names = [k for k in v if k not in ("length_mean", "number_density")]
+    animals, place = np.unique(np.column_stack([v[k] for k in [*names, "length_mean"]]), axis=0, return_inverse=True)
+    length = animals[:, -1]
+    shapes, shape = np.unique(animals[:, :-1], axis=0, return_inverse=True)
+    order = np.argsort(shape.reshape(-1), kind="stable")
+    found = np.full((len(animals), len(center_frequencies)), np.nan)
+    for p, rows in zip(shapes, np.split(order, np.cumsum(np.bincount(shape.reshape(-1)))[:-1])):
+        p, rows = dict(zip(names, p.tolist())), rows[np.isfinite(length[rows])]
+        for c, f in enumerate(np.asarray(center_frequencies, float)):
+            k = wavenumber(frequency_interval(float(f), p["length_sd_norm"], float(frequency_interval_hz)), sound_speed_sw)
+            reach = k[-1] * length[rows] * (1 + 3.1 * p["length_sd_norm"])
+            segments = np.where(reach < n_integration, n_integration, np.ceil(reach * n_wavelength / (2 * np.pi))).astype(int)
+            for m in np.unique(segments).tolist():
+                block = max(1, HELD // (angles["bins"] * m))
+                alike = rows[segments == m]
+                for at in range(0, len(alike), block):
+                    r = alike[at : at + block]
+                    found[r, c] = _sections(p, length[r], k, wavenumber(f, sound_speed_sw), m, angles, sizes)
+    return 10 * np.log10(v["number_density"][:, None] * found[place.reshape(-1)])
+
+
+def _sections(p: Mapping[str, float], length: np.ndarray, k: np.ndarray, center: float, segments: int, angles: Mapping, sizes: Mapping) -> np.ndarray:
+    """Mean cross-section at one frequency of animals of one shape: axes are orientation x segment, row.
+
+    The knots of a row's Bessel table scale with its length, so all rows read theirs at the same places.
+    """
+    taper, place, tilt, r, dr = (x[0] for x in bent_cylinders(segments, np.array([p["radius_of_curvature_ratio"]]), np.array([p["taper_order"]])))
+    to_ka = length / p["length_radius_ratio"]
+    table = bessel_j(1, np.linspace(-1.0, 1.0, 2 * segments)[:, None] * (2 * k[-1] * to_ka))
+    theta = np.linspace(p["theta_mean"] - 3.1 * p["theta_sd"], p["theta_mean"] + 3.1 * p["theta_sd"], angles["bins"])
+    radians = np.radians(theta)[:, None]
+    thin = taper / p["h"]
+    facing = np.maximum(2 * thin * np.abs(np.cos(tilt - radians)), NIL).ravel()
+    turn = (p["length_radius_ratio"] * (r / p["h"]) * np.cos(place - radians)).ravel()[:, None]
+    weight = np.tile(p["h"] ** 2 * reflection_coefficient(p["g"], p["h"]) / 4 * dr * thin**2, len(theta)) / facing
     # frequencies are evenly spaced: the phase of the next is that of the last, turned on
-    phase, onward = np.exp(1j * ka[:, 0, None, None] * turn), np.exp(1j * (ka[:, 1] - ka[:, 0])[:, None, None] * turn) if len(k) > 1 else 1.0
-    power = np.empty((len(ka), len(k), angles["bins"]))
+    phase = np.exp(1j * (turn * (k[0] * to_ka)))
+    onward = np.exp(1j * (turn * ((k[1] - k[0]) * to_ka))) if len(k) > 1 else 1.0
+    power = np.empty((len(theta), len(k), len(length)))
+    part, more, whole = np.empty(phase.shape), np.empty(phase.shape), np.empty(phase.shape, complex)
     for j in range(len(k)):
-        arg = ka[:, j, None, None] * facing + EPS
-        spot = np.minimum(arg / step + (segments - 0.5), 2 * segments - 1)  # places in the table, whose middle is 0
-        low = np.minimum(spot.astype(np.int64), 2 * segments - 2)
-        spot -= low
-        low += first
-        part = weight * (ka[:, j, None, None] ** 2) * (table[low] + slope[low] * spot) / arg
-        form = (part * phase).sum(2) + EPS
+        spot = np.minimum(k[j] / k[-1] * facing * (2 * segments - 1) / 4 + (segments - 0.5), 2 * segments - 1)  # places in the table, whose middle is 0
+        low = np.clip(np.nan_to_num(spot).astype(np.int64), 0, 2 * segments - 2)
+        share = spot - low
+        np.take(table, low, 0, part, "clip")
+        np.take(table, low + 1, 0, more, "clip")
+        part *= ((1 - share) * weight)[:, None]
+        more *= (share * weight)[:, None]
+        part += more
+        np.multiply(part, phase, out=whole)
+        form = whole.reshape(len(theta), segments, -1).sum(1) * (k[j] * to_ka) + EPS
         power[:, j] = form.real**2 + form.imag**2
-        phase = phase * onward
-    shares = np.stack([weights_of(t, m, s, angles["family"]) for t, m, s in zip(theta, v["theta_mean"], v["theta_sd"])])
-    average = np.sqrt((power @ shares[:, :, None])[..., 0])
-    share = np.linspace(1 - 3 * v["length_sd_norm"], 1 + 3 * v["length_sd_norm"], sizes["bins"], axis=1)
-    w = share * share * np.stack([weights_of(s, 1.0, d, sizes["family"]) for s, d in zip(share, v["length_sd_norm"])])
-    at = share * (center * to_ka)[:, None]
-    f = np.stack([np.interp(np.where((a >= x[0]) & (a <= x[-1]), a, np.nan), x, y) for a, x, y in zip(at, ka, average)])
-    return 10 * np.log10(v["number_density"] * (w * f**2).sum(1) * v["length_mean"] ** 2)
+        phase *= onward
+    average = np.sqrt(np.tensordot(weights_of(theta, p["theta_mean"], p["theta_sd"], angles["family"]), power, 1))
+    share = np.linspace(1 - 3 * p["length_sd_norm"], 1 + 3 * p["length_sd_norm"], sizes["bins"])
+    w = share * share * weights_of(share, 1.0, p["length_sd_norm"], sizes["family"])
+    f = np.stack([np.interp(np.where((a >= x[0]) & (a <= x[-1]), a, np.nan), x, y) for a, x, y in zip(np.outer(center * to_ka, share), np.outer(to_ka, k), average.T)])
+    return (w * f**2).sum(1) * length**2
 
 
 #: Scattering models of whole batches, by name.
@@ -141,15 +152,18 @@ def damped_least_squares(residuals: Callable[[np.ndarray, np.ndarray], np.ndarra
     span = high - low
     x = np.clip(start, low, high)
     clean = lambda r: np.nan_to_num(r, nan=1e6, posinf=1e6, neginf=-1e6)
+    def near(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals of points and their derivatives by each unknown, in shares of the span, from one call of the model."""
+        moved = np.repeat(at[None], m + 1, 0)
+        for k in range(m):
+            moved[k + 1, :, k] += np.where(at[:, k] + step * span[k] > high[k], -1, 1) * step * span[k]
+        level = clean(residuals(moved.reshape(-1, m), np.tile(which, m + 1))).reshape(m + 1, len(which), -1)
+        return level[0], np.stack([(level[k + 1] - level[0]) / (moved[k + 1, :, k] - at[:, k])[:, None] * span[k] for k in range(m)], 2)
+
     which = np.arange(rows)
-    r, used, damping = clean(residuals(x, which)), rows, np.full(rows, 1e-2)
+    (r, slopes), used, damping = near(x, which), rows * (m + 1), np.full(rows, 1e-2)
     for _ in range(rounds):
-        now, base = x[which], r[which]
-        jacobian = np.empty((len(which), r.shape[1], m))
-        for k in range(m):
-            moved = now.copy()
-            moved[:, k] += np.where(now[:, k] + step * span[k] > high[k], -1, 1) * step * span[k]
-            jacobian[:, :, k] = (clean(residuals(moved, which)) - base) / (moved[:, k] - now[:, k])[:, None] * span[k]  # in shares of the span
+        now, base, jacobian = x[which], r[which], slopes[which]
         gradient = np.einsum("nfk,nf->nk", jacobian, base)
         square = np.einsum("nfk,nfl->nkl", jacobian, jacobian)
         held = (now <= low) & (gradient > 0) | (now >= high) & (gradient < 0)  # pushed against a bound
@@ -157,11 +171,11 @@ def damped_least_squares(residuals: Callable[[np.ndarray, np.ndarray], np.ndarra
         ridge = damping[which, None] * (np.einsum("nkk->nk", square) + 1e-12) + held
         move = -np.linalg.solve(square + ridge[:, :, None] * np.eye(m), np.where(held, 0.0, gradient)[..., None])[..., 0]
         trial = np.clip(now + move * span, low, high)
-        new = clean(residuals(trial, which))
+        new, fresh = near(trial, which)
         used += len(which) * (m + 1)
         before, after = (base**2).sum(1), (new**2).sum(1)
         better = after < before
-        x[which], r[which] = np.where(better[:, None], trial, now), np.where(better[:, None], new, base)
+        x[which], r[which], slopes[which] = np.where(better[:, None], trial, now), np.where(better[:, None], new, base), np.where(better[:, None, None], fresh, jacobian)
         damping[which] = np.where(better, damping[which] / 5, damping[which] * 5)
         small = np.abs(trial - now).max(1) <= tolerance * span.max()
         which = which[~((better & (before - after <= tolerance * (1 + before))) | (small & ~better) | (damping[which] > 1e12))]

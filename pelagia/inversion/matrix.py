@@ -1,8 +1,9 @@
 """Inversion of volume backscatter, row by row, by fitting a scattering model.
 
-A row has one measurement per frequency; its fit is independent of every other, so
-rows are dealt over the executors as they come and nothing is shuffled. Draws are
-seeded per row alike, so a row's result doesn't depend on where it runs.
+A row has one measurement per frequency; its fit is independent of every other. The
+simplex takes rows as they come. Optimisers of batches give the same result for the
+same measurements, so these are brought together and fitted once. Draws are seeded
+per row alike, so a row's result doesn't depend on where it runs.
 """
 
 from __future__ import annotations
@@ -196,7 +197,10 @@ def invert(measurements: DataFrame, columns: Mapping[float, str], parameters: In
         for frame in frames:
             values = frame[list(columns.values())].to_numpy(float, na_value=np.nan)
             if method in BATCHED:
-                rows = optimize_rows(values, frequencies, parameters, f, settings, simulation, optimization)
+                distinct, place = np.unique(np.where(np.isfinite(values) & (values > EMPTY), values, EMPTY), axis=0, return_inverse=True)
+                rows = optimize_rows(distinct, frequencies, parameters, f, settings, simulation, optimization).iloc[place.reshape(-1)].reset_index(drop=True)
+                once = np.unique(place.reshape(-1), return_index=True)[1]  # a fit's evaluations count once
+                rows["evaluations"] = rows["evaluations"].where(rows.index.isin(once), 0.0)
             else:
                 rows = pd.DataFrame([optimize(r.astype(float), frequencies, parameters, f, settings, simulation, optimization) for r in values], columns=[*names, "Q"])
                 rows["evaluations"] = np.nan
@@ -206,7 +210,10 @@ def invert(measurements: DataFrame, columns: Mapping[float, str], parameters: In
 
     kept = ", ".join(f"`{c}` {measurements.schema[c].dataType.simpleString()}" for c in keep)
     out = ", ".join(f"`{n}` double" for n in [*names, "Q"])
-    return measurements.select(*keep, *columns.values()).mapInPandas(run, f"{kept}, {out}" if kept else out)
+    rows = measurements.select(*dict.fromkeys([*keep, *columns.values()]))
+    if method in BATCHED:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns.values()).sortWithinPartitions(*columns.values())
+    return rows.mapInPandas(run, f"{kept}, {out}" if kept else out)
 
 
 def backscatter(rows: DataFrame, columns: Mapping[float, str], fitted: Sequence[str], settings: Mapping, fixed: Mapping[str, float] | None = None, model: str | Callable = "pcdwba", keep: Sequence[str] = ()) -> DataFrame:

@@ -69,3 +69,27 @@ def test_unknown_optimisers_and_open_bounds_are_refused(spark):
         matrix.invert(df, {1.0: "a", 2.0: "b"}, p, {}, {}, {"method": "other"})
     with pytest.raises(ValueError, match="finite bounds"):
         matrix.optimize_rows(np.zeros((1, 2)), np.array([1.0, 2.0]), p, curve, {}, {}, {"method": "least_squares"})
+
+
+def test_equal_measurements_are_fitted_once(spark):
+    f = {38e3: "a", 70e3: "b", 120e3: "c", 200e3: "d"}
+    levels = curve(list(f), {"length_mean": np.array([0.01, 0.02, 0.03]), "number_density": np.array([80.0, 400.0, 700.0])})
+    rows = [(i, *map(float, levels[i % 3])) for i in range(300)] + [(300, None, None, None, None), (301, float("nan"), -999.0, None, None)]
+    p = InvParameters({"length_mean": {"value": 0.02, "min": 0.002, "max": 0.04}, "number_density": {"value": 300.0, "min": 10.0, "max": 1000.0}})
+    progress = matrix.Progress(spark)
+    df = spark.createDataFrame(rows, "key long, a double, b double, c double, d double").repartition(4)
+    got = {r["key"]: r for r in matrix.invert(df, f, p, {}, {"monte_carlo": True, "mc_realizations": 40, "mc_seed": 1}, {"method": "least_squares"}, model=curve, keep=["key"], progress=progress).collect()}
+    assert len(got) == progress.rows.value == 302 and progress.failures.value == 2 and 0 < progress.evaluations.value < 3 * 200
+    for i in range(300):
+        assert got[i]["Q"] == got[i % 3]["Q"] and got[i]["length_mean"] == got[i % 3]["length_mean"] == pytest.approx((0.01, 0.02, 0.03)[i % 3], rel=1e-3)
+
+
+def test_animals_that_differ_in_density_alone_are_modelled_once(monkeypatch):
+    seen = []
+    real = batched.bessel_j
+    monkeypatch.setattr(batched, "bessel_j", lambda n, x: (seen.append(x.size), real(n, x))[1])
+    settings = {"sound_speed_sw": 1500.0, "orientation": {"bins": 7}, "lengths": {"bins": 21}}
+    one = batched.pcdwba_rows(np.array([120e3]), {k: np.array([x]) for k, x in BASE.items()}, **settings)
+    size = sum(seen)
+    many = batched.pcdwba_rows(np.array([120e3]), {k: np.full(50, x) for k, x in BASE.items()} | {"number_density": np.arange(1.0, 51.0)}, **settings)
+    assert sum(seen) == 2 * size and np.allclose(many[:, 0], one[0, 0] + 10 * np.log10(np.arange(1.0, 51.0) / 500))
