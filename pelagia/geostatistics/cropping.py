@@ -131,19 +131,21 @@ def within(corners: Column, x: Column, y: Column, buffer: float) -> Column:
 def hull_crop(transects: DataFrame, mesh: DataFrame, num_nearest_transects: int = 3, mesh_buffer_distance: float = 2.5, coordinates: tuple[str, str] = ("longitude", "latitude"), transect: str = "transect_num") -> DataFrame:
     """Mesh rows within the buffered (nautical miles) union of the transects' extents.
 
-    Each of mesh and transects is projected to the zone of its own median position.
+    Each of mesh and transects is projected to the zone of its own median position;
+    rows at the same place are projected and tested once.
     """
+    prepare(mesh.sparkSession)
     buffer = mesh_buffer_distance * METRES_PER_NMI
-    points = with_utm(transects.select(transect, "longitude", "latitude"), *survey_zone(transects), names=("x", "y"))
+    points = with_utm(transects.select(transect, "longitude", "latitude").distinct(), *survey_zone(transects), names=("x", "y")).checkpoint()
     polygons = transect_extent(points, num_nearest_transects, transect).checkpoint()
     side = 100_000.0  # metres
     box = lambda f, c: f(F.transform("corners", lambda p: p[c]))
     span = lambda c: F.explode(F.sequence(F.floor((box(F.array_min, c) - buffer) / side), F.floor((box(F.array_max, c) + buffer) / side)))
     boxed = polygons.withColumn("_i", span("x")).withColumn("_j", span("y")).select("corners", "_i", "_j")
-    cells = with_utm(mesh, *survey_zone(mesh, coordinates), coordinates, ("_x", "_y"))
+    cells = with_utm(mesh.select(*coordinates).distinct(), *survey_zone(mesh, coordinates), coordinates, ("_x", "_y"))
     cells = cells.withColumn("_i", F.floor(F.col("_x") / side)).withColumn("_j", F.floor(F.col("_y") / side))
     inside = (cells["_i"] == boxed["_i"]) & (cells["_j"] == boxed["_j"]) & within(boxed["corners"], cells["_x"], cells["_y"], buffer)
-    return cells.join(boxed, inside, "left_semi").select(*mesh.columns)
+    return mesh.join(cells.join(boxed, inside, "left_semi").select(*coordinates), list(coordinates), "left_semi").select(*mesh.columns)
 
 
 def transect_end(rows: DataFrame, bound: str, east_west: tuple[str, str], transect: str = "transect_num") -> DataFrame:

@@ -179,6 +179,18 @@ def test_hull():
     assert cropping.hull(np.array([[1.0, 1.0], [1.0, 1.0]])).tolist() == [[1.0, 1.0]]
 
 
+def test_hull_crop_projects_each_place_once(spark, monkeypatch):
+    """Rows at the same place all stay or all go, and cost no projection of their own; null places go."""
+    rows, real = [], cropping.with_utm
+    monkeypatch.setattr(cropping, "with_utm", lambda df, *a, **k: (rows.append(df.count()), real(df, *a, **k))[1])
+    places = [(t, -125 + 0.3 * k, 40 + 0.5 * t) for t in range(3) for k in range(4)]
+    tf = spark.createDataFrame(places * 20, "transect_num int, longitude double, latitude double").repartition(3)
+    mesh = [(k, -124.5 if k % 2 else -121.0, 40.2) for k in range(200)] + [(200, None, 40.2)]
+    mf = spark.createDataFrame(mesh, "cell int, longitude double, latitude double")
+    got = sorted(r["cell"] for r in cropping.hull_crop(tf, mf, 1, 5.0).collect())
+    assert got == list(range(1, 200, 2)) and sorted(rows) == [3, 12]
+
+
 def test_hull_crop(spark):
     """Against distances to every hull, one point after another."""
     rng = random.Random(2)
