@@ -5,15 +5,17 @@ import math
 import random
 import re
 import struct
+import time
 import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pelagia.llm import bpe, edit_embedding, gif, langid, near_dup, packing, quality, suffix_dedup, suffix_sort
+from pelagia.llm import bpe, common, edit_embedding, gif, langid, near_dup, packing, quality, suffix_dedup, suffix_sort
 
 WORD_BPE = "word_bpe_49k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, component string, salt int"
@@ -580,3 +582,48 @@ def test_crowded_bands_and_centres(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
         got = {r["id"]: r["component"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
         assert {x: got.get(x, x) for x in linked} == {x: find(x) for x in linked}
+
+
+def shuffled(spark):
+    """Shuffle files on this machine, with their bytes."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def left_over(spark, before, limit=0):
+    """Bytes of new shuffle files, after at most 10 s in which they may go."""
+    for _ in range(50):
+        left = sum(n for f, n in shuffled(spark).items() if f not in before)
+        if left <= limit:
+            break
+        time.sleep(0.2)
+    return left
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    """The same rows, no shuffle files, the frame before still of use, the session's setting as it was."""
+    for was in (None, "false", "true"):
+        if was:
+            spark.conf.set(common.FREE_SHUFFLES, was)
+        d = spark.range(5000).select((F.col("id") % 700).alias("k"), "id").groupBy("k").agg(F.sum("id").alias("n"))
+        before = shuffled(spark)
+        got = common.settle(d)
+        assert left_over(spark, before) == 0
+        want = sorted((k, sum(range(k, 5000, 700))) for k in range(700))
+        assert sorted(map(tuple, got.collect())) == want
+        assert [sorted(map(tuple, d.collect())) for _ in range(2)] == [want, want]
+        assert spark.conf.get(common.FREE_SHUFFLES) == (was or "false")
+    spark.conf.unset(common.FREE_SHUFFLES)
+
+
+def test_near_dedup_holds_one_step_of_shuffles(spark):
+    """Texts go through two shuffles; neither is there when the result is planned."""
+    rng = random.Random(8)
+    texts = [[f"{rng.randrange(1 << 40):x}" for _ in range(200)] for _ in range(150)]
+    rows = [(3 * k + c, " ".join(t[:190] + [str(c)] * 10)) for k, t in enumerate(texts) for c in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    assert d.count() == len(rows)
+    before = shuffled(spark)
+    got = near_dup.deduplicate(d)
+    assert left_over(spark, before, 100_000) < sum(len(t) for _, t in rows) / 10
+    assert sorted(r["doc_id"] for r in got.collect()) == [3 * k for k in range(150)]
