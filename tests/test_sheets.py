@@ -2,12 +2,14 @@
 
 import hashlib
 import zipfile
+import zlib
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.sources.sheets import replace_sheet, write_sheets
+from pelagia.sources.sheets import HEAD, Files, Packed, deflated, joined, replace_sheet, write_sheets
 from pelagia.sources.xlsx import parse_sheet, read_xlsx, sheet_names, workbook, write_bytes
 
 
@@ -52,3 +54,49 @@ def test_many_rows(spark, tmp_path):
     assert n == ["mesh", "mesh (2)"]
     with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
         assert sum(z.read(f"xl/worksheets/sheet{k}.xml").count(b"<row>") for k in (1, 2)) == 1_200_002
+
+
+def test_parts_beyond_a_thousand_keep_their_order(spark, tmp_path):
+    write_sheets(spark, f"{tmp_path}/b.xlsx", {"s": spark.range(0, 2100, 1, 1).toDF("k")}, part=2)
+    assert [r[0] for r in parse_sheet((tmp_path / "b.xlsx").read_bytes())] == ["k", *map(float, range(2100))]
+
+
+def test_tasks_deflate_and_long_texts_end_a_part(spark, tmp_path, monkeypatch):
+    """The driver copies packed bytes only, far fewer than the XML; a part ends by rows or by packed bytes."""
+    copied = []
+    copy = Files.copy
+    monkeypatch.setattr(Files, "copy", lambda self, source, target, length: (copied.append(length), copy(self, source, target, length))[1])
+    write_sheets(spark, f"{tmp_path}/b.xlsx", {"s": spark.range(0, 20_000, 1, 2).select(F.repeat(F.lit("long text "), 20).alias("t"), "id")})
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
+        assert len(copied) == 2 and sum(copied) < z.getinfo("xl/worksheets/sheet1.xml").file_size / 20 and z.testzip() is None
+    rows = pa.array([bytes([k]) * 3 + b"x" for k in range(10)]).slice(1).cast(pa.string())
+    monkeypatch.setattr("pelagia.sources.sheets.PACKED", 1 << 30)
+    whole = [HEAD.unpack(b["value"][0].as_py()[: HEAD.size]) for b in deflated(iter([pa.record_batch([rows], ["value"])] * 2), 4)]
+    assert [h[0] for h in whole] == [4, 4, 4, 4, 2] and [h[2] for h in whole] == [16, 16, 16, 16, 8]
+    monkeypatch.setattr("pelagia.sources.sheets.PACKED", 0)
+    small = [b["value"][0].as_py() for b in deflated(iter([pa.record_batch([rows], ["value"])] * 2), 6)]
+    assert [HEAD.unpack(p[: HEAD.size])[0] for p in small] == [6, 3, 6, 3]
+    xml = zlib.decompressobj(wbits=-15).decompress(b"".join(p[HEAD.size :] for p in small))
+    assert xml == b"".join(v.as_py().encode() for v in rows) * 2
+
+
+def test_checksums_of_joined_pieces():
+    for a, b in ((b"", b""), (b"a", b""), (b"", b"b"), (b"first ", b"second"), (b"\0" * 70_000, bytes(range(256)) * 999)):
+        assert joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_directory_of_a_zip_beyond_4_gb(tmp_path):
+    """As a file whose first 5 GB are cut off, which Python's reader makes up for."""
+
+    class Local:
+        def create(self, name):
+            return open(name, "wb")
+
+    out = Packed(Local(), f"{tmp_path}/far.zip")
+    out.at = 5 << 30
+    out.put("é.xml", b"text")
+    out.begin("long.xml", zipfile.ZIP_STORED, 0, 6 << 30, 6 << 30)
+    out.close()
+    with zipfile.ZipFile(tmp_path / "far.zip") as z:
+        assert [(e.filename, e.file_size, e.compress_size) for e in z.infolist()] == [("é.xml", 4, 6), ("long.xml", 6 << 30, 6 << 30)]
+        assert z.read("é.xml") == b"text"
