@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pelagia.sources.sheet_blocks import deal, pieces, read_blocks, rows_by_parser, rows_of
+from pelagia.sources.sheet_blocks import columns_of, deal, pieces, read_blocks, rows_by_parser, rows_of
 from pelagia.sources.sheets import write_sheets
 from pelagia.sources.xlsx import EPOCH, MAIN, PACKAGE, RELATION, read_xlsx, workbook, write_bytes
 
@@ -137,6 +137,24 @@ def test_split_rows_equal_parsed_rows():
 
 def test_wanted_cells_alone_are_parsed(monkeypatch):
     """Rows of plain form don't go through the XML parser."""
-    head, xml = f'<worksheet xmlns="{MAIN[1:-1]}">'.encode(), b'<row><c><v>1</v></c><c t="inlineStr"><is><t>a</t></is></c></row>' * 3
+    head, xml = f'<worksheet xmlns="{MAIN[1:-1]}">'.encode(), b'<row><c><v>1</v></c><c t="inlineStr"><is><t xml:space="preserve">a</t></is></c></row>' * 3
     monkeypatch.setattr("pelagia.sources.sheet_blocks.wrapped", None)
+    assert [c.to_pylist() for c in columns_of(head, xml, [1, None, 0], ["string", "string", "double"])] == [["a"] * 3, [None] * 3, [1.0] * 3]
     assert list(rows_of(head, xml, 1, [1, 0], {}, [], EPOCH)) == [(k, ["a", 1.0]) for k in (2, 3, 4)]
+
+
+def test_columns_taken_at_once_equal_parsed_rows():
+    head = f'<worksheet xmlns="{MAIN[1:-1]}">'.encode()
+    number, text, empty = "<c><v>{}</v></c>", '<c t="inlineStr"><is><t xml:space="preserve">{}</t></is></c>', "<c/>"
+    rows = [[number.format(k / 7), text.format(f"é{k}"), empty if k % 3 else number.format(-k), '<c s="1"><v>3</v></c>', text.format("")][: 5 - k % 3] for k in range(50)] + [[], [empty] * 5]
+    plain = "".join(f"<row>{''.join(r)}</row>" for r in rows)
+    kinds, places = ["double", "string", "double", "string", "double"], [0, 1, 2, 4, None]
+    odd = [text.format("a&amp;b"), '<c t="inlineStr"><is><t>a</t></is></c>', "<c><v>x</v></c>", "<c><v> 1</v></c>", '<c t="n" r="A12"><v>1</v></c>', '<c s="1" r="A9"><v>1</v></c>', "<c><!-- --><v>1</v></c>", "<c><f>1</f><v>1</v></c>", '<c t="inlineStr"><is><r><rPr><color/></rPr><t>a</t></r></is></c>', text.format("a\rb"), text.format("a</t></is><is><t>b")]
+    for xml, whole in ((plain, True), *((plain + f"<row>{number.format(1)}{c}</row>", False) for c in odd), (plain + '<row r="90"></row>', False), (plain.replace("<", "<x:"), False)):
+        got = columns_of(head, xml.encode(), places, kinds)
+        assert (got is not None) == whole
+        if whole:
+            want = [r for _, r in rows_by_parser(head, xml.encode(), 0, places[:-1], {}, ["", ""], EPOCH)]
+            assert [list(r) for r in zip(*(c.to_pylist() for c in got[:-1]))] == want and got[-1].null_count == len(want)
+    assert columns_of(head, plain.encode(), [0], ["string"]) is None and columns_of(head, plain.encode(), [3], ["double"]) is None
+    assert columns_of(head, plain.encode(), [0], ["boolean"]) is None
